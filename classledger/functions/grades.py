@@ -24,17 +24,20 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _zero_to_positive(v: Column) -> Column:
-    """Map NULL, NaN-free zero and -0.0 to 0.0 (``x || 0``)."""
-    return F.when(v.isNull() | (v == F.lit(0.0)), F.lit(0.0)).otherwise(v)
+def _positive_zero(v: Column) -> Column:
+    """Fold -0.0 into 0.0 (IEEE: -0.0 + 0.0 = +0.0) while referencing ``v`` once."""
+    return v + F.lit(0.0)
 
 
 def parse_grade(c) -> Column:
-    """``parseFloat(x) || 0`` on a text or numeric column, as DOUBLE."""
+    """``parseFloat(x) || 0`` on a text or numeric column, as DOUBLE.
+
+    The prefix regex runs once per cell: an empty prefix fails the cast and
+    becomes 0 through ``coalesce``.
+    """
     c = _col(c)
-    text = c.cast("string")
-    prefix = F.regexp_extract(text, "^" + NUMERIC_PREFIX, 1)
-    return _zero_to_positive(F.nullif(prefix, F.lit("")).try_cast("double"))
+    prefix = F.regexp_extract(c.cast("string"), "^" + NUMERIC_PREFIX, 1)
+    return _positive_zero(F.coalesce(prefix.try_cast("double"), F.lit(0.0)))
 
 
 def grade_truthy(c) -> Column:
@@ -70,7 +73,7 @@ def to_fixed2(x) -> Column:
     exact_eighth = scaled == F.floor(scaled)
     rounded = F.when(exact_eighth, F.round(x, 2)).otherwise(
         F.call_function("format_number", x, F.lit("0.00")).cast("double"))
-    return _zero_to_positive(rounded)
+    return _positive_zero(rounded)
 
 
 def final_grade(midterm, exam) -> Column:

@@ -38,6 +38,9 @@ def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | Non
         keyed = keyed.join(classes.select("account").distinct(), "account", "left_semi")
     first = first_by_row(keyed, ["account", "_id_key", "_class_key"], "row_no", ["_mid", "_kt", "_thi"])
     first = first.withColumn("_hit", F.lit(True)).drop("row_no")
+    # The sheet is a batch: when it is provably small, the students table is
+    # streamed past a broadcast of its first rows and never shuffled.
+    first = broadcast_if_small(first, bound_by=keyed)
 
     left = students.withColumns({"_id_key": js_string_key("student_id"),
                                  "_class_key": js_string_key("class_name")})
@@ -89,6 +92,7 @@ def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
     latest = first_by_row(valid, ["account", "student_id"], "row_no", ["midterm", "exam"], last=True)
     latest = latest.select("account", "student_id", F.col("midterm").alias("_mid"),
                            F.col("exam").alias("_exam"), F.lit(True).alias("_hit"))
+    latest = broadcast_if_small(latest, bound_by=entries.select("account", "student_id", "midterm", "exam"))
     j = students.join(latest, ["account", "student_id"], "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     out = j.withColumns({"midterm": F.when(hit, F.col("_mid")).otherwise(F.col("midterm")),

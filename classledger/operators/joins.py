@@ -4,30 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-# Largest side, in rows, that is ever broadcast on an explicit check. The
-# sides passed here are narrow (a few key columns), so this stays well under
-# the driver's and executors' broadcast budget.
-BROADCAST_ROW_LIMIT = 1_000_000
+from pyspark.sql import types as T
+
+# Largest side ever broadcast on an explicit check: rows and bytes of cell
+# payload (string/binary lengths plus 8 bytes per other cell).
+BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_BYTE_LIMIT = 64 * 1024 * 1024
+
+
+def _payload_bytes(df: DataFrame) -> Column:
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)).cast("long"))
+        else:
+            parts.append(F.lit(8).cast("long"))
+    out = parts[0] if parts else F.lit(0).cast("long")
+    for p in parts[1:]:
+        out = out + p
+    return out
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
+                   max_bytes: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """Whether ``df`` provably holds at most ``max_rows`` rows and ``max_bytes`` of payload.
+
+    One job over at most ``max_rows + 1`` rows: the limit stops the scan as
+    soon as the row bound is exceeded.
+    """
+    probe = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                       F.coalesce(F.sum(_payload_bytes(df)), F.lit(0)).alias("b"))
+    r = probe.first()
+    return r.n <= max_rows and r.b <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only when ``df`` provably has at most ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, bound_by: DataFrame | None = None,
+                       max_rows: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Hint a broadcast of ``df`` only behind a checked size bound.
 
-    The check is a ``limit(max_rows + 1).count()`` job, which stops reading as
-    soon as the bound is exceeded. Beyond the bound the side is returned
-    untouched and the join falls back to a shuffle join (AQE may still turn it
-    into a broadcast from measured shuffle sizes).
+    ``bound_by`` may name a cheaper DataFrame that is provably at least as
+    large (e.g. the input of an aggregation). Beyond the bound ``df`` is
+    returned untouched and the join stays a shuffle join (AQE may still turn
+    it into a broadcast from measured shuffle sizes).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if fits_broadcast(bound_by if bound_by is not None else df, max_rows, max_bytes):
         return F.broadcast(df)
     return df
-
-
-def null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
-    """Join condition equating ``cols`` with NULL = NULL."""
-    cond = None
-    for c in cols:
-        part = left[c].eqNullSafe(right[c])
-        cond = part if cond is None else cond & part
-    return cond

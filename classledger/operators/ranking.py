@@ -6,33 +6,56 @@ task. Here the rows are range-partitioned on the full key ``(g, o)`` instead,
 so a hot group is cut into contiguous slices over many tasks. Each slice is
 numbered locally, a small table of slice sizes gives the offset of every slice
 within its group, and a join adds the offset back.
+
+The sliced rows are written once, as a Parquet table under
+``spark.checkpoint.dir``, and both the slice-size table and the final join
+read that table. Computing the range partitioning twice would not be safe:
+its bounds come from a seeded sample, and two samples may cut differently.
+Writing the table also cuts the lineage, so a lost executor never forces the
+sort to be redone.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from .joins import broadcast_if_small
+
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet under the session's checkpoint folder and read it back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/classledger/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def positions_within(df: DataFrame, group_cols: list[str], order_cols: list,
                      out: str = "pos", num_partitions: int | None = None) -> DataFrame:
     """Add ``out``: 1-based position of each row within ``group_cols`` by ``order_cols``.
 
     ``order_cols`` must be a total order inside each group (end it with a
     unique column such as ``ord``); groups may contain NULLs. With no group
-    columns the position is global.
+    columns the position is global. Runs two jobs eagerly (the sliced table
+    and the slice-size table); the returned DataFrame is lazy.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [_as_col(c) for c in group_cols] + [_as_col(c) for c in order_cols]
-    sliced = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_slice", F.spark_partition_id())
-                .withColumn("_seq", F.monotonically_increasing_id()))
+    sliced = materialise(
+        df.repartitionByRange(n, *keys)
+          .sortWithinPartitions(*keys)
+          .withColumn("_slice", F.spark_partition_id())
+          .withColumn("_seq", F.monotonically_increasing_id()),
+        "slices")
     # One row per (slice, group): its first sequence number and its size. At
     # most #groups + #slices rows, whatever the skew.
     runs = (sliced.groupBy("_slice", *group_cols)
@@ -40,8 +63,9 @@ def positions_within(df: DataFrame, group_cols: list[str], order_cols: list,
     before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
     runs = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    runs = runs.select("_slice", *[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group_cols)],
-                       "_first", "_offset")
+    runs = materialise(runs.select("_slice", *[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group_cols)],
+                                   "_first", "_offset"), "slice-runs")
+    runs = broadcast_if_small(runs)
     cond = sliced["_slice"] == runs["_slice"]
     for i, g in enumerate(group_cols):
         cond = cond & sliced[g].eqNullSafe(runs[f"_g_{i}"])

@@ -84,3 +84,10 @@ def test_account_name_rules(spark):
     got = [(r.d, r.w) for r in df.select(starts_with_digit("x").alias("d"),
                                          contains_whitespace("x").alias("w")).collect()]
     assert got == [(True, False), (False, True), (False, True), (False, False), (False, False)]
+
+
+def test_negative_zero_is_folded(spark):
+    import math
+    assert math.copysign(1.0, one(spark, parse_grade, "-0")) == 1.0
+    assert math.copysign(1.0, one(spark, to_fixed2, -0.001, "double")) == 1.0
+    assert one(spark, to_fixed2, -0.006, "double") == -0.01
