@@ -100,3 +100,28 @@ def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
     out = out.withColumn("final_grade", F.when(hit, final_grade_of("midterm", "exam"))
                                          .otherwise(F.col("final_grade")))
     return out.select(*students.columns), rejects
+
+
+# Outcome of a grade import per account.
+IMPORT_UPDATED = "updated"
+IMPORT_NO_MATCH = "no_match"
+IMPORT_REFUSED = "refused"
+
+
+def grade_import_report(students: DataFrame, classes: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Outcome of a grade import for every account named in the sheet.
+
+    ``refused`` when the account has no class or no student (nothing is
+    read); ``no_match`` when no student matched (state unchanged, a warning);
+    else ``updated`` with the number of students changed.
+    """
+    allowed = grade_import_allowed(classes, students).withColumn("_ok", F.lit(True))
+    counts = merge_counts(merge_grades(students, sheet, classes))
+    named = sheet.select("account").distinct()
+    j = named.join(allowed, "account", "left").join(counts, "account", "left")
+    n = F.coalesce(F.col("updated"), F.lit(0)).cast("long")
+    status = (F.when(F.col("_ok").isNull(), F.lit(IMPORT_REFUSED))
+               .when(n == 0, F.lit(IMPORT_NO_MATCH))
+               .otherwise(F.lit(IMPORT_UPDATED)))
+    return j.select("account", status.alias("status"),
+                    F.when(F.col("_ok").isNull(), F.lit(0).cast("long")).otherwise(n).alias("updated"))

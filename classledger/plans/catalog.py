@@ -34,6 +34,10 @@ def q_grade_merge_count(spark, d):
     return grades.merge_counts(q_grade_merge(spark, d))
 
 
+def q_grade_import_report(spark, d):
+    return grades.grade_import_report(D.students(spark, d), D.classes(spark, d), D.grade_sheet(spark, d))
+
+
 def q_roster_positions(spark, d):
     return roster.roster_positions(D.rosters(spark, d)).select(
         "account", "class_name", "student_id", "full_name", "pos")
@@ -154,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_counts": q_class_counts,
     "grade_merge": q_grade_merge,
     "grade_merge_count": q_grade_merge_count,
+    "grade_import_report": q_grade_import_report,
     "roster_positions": q_roster_positions,
     "roster_order": q_roster_order,
     "student_search": q_student_search,

@@ -190,6 +190,14 @@ FROM classes_v c LEFT JOIN cnt ON c.account = cnt.account AND c.class_name = cnt
     out["grade_merge_count"] = merged_sql() + \
         "SELECT account, CAST(count(*) FILTER (WHERE matched) AS BIGINT) AS updated FROM merged GROUP BY account"
 
+    out["grade_import_report"] = merged_sql().rstrip("\n") + """,
+allowed AS (SELECT DISTINCT account FROM classes_v WHERE account IN (SELECT account FROM students_v)),
+cnt AS (SELECT account, count(*) FILTER (WHERE matched) AS n FROM merged GROUP BY account),
+named AS (SELECT DISTINCT account FROM grade_sheet)
+SELECT n.account,
+  CASE WHEN a.account IS NULL THEN 'refused' WHEN coalesce(c.n, 0) = 0 THEN 'no_match' ELSE 'updated' END AS status,
+  CAST(CASE WHEN a.account IS NULL THEN 0 ELSE coalesce(c.n, 0) END AS BIGINT) AS updated
+FROM named n LEFT JOIN allowed a ON n.account = a.account LEFT JOIN cnt c ON n.account = c.account"""
     out["roster_positions"] = with_(BASE, ROSTERS) + f"""
 SELECT account, class_name, student_id, full_name,
   CAST(row_number() OVER (PARTITION BY account, class_name ORDER BY {roster_key('full_name')}, ord) AS BIGINT) AS pos

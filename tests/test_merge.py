@@ -47,3 +47,14 @@ def test_orphan_matches_sheet_row_without_class(spark):
     g = sheet(spark, GRADE_HEADERS, [(1, "S09", None, "5", "6", None)])
     r = merge_grades(st, g, classes_df(spark)).first()
     assert (r.midterm, r.exam, r.final_grade, r.matched) == (5.0, 6.0, 5.5, True)
+
+
+def test_import_report(spark):
+    from classledger.operators.grades import grade_import_report
+    g = sheet(spark, GRADE_HEADERS, GRADE_ROWS).unionByName(
+        sheet(spark, GRADE_HEADERS, [GRADE_ROWS[2]], account="t2")).unionByName(
+        sheet(spark, GRADE_HEADERS, [GRADE_ROWS[2]], account="t3"))
+    cl = classes_df(spark).unionByName(classes_df(spark, account="t2"))
+    st = imported(spark).unionByName(imported(spark).withColumn("account", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("t2")))
+    got = sorted(tuple(r) for r in grade_import_report(st, cl, g).collect())
+    assert got == [("t1", "updated", 3), ("t2", "no_match", 0), ("t3", "refused", 0)]
