@@ -11,10 +11,16 @@ from .joins import broadcast_if_small
 
 
 def _append_ord(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """``ord`` for appended rows: above the account's maximum, in ``row_no`` order."""
-    top = existing.groupBy("account").agg(F.max("ord").alias("_max_ord"))
+    """``ord`` for appended rows: above the account's maximum, in ``row_no`` order.
+
+    Only the batch's accounts are read from ``existing`` (broadcast semi-join).
+    """
+    accounts = broadcast_if_small(batch.select("account").distinct(), bound_by=batch.select("account"))
+    top = (existing.join(accounts, "account", "left_semi")
+                   .groupBy("account").agg(F.max("ord").alias("_max_ord")))
     first = batch.groupBy("account").agg(F.min("row_no").alias("_min_row"))
-    return (batch.join(first, "account").join(top, "account", "left")
+    marks = broadcast_if_small(first.join(top, "account", "left"), bound_by=batch.select("account"))
+    return (batch.join(marks, "account")
                  .withColumn("ord", (F.coalesce(F.col("_max_ord"), F.lit(0)) + F.lit(1)
                                      + F.col("row_no") - F.col("_min_row")).cast("long")))
 

@@ -79,7 +79,11 @@ def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
     if "row_no" not in entries.columns:
         entries = entries.withColumn("row_no", F.lit(0).cast("long"))
     has_class = classes.groupBy("account").agg(F.lit(True).alias("_has_class"))
+    # Only the (account, class) pairs named by the entries are looked up.
+    chosen = broadcast_if_small(entries.select("account", "class_name").distinct(),
+                                bound_by=entries.select("account", "class_name"))
     populated = (students.where(F.col("class_name").isNotNull())
+                         .join(chosen, ["account", "class_name"], "left_semi")
                          .groupBy("account", "class_name").agg(F.lit(True).alias("_populated")))
     checked = (entries.join(has_class, "account", "left")
                       .join(populated, ["account", "class_name"], "left"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import final_grade_of, grade_or, js_or, parse_grade, truthy
+from .joins import broadcast_if_small
 
 
 class MissingColumns(ValueError):
@@ -89,9 +90,16 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame):
     rejects = missing_class_report(unknown)
     accepted = sheet.join(unknown.select("account").distinct(), "account", "left_anti")
     rows = normalise_roster(accepted)
-    floor = students.groupBy("account").agg(F.min("ord").alias("_min_ord"))
+    # Per-account marks, only for the accounts in the batch: a broadcast
+    # semi-join keeps the students scan to those accounts (partition pruning
+    # on an account-partitioned snapshot) and the result has one row each.
+    batch_accounts = broadcast_if_small(accepted.select("account").distinct(),
+                                        bound_by=sheet.select("account"))
+    floor = (students.join(batch_accounts, "account", "left_semi")
+                     .groupBy("account").agg(F.min("ord").alias("_min_ord")))
     last = rows.groupBy("account").agg(F.max("row_no").alias("_max_row"))
-    ordered = (rows.join(last, "account").join(floor, "account", "left")
+    marks = broadcast_if_small(last.join(floor, "account", "left"), bound_by=sheet.select("account"))
+    ordered = (rows.join(marks, "account")
                    .withColumn("ord", (F.coalesce(F.col("_min_ord"), F.lit(1)) - F.lit(1)
                                        - (F.col("_max_row") - F.col("row_no"))).cast("long")))
     new = ordered.select(*S.STUDENT_COLUMNS)
