@@ -42,10 +42,12 @@ def missing_classes(classes: DataFrame, sheet: DataFrame) -> DataFrame:
     Blank classes are skipped; names are compared exactly (no trim). One row
     per ``(account, class_name)``; order them by ``first_row`` for the report.
     """
-    named = sheet.select("account", "row_no", sheet_class(sheet).alias("class_name")) \
-                 .where(truthy("class_name"))
-    unknown = named.join(classes.select("account", "class_name"), ["account", "class_name"], "left_anti")
-    return unknown.groupBy("account", "class_name").agg(F.min("row_no").alias("first_row"))
+    # Reduce the batch to its distinct class names first (partial aggregation:
+    # a class named by most rows costs one row per task), then look them up.
+    named = (sheet.select("account", "row_no", sheet_class(sheet).alias("class_name"))
+                  .where(truthy("class_name"))
+                  .groupBy("account", "class_name").agg(F.min("row_no").alias("first_row")))
+    return named.join(classes.select("account", "class_name"), ["account", "class_name"], "left_anti")
 
 
 def missing_class_report(missing: DataFrame) -> DataFrame:
@@ -88,7 +90,8 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame):
         raise MissingColumns(missing)
     unknown = missing_classes(classes, sheet)
     rejects = missing_class_report(unknown)
-    accepted = sheet.join(unknown.select("account").distinct(), "account", "left_anti")
+    refused = broadcast_if_small(unknown.select("account").distinct(), bound_by=sheet.select("account"))
+    accepted = sheet.join(refused, "account", "left_anti")
     rows = normalise_roster(accepted)
     # Per-account marks, only for the accounts in the batch: a broadcast
     # semi-join keeps the students scan to those accounts (partition pruning
