@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import contains_whitespace, starts_with_digit
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, broadcast_when, fits_broadcast
 from .ranking import positions_within
 
 # Verdict codes, in the order the checks run.
@@ -32,15 +32,14 @@ def screen_accounts(accounts: DataFrame, candidates: DataFrame) -> DataFrame:
              .when(F.col("secret_length") < F.lit(S.MIN_SECRET_LENGTH), F.lit(R_SHORT)))
     ruled = candidates.withColumn("_rule", rule)
     passing = ruled.where(F.col("_rule").isNull())
-    names = candidates.select("account")
     # One row per passing name (a name repeated by a third of the batch is
-    # reduced map-side), and only the existing accounts the batch names.
-    first = broadcast_if_small(passing.groupBy("account").agg(F.min("row_no").alias("_first_row")),
-                               bound_by=names)
-    wanted = broadcast_if_small(names.distinct(), bound_by=names)
-    taken = broadcast_if_small(
-        accounts.join(wanted, "account", "left_semi").select("account").distinct()
-                .withColumn("_taken", F.lit(True)), bound_by=names)
+    # reduced map-side), and only the existing accounts the batch names; each
+    # side has at most one row per candidate, so one size check bounds all.
+    small = fits_broadcast(candidates.select("account", F.lit(0).cast("long")))
+    first = broadcast_when(small, passing.groupBy("account").agg(F.min("row_no").alias("_first_row")))
+    wanted = broadcast_when(small, candidates.select("account").distinct())
+    taken = broadcast_when(small, accounts.join(wanted, "account", "left_semi").select("account")
+                                          .distinct().withColumn("_taken", F.lit(True)))
     verdict = (F.when(F.col("_rule").isNotNull(), F.col("_rule"))
                 .when(F.col("_taken"), F.lit(R_EXISTS))
                 .when(F.col("row_no") == F.col("_first_row"), F.lit(ACCEPTED))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import final_grade_of, js_or, truthy
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, broadcast_when, fits_broadcast
 
 
 def _append_ord(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -15,11 +15,12 @@ def _append_ord(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
     Only the batch's accounts are read from ``existing`` (broadcast semi-join).
     """
-    accounts = broadcast_if_small(batch.select("account").distinct(), bound_by=batch.select("account"))
+    small = fits_broadcast(batch.select("account", F.lit(0).cast("long"), F.lit(0).cast("long")))
+    accounts = broadcast_when(small, batch.select("account").distinct())
     top = (existing.join(accounts, "account", "left_semi")
                    .groupBy("account").agg(F.max("ord").alias("_max_ord")))
     first = batch.groupBy("account").agg(F.min("row_no").alias("_min_row"))
-    marks = broadcast_if_small(first.join(top, "account", "left"), bound_by=batch.select("account"))
+    marks = broadcast_when(small, first.join(top, "account", "left"))
     return (batch.join(marks, "account")
                  .withColumn("ord", (F.coalesce(F.col("_max_ord"), F.lit(0)) + F.lit(1)
                                      + F.col("row_no") - F.col("_min_row")).cast("long")))

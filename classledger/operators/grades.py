@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import final_grade_of, grade_truthy, js_or, js_string_key, parse_grade, truthy
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, broadcast_when, fits_broadcast
 from .ranking import first_by_row
 
 
@@ -80,8 +80,8 @@ def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
         entries = entries.withColumn("row_no", F.lit(0).cast("long"))
     has_class = classes.groupBy("account").agg(F.lit(True).alias("_has_class"))
     # Only the (account, class) pairs named by the entries are looked up.
-    chosen = broadcast_if_small(entries.select("account", "class_name").distinct(),
-                                bound_by=entries.select("account", "class_name"))
+    small = fits_broadcast(entries.select("account", "class_name", "student_id", "midterm", "exam"))
+    chosen = broadcast_when(small, entries.select("account", "class_name").distinct())
     populated = (students.where(F.col("class_name").isNotNull())
                          .join(chosen, ["account", "class_name"], "left_semi")
                          .groupBy("account", "class_name").agg(F.lit(True).alias("_populated")))
@@ -96,7 +96,7 @@ def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
     latest = first_by_row(valid, ["account", "student_id"], "row_no", ["midterm", "exam"], last=True)
     latest = latest.select("account", "student_id", F.col("midterm").alias("_mid"),
                            F.col("exam").alias("_exam"), F.lit(True).alias("_hit"))
-    latest = broadcast_if_small(latest, bound_by=entries.select("account", "student_id", "midterm", "exam"))
+    latest = broadcast_when(small, latest)
     j = students.join(latest, ["account", "student_id"], "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     out = j.withColumns({"midterm": F.when(hit, F.col("_mid")).otherwise(F.col("midterm")),

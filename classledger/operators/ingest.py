@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import final_grade_of, grade_or, js_or, parse_grade, truthy
-from .joins import broadcast_if_small
+from .joins import broadcast_when, fits_broadcast
 
 
 class MissingColumns(ValueError):
@@ -90,18 +90,20 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame):
         raise MissingColumns(missing)
     unknown = missing_classes(classes, sheet)
     rejects = missing_class_report(unknown)
-    refused = broadcast_if_small(unknown.select("account").distinct(), bound_by=sheet.select("account"))
+    # Every per-account side below has at most one row per sheet row: one
+    # size check on the sheet bounds them all.
+    small = fits_broadcast(sheet.select("account", F.lit(0).cast("long"), F.lit(0).cast("long")))
+    refused = broadcast_when(small, unknown.select("account").distinct())
     accepted = sheet.join(refused, "account", "left_anti")
     rows = normalise_roster(accepted)
     # Per-account marks, only for the accounts in the batch: a broadcast
     # semi-join keeps the students scan to those accounts (partition pruning
     # on an account-partitioned snapshot) and the result has one row each.
-    batch_accounts = broadcast_if_small(accepted.select("account").distinct(),
-                                        bound_by=sheet.select("account"))
+    batch_accounts = broadcast_when(small, accepted.select("account").distinct())
     floor = (students.join(batch_accounts, "account", "left_semi")
                      .groupBy("account").agg(F.min("ord").alias("_min_ord")))
     last = rows.groupBy("account").agg(F.max("row_no").alias("_max_row"))
-    marks = broadcast_if_small(last.join(floor, "account", "left"), bound_by=sheet.select("account"))
+    marks = broadcast_when(small, last.join(floor, "account", "left"))
     ordered = (rows.join(marks, "account")
                    .withColumn("ord", (F.coalesce(F.col("_min_ord"), F.lit(1)) - F.lit(1)
                                        - (F.col("_max_row") - F.col("row_no"))).cast("long")))

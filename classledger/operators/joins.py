@@ -39,6 +39,12 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
     return r.n <= max_rows and r.b <= max_bytes
 
 
+def broadcast_when(ok: bool, *dfs: DataFrame):
+    """Broadcast hints on ``dfs`` when a single size check ``ok`` bounds them all."""
+    out = tuple(F.broadcast(d) if ok else d for d in dfs)
+    return out if len(out) > 1 else out[0]
+
+
 def broadcast_if_small(df: DataFrame, bound_by: DataFrame | None = None,
                        max_rows: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
     """Hint a broadcast of ``df`` only behind a checked size bound.

@@ -28,8 +28,21 @@ from .. import schema as S
 from ..functions import final_grade_of
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A lazy DataFrame over one driver table, reused within a session.
+
+    Only the plan is kept (no data is cached): it spares repeated footer reads
+    when one query reads the same table several times.
+    """
+    key = (id(spark), f"{sf_dir}/{name}.parquet")
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(key[1])
+        _TABLES[key] = df
+    return df
 
 
 def _s(c) -> F.Column:
