@@ -200,11 +200,11 @@ SELECT n.account,
 FROM named n LEFT JOIN allowed a ON n.account = a.account LEFT JOIN cnt c ON n.account = c.account"""
     out["roster_positions"] = with_(BASE, ROSTERS) + f"""
 SELECT account, class_name, student_id, full_name,
-  CAST(row_number() OVER (PARTITION BY account, class_name ORDER BY {roster_key('full_name')}, ord) AS BIGINT) AS pos
+  CAST(row_number() OVER (PARTITION BY account, class_name ORDER BY {roster_key('full_name')} NULLS FIRST, ord) AS BIGINT) AS pos
 FROM rosters"""
     out["roster_order"] = with_(BASE, ROSTERS) + f"""
 SELECT account, student_id, full_name,
-  CAST(row_number() OVER (PARTITION BY account ORDER BY {roster_key('full_name')}, ord) AS BIGINT) AS roster_pos
+  CAST(row_number() OVER (PARTITION BY account ORDER BY {roster_key('full_name')} NULLS FIRST, ord) AS BIGINT) AS roster_pos
 FROM rosters"""
 
     t = q(C.STUDENT_TERM)
@@ -222,13 +222,13 @@ WHERE contains(lower(c.class_name), lower({t})) OR EXISTS (
     cls = q(C.ROSTER_CLASS)
     out["class_roster"] = with_(BASE) + f"""
 SELECT account, class_name, student_id, full_name, birth_date, gender, midterm, exam, final_grade,
-  CAST(row_number() OVER (PARTITION BY account, class_name ORDER BY {roster_key('full_name')}, ord) AS BIGINT) AS pos
+  CAST(row_number() OVER (PARTITION BY account, class_name ORDER BY {roster_key('full_name')} NULLS FIRST, ord) AS BIGINT) AS pos
 FROM students_v WHERE class_name = {cls}"""
     out["headcount"] = with_(BASE) + f"""
 SELECT account, count(*) AS headcount FROM students_v WHERE class_name = {cls} GROUP BY account"""
     out["student_labels"] = with_(BASE) + f"""
 SELECT account, class_name, student_id, concat_ws(' - ', full_name, student_id) AS label,
-  CAST(row_number() OVER (PARTITION BY account, class_name ORDER BY {roster_key('full_name')}, ord) AS BIGINT) AS pos
+  CAST(row_number() OVER (PARTITION BY account, class_name ORDER BY {roster_key('full_name')} NULLS FIRST, ord) AS BIGINT) AS pos
 FROM students_v WHERE class_name IS NOT NULL"""
     out["class_list"] = with_(BASE) + """
 SELECT account, class_name, CAST(row_number() OVER (PARTITION BY account ORDER BY ord) AS BIGINT) AS pos
