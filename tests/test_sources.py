@@ -4,7 +4,6 @@ import json
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from classledger import schema as S
 from classledger.operators.grades import merge_grades
