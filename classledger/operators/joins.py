@@ -39,6 +39,11 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
     return r.n <= max_rows and r.b <= max_bytes
 
 
+def fits_rows(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` provably holds at most ``max_rows`` rows (a ``limit`` job that stops early)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_when(ok: bool, *dfs: DataFrame):
     """Broadcast hints on ``dfs`` when a single size check ``ok`` bounds them all."""
     out = tuple(F.broadcast(d) if ok else d for d in dfs)

@@ -2,10 +2,14 @@
 
 ``row_number().over(Window.partitionBy(g).orderBy(o))`` puts every row of a
 group in one task; a class holding a third of all students would then be one
-task. Here the rows are range-partitioned on the full key ``(g, o)`` instead,
-so a hot group is cut into contiguous slices over many tasks. Each slice is
-numbered locally, a small table of slice sizes gives the offset of every slice
-within its group, and a join adds the offset back.
+task. So groups are first sized (a partial aggregation): a group holding more
+than 1/n of all rows is *hot* (there are fewer than n such groups, n being
+the shuffle width, a proven bound for broadcasting their keys). Ordinary
+groups are numbered by a plain window, each bounded by total/n rows. Rows of
+hot groups are range-partitioned on the full key ``(g, o)`` instead, so a hot
+group is cut into contiguous slices over many tasks; each slice is numbered
+locally, a small table of slice sizes gives the offset of every slice within
+its group, and a join adds the offset back.
 
 The sliced rows are written once, as a Parquet table under
 ``spark.checkpoint.dir``, and both the slice-size table and the final join
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, fits_rows
 
 
 def _as_col(c) -> Column:
@@ -38,17 +42,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def positions_within(df: DataFrame, group_cols: list[str], order_cols: list,
-                     out: str = "pos", num_partitions: int | None = None) -> DataFrame:
-    """Add ``out``: 1-based position of each row within ``group_cols`` by ``order_cols``.
+def _width(df: DataFrame, num_partitions: int | None) -> int:
+    return num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    ``order_cols`` must be a total order inside each group (end it with a
-    unique column such as ``ord``); groups may contain NULLs. With no group
-    columns the position is global. Runs two jobs eagerly (the sliced table
-    and the slice-size table); the returned DataFrame is lazy.
+
+# A group below this many rows is numbered in one task whatever its share.
+MIN_HOT_ROWS = 1_000_000
+
+
+def hot_groups(df: DataFrame, group_cols: list[str], num_partitions: int | None = None,
+               min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Groups holding more than max(1/n of the rows, ``min_rows``) rows, written once.
+
+    There are fewer than n of them, whatever the data.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _width(df, num_partitions)
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.select(F.sum("_n")).scalar()
+    hot = (F.col("_n") * F.lit(n) > total) & (F.col("_n") > F.lit(min_rows))
+    return materialise(sizes.where(hot).select(*group_cols), "hot-groups")
+
+
+def _window_positions(df: DataFrame, group_cols, order_cols, out: str) -> DataFrame:
+    w = Window.partitionBy(*group_cols).orderBy(*[_as_col(c) for c in order_cols])
+    return df.withColumn(out, F.row_number().over(w).cast("long"))
+
+
+def _sliced_positions(df: DataFrame, group_cols, order_cols, out: str, n: int) -> DataFrame:
     keys = [_as_col(c) for c in group_cols] + [_as_col(c) for c in order_cols]
     sliced = materialise(
         df.repartitionByRange(n, *keys)
@@ -74,6 +94,36 @@ def positions_within(df: DataFrame, group_cols: list[str], order_cols: list,
     return joined.select(*[sliced[c] for c in df.columns], pos.alias(out))
 
 
+def positions_within(df: DataFrame, group_cols: list[str], order_cols: list,
+                     out: str = "pos", num_partitions: int | None = None,
+                     min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Add ``out``: 1-based position of each row within ``group_cols`` by ``order_cols``.
+
+    ``order_cols`` must be a total order inside each group (end it with a
+    unique column such as ``ord``); groups may contain NULLs. With no group
+    columns the position is global: one group, sliced once it holds more
+    than ``min_hot_rows`` rows. Runs the group-size job eagerly, and the
+    slicing jobs only when a group is hot; the returned DataFrame is lazy.
+    """
+    n = _width(df, num_partitions)
+    if not group_cols:
+        if fits_rows(df, min_hot_rows):
+            return _window_positions(df, [], order_cols, out)
+        return _sliced_positions(df, [], order_cols, out, n)
+    hot = hot_groups(df, group_cols, n, min_hot_rows)
+    if hot.isEmpty():
+        return _window_positions(df, group_cols, order_cols, out)
+    # Fewer than n hot groups: a proven bound, broadcast without a check.
+    hot = F.broadcast(hot.select(*[F.col(g).alias(f"_h_{i}") for i, g in enumerate(group_cols)]))
+    cond = None
+    for i, g in enumerate(group_cols):
+        part = df[g].eqNullSafe(hot[f"_h_{i}"])
+        cond = part if cond is None else cond & part
+    cold = _window_positions(df.join(hot, cond, "left_anti"), group_cols, order_cols, out)
+    warm = _sliced_positions(df.join(hot, cond, "left_semi"), group_cols, order_cols, out, n)
+    return cold.unionByName(warm)
+
+
 def first_by_row(df: DataFrame, key_cols: list[str], order_col: str, value_cols: list[str],
                  last: bool = False) -> DataFrame:
     """One row per key: the values of the row with the smallest (or largest) ``order_col``.

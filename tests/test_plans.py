@@ -27,16 +27,19 @@ def test_class_counts_aggregates_partially_before_the_shuffle(spark):
     assert "partial_count" in p
 
 
-def test_positions_use_range_slices_not_a_group_window(spark):
-    from classledger.operators.roster import roster_positions
+def test_positions_slice_only_hot_groups(spark):
+    from pyspark.sql import functions as F
+    from classledger.operators.ranking import positions_within
     from classledger.sources import driver_tables as D
-    df = D.rosters(spark, SF_ORACLE)
-    from classledger.functions import roster_sort_key
-    sliced = df.repartitionByRange(8, "account", "class_name", roster_sort_key("full_name"), "ord")
-    assert "rangepartitioning" in plan(sliced, "simple")
-    p = plan(roster_positions(df), "simple")
-    # the final plan reads the written slices; no window runs over the student rows
-    assert "Window" not in p.split("BroadcastExchange")[0]
+    # every roster group is small: a plain window, no slices
+    p = plan(positions_within(D.rosters(spark, SF_ORACLE), ["account", "class_name"], ["ord"]), "simple")
+    assert "Window" in p and "rangepartitioning" not in p
+    # one hot class: its rows are read back from the written slices
+    df = D.rosters(spark, SF_ORACLE).withColumns({
+        "account": F.lit("one"),
+        "class_name": F.when(F.col("ord") % 3 == 0, F.lit("HOT")).otherwise(F.col("class_name"))})
+    p = plan(positions_within(df, ["account", "class_name"], ["ord"], min_hot_rows=10), "simple")
+    assert "Union" in p and "_slice" in p
 
 
 def test_search_term_reaches_the_plan_as_a_literal(spark):

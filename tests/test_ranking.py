@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from classledger.operators.ranking import first_by_row, positions_within
+from classledger.operators.ranking import first_by_row, hot_groups, positions_within
 
 
 def skewed(spark, n=6000):
@@ -20,7 +20,7 @@ def skewed(spark, n=6000):
 def test_positions_equal_window(spark):
     df = skewed(spark)
     key = F.collate(F.col("name"), "vi")
-    got = positions_within(df, ["g"], [key, "ord"], out="pos", num_partitions=7)
+    got = positions_within(df, ["g"], [key, "ord"], out="pos", num_partitions=7, min_hot_rows=10)
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy(key, "ord")))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     # the hot group is spread over several slices rather than one task
@@ -29,9 +29,29 @@ def test_positions_equal_window(spark):
     assert slices > 1
 
 
+def test_hot_groups_are_found_and_bounded(spark):
+    df = skewed(spark)
+    hot = [r.g for r in hot_groups(df, ["g"], 7, min_rows=10).collect()]
+    assert hot_groups(df, ["g"], 7).count() == 0          # small groups are never split
+    assert hot == ["hot"]
+    uniform = spark.createDataFrame([(f"g{i % 50}", i) for i in range(2000)], "g string, ord long")
+    assert hot_groups(uniform, ["g"], 8, min_rows=10).count() == 0
+    got = positions_within(uniform, ["g"], ["ord"], num_partitions=8, min_hot_rows=10)
+    assert sorted((r.ord // 50 + 1, r.pos) for r in got.collect()) == \
+        sorted((i // 50 + 1, i // 50 + 1) for i in range(2000))
+
+
+def test_null_group_can_be_hot(spark):
+    rows = [(None, i) for i in range(300)] + [(f"g{i % 30}", 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, ord long")
+    got = {(r.g, r.ord): r.pos for r in positions_within(df, ["g"], ["ord"], num_partitions=4, min_hot_rows=10).collect()}
+    assert all(got[(None, i)] == i + 1 for i in range(300))
+    assert all(got[(f"g{i % 30}", 1000 + i)] == i // 30 + 1 for i in range(300))
+
+
 def test_global_positions(spark):
     df = skewed(spark, 500)
-    got = positions_within(df, [], ["ord"], out="pos", num_partitions=5)
+    got = positions_within(df, [], ["ord"], out="pos", num_partitions=5, min_hot_rows=10)
     assert sorted((r.ord + 1, r.pos) for r in got.collect()) == [(i, i) for i in range(1, 501)]
 
 
