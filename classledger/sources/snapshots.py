@@ -41,11 +41,13 @@ def load(spark: SparkSession, path: str, account: str | None = None) -> Tables:
 
 
 def save(tables: Tables, path: str, previous: Tables | None = None, skip_admin: bool = True,
-         max_records_per_file: int = 5_000_000) -> None:
+         max_records_per_file: int = 5_000_000, mode: str = "errorifexists") -> None:
     """Write ``tables`` as a new snapshot at ``path``.
 
     With ``skip_admin`` (the default), admin accounts keep their rows from
-    ``previous`` (or none): their changes last only for the session.
+    ``previous`` (or none): their changes last only for the session. ``mode``
+    stays ``errorifexists`` unless the caller owns ``path`` (a versioned folder
+    that nothing reads yet, as the streaming importer's replays do).
     """
     admins = tables.accounts.where(F.col("is_admin")).select("account")
 
@@ -61,5 +63,5 @@ def save(tables: Tables, path: str, previous: Tables | None = None, skip_admin:
                  keep(tables.classes, previous.classes if previous else None),
                  keep(tables.students, previous.students if previous else None))
     for name, df in (("accounts", out.accounts), ("classes", out.classes), ("students", out.students)):
-        (df.write.mode("errorifexists").option("maxRecordsPerFile", max_records_per_file)
+        (df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
            .partitionBy("account").parquet(f"{path}/{name}"))

@@ -65,7 +65,9 @@ def _apply(kind: str, root: str, initial: Tables | None):
             report = rejects.select("account", F.lit("refused").alias("status"), "missing")
             new = Tables(tables.accounts, tables.classes, students)
         path = f"{root}/v{epoch:012d}"
-        save(new, path, previous=tables)
+        # The folder is only read once the epoch is logged, so a replay after
+        # a failure mid-write may overwrite what it left behind.
+        save(new, path, previous=tables, mode="overwrite")
         report.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(
             f"{root}/_reports/{kind}")
         spark.createDataFrame([(epoch, path)], LOG_SCHEMA).write.mode("append").parquet(f"{root}/_log")
