@@ -68,8 +68,8 @@ def _apply(kind: str, root: str, initial: Tables | None):
         # The folder is only read once the epoch is logged, so a replay after
         # a failure mid-write may overwrite what it left behind.
         save(new, path, previous=tables, mode="overwrite")
-        report.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(
-            f"{root}/_reports/{kind}")
+        # One folder per epoch, overwritten on replay: reports are never doubled.
+        report.write.mode("overwrite").parquet(f"{root}/_reports/{kind}/epoch={epoch}")
         spark.createDataFrame([(epoch, path)], LOG_SCHEMA).write.mode("append").parquet(f"{root}/_log")
     return apply
 
