@@ -73,3 +73,23 @@ def test_search_is_a_subset_and_delete_removes_exactly(spark):
     keys = base.where(F.col("class_name") == "CT01").select("account", "student_id")
     left = delete_students(base, keys)
     assert left.count() + keys.count() == base.count()
+
+
+def test_deleted_class_disappears_from_counts(spark):
+    from classledger.operators.changes import delete_classes
+    from classledger.operators.roster import class_counts
+    from .fixtures import classes_df
+    keys = spark.createDataFrame([("t1", "CT02")], "account string, class_name string")
+    cl, st = delete_classes(classes_df(spark), imported(spark), keys)
+    got = {r.class_name: r.n_students for r in class_counts(cl, st).collect()}
+    assert got == {"CT01": 2, "CT03": 0}
+
+
+def test_decomposed_names_order_like_composed(spark):
+    import unicodedata
+    from classledger.functions import roster_sort_key
+    names = ["Lê Đức", "Vũ Ánh", "Hà Ân", "Mai An"]
+    rows = [(unicodedata.normalize("NFD", n) if i % 2 else n, i) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "n string, i long")
+    got = [r.i for r in df.orderBy(roster_sort_key("n"), "i").collect()]
+    assert got == [3, 1, 2, 0]      # An < Ánh < Ân < Đức, whatever the normal form
