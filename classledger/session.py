@@ -10,21 +10,19 @@ from pyspark.sql import SparkSession
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "classledger") -> SparkSession:
-    """A session tuned for the operators in this package.
+    """A session for the operators in this package.
 
-    On a cluster, pass nothing: the cluster's own master, shuffle sizing and
-    ``spark.checkpoint.dir`` win. Locally (tests, bench) we pick a small
-    shuffle width and a scratch checkpoint folder only when none is set.
+    On a cluster, pass nothing: the cluster's master, shuffle sizing, UI and
+    ``spark.checkpoint.dir`` are used as configured; only adaptive execution
+    with skew-join splitting is asked for (Spark's default). With a local
+    ``master`` (tests, bench) the UI is off, the shuffle width is small and a
+    scratch checkpoint folder is chosen when none is set.
     """
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    builder = (builder
-               .config("spark.ui.enabled", "false")
+    builder = (SparkSession.builder.appName(app_name)
                .config("spark.sql.adaptive.enabled", "true")
-               .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-               .config("spark.sql.adaptive.skewJoin.enabled", "true")
-               .config("spark.sql.session.timeZone", "UTC"))
+               .config("spark.sql.adaptive.skewJoin.enabled", "true"))
+    if master:
+        builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -43,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         current = tempfile.mkdtemp(prefix="classledger-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
