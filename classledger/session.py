@@ -22,7 +22,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true"))
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = (builder.master(master).config("spark.ui.enabled", "false")
+                          .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
