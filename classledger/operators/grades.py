@@ -112,15 +112,19 @@ IMPORT_NO_MATCH = "no_match"
 IMPORT_REFUSED = "refused"
 
 
-def grade_import_report(students: DataFrame, classes: DataFrame, sheet: DataFrame) -> DataFrame:
+def grade_import_report(students: DataFrame, classes: DataFrame, sheet: DataFrame,
+                        merged: DataFrame | None = None) -> DataFrame:
     """Outcome of a grade import for every account named in the sheet.
 
     ``refused`` when the account has no class or no student (nothing is
     read); ``no_match`` when no student matched (state unchanged, a warning);
-    else ``updated`` with the number of students changed.
+    else ``updated`` with the number of students changed. Pass the result of
+    :func:`merge_grades` as ``merged`` to count from it instead of merging again.
     """
     allowed = grade_import_allowed(classes, students).withColumn("_ok", F.lit(True))
-    counts = merge_counts(merge_grades(students, sheet, classes))
+    if merged is None:
+        merged = merge_grades(students, sheet, classes)
+    counts = merge_counts(merged)
     named = sheet.select("account").distinct()
     j = named.join(allowed, "account", "left").join(counts, "account", "left")
     n = F.coalesce(F.col("updated"), F.lit(0)).cast("long")

@@ -57,9 +57,11 @@ def _apply(kind: str, root: str, initial: Tables | None):
         if tables is None:
             raise ValueError("no snapshot yet: pass initial tables")
         if kind == "grades":
-            report = grade_import_report(tables.students, tables.classes, batch)
-            merged = merge_grades(tables.students, batch, tables.classes).drop("matched")
-            new = Tables(tables.accounts, tables.classes, merged)
+            # Kept for the two uses below (snapshot, report); a lost block is
+            # recomputed from the same inputs.
+            merged = merge_grades(tables.students, batch, tables.classes).persist()
+            report = grade_import_report(tables.students, tables.classes, batch, merged=merged)
+            new = Tables(tables.accounts, tables.classes, merged.drop("matched"))
         else:
             students, rejects = import_roster(tables.students, tables.classes, batch)
             report = rejects.select("account", F.lit("refused").alias("status"), "missing")
@@ -71,6 +73,8 @@ def _apply(kind: str, root: str, initial: Tables | None):
         # One folder per epoch, overwritten on replay: reports are never doubled.
         report.write.mode("overwrite").parquet(f"{root}/_reports/{kind}/epoch={epoch}")
         spark.createDataFrame([(epoch, path)], LOG_SCHEMA).write.mode("append").parquet(f"{root}/_log")
+        if kind == "grades":
+            merged.unpersist()
     return apply
 
 
