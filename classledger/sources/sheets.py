@@ -21,8 +21,10 @@ def read_sheet(spark: SparkSession, path: str, fmt: str = "csv", account: str |
     """
     if fmt == "csv":
         # No inference: the header names the columns, every cell stays a string.
+        # Quoted cells may hold line breaks (multiLine: one task per sheet file,
+        # which a spreadsheet-sized batch fits); a malformed row fails the batch.
         df = (spark.read.option("header", True).option("inferSchema", False)
-                   .option("mode", "FAILFAST").csv(path))
+                   .option("multiLine", True).option("mode", "FAILFAST").csv(path))
     elif fmt == "json":
         df = spark.read.option("primitivesAsString", True).json(path)
     elif fmt == "parquet":

@@ -24,10 +24,13 @@ def test_csv_sheet_keeps_ids_as_text(spark):
         f.write("row_no,MSSV,Họ Tên,Ngày sinh,Giới tính,Lớp Học Phần,Điểm quá trình,Điểm thi\n")
         f.write("1,21001,Lê Thị An,2004-03-04,Nữ,CT01,8.25,8\n")
         f.write("2,021002,Phạm Đức,,,CT02,,7\n")
+        f.write('3,S3,"Vũ\nDung",2004-01-01,Nữ,CT09,1,1\n')
     sh = read_sheet(spark, f"{d}/roster.csv", "csv", account="t1")
     assert all(t == "string" for c, t in sh.dtypes if c != "row_no")
-    st, rej = import_roster(spark.createDataFrame([], S.STUDENTS), classes_df(spark), sh)
+    st, rej = import_roster(spark.createDataFrame([], S.STUDENTS), classes_df(spark),
+                            sh.where("row_no < 3"))
     got = sorted((r.student_id, r.full_name, r.gender, r.class_name, r.final_grade) for r in st.collect())
+    assert sh.where("row_no = 3").first()["Họ Tên"] == "Vũ\nDung"
     assert got == [("021002", "Phạm Đức", "Nam", "CT02", 3.5), ("21001", "Lê Thị An", "Nữ", "CT01", 8.13)]
 
 
