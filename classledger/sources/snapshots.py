@@ -1,21 +1,30 @@
 """Table snapshots: load one or all accounts, write a new snapshot, seed.
 
 Each snapshot is a directory with ``accounts/``, ``classes/`` and
-``students/`` Parquet tables partitioned by ``account``. A change never
-rewrites a snapshot in place: it writes a new directory, so an account left
-with no rows cannot keep a stale partition and a failed job leaves the
-previous snapshot intact.
+``students/`` Parquet tables, partitioned by ``account_bucket`` — a hash of
+the account into a fixed number of buckets, recorded in ``_meta``. With
+millions of accounts, one directory per account would mean millions of
+directories and tiny files; buckets keep the layout bounded while loading one
+account still prunes to a single bucket directory.
+
+A change never rewrites a snapshot in place: it writes a new directory, so an
+account left with no rows cannot keep a stale partition and a failed job
+leaves the previous snapshot intact.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 
+DEFAULT_BUCKETS = 1024
+META_SCHEMA = T.StructType([T.StructField("buckets", T.IntegerType())])
+
 
 @dataclass
 class Tables:
@@ -24,6 +33,11 @@ class Tables:
     students: DataFrame
 
 
+def account_bucket(account: Column, buckets: int) -> Column:
+    """Bucket of an account: a stable 64-bit hash modulo ``buckets``."""
+    return F.pmod(F.xxhash64(account), F.lit(buckets)).cast("int")
+
+
 def seed(spark: SparkSession) -> Tables:
     """The initial state: one admin account with no classes or students (no secret is kept)."""
     return Tables(spark.createDataFrame([(S.ADMIN_ACCOUNT, True, 0)], S.ACCOUNTS),
@@ -32,16 +46,22 @@ def seed(spark: SparkSession) -> Tables:
 
 
 def load(spark: SparkSession, path: str, account: str | None = None) -> Tables:
-    """Load a snapshot; with ``account`` only that partition is read (partition pruning)."""
+    """Load a snapshot; with ``account`` only that account's bucket directory is read."""
+    buckets = spark.read.schema(META_SCHEMA).json(f"{path}/_meta").first().buckets
+
     def read(name, schema):
-        df = spark.read.schema(schema).parquet(f"{path}/{name}")
-        df = df.select(*[f.name for f in schema.fields])
-        return df.where(F.col("account") == F.lit(account)) if account is not None else df
+        full = T.StructType(schema.fields + [T.StructField("account_bucket", T.IntegerType())])
+        df = spark.read.schema(full).parquet(f"{path}/{name}")
+        if account is not None:
+            df = df.where((F.col("account_bucket") == account_bucket(F.lit(account), buckets))
+                          & (F.col("account") == F.lit(account)))
+        return df.select(*[f.name for f in schema.fields])
     return Tables(read("accounts", S.ACCOUNTS), read("classes", S.CLASSES), read("students", S.STUDENTS))
 
 
 def save(tables: Tables, path: str, previous: Tables | None = None, skip_admin: bool = True,
-         max_records_per_file: int = 5_000_000, mode: str = "errorifexists") -> None:
+         max_records_per_file: int = 5_000_000, mode: str = "errorifexists",
+         buckets: int = DEFAULT_BUCKETS) -> None:
     """Write ``tables`` as a new snapshot at ``path``.
 
     With ``skip_admin`` (the default), admin accounts keep their rows from
@@ -49,6 +69,7 @@ def save(tables: Tables, path: str, previous: Tables | None = None, skip_admin:
     stays ``errorifexists`` unless the caller owns ``path`` (a versioned folder
     that nothing reads yet, as the streaming importer's replays do).
     """
+    spark = tables.accounts.sparkSession
     admins = tables.accounts.where(F.col("is_admin")).select("account")
 
     def keep(new: DataFrame, old: DataFrame | None) -> DataFrame:
@@ -63,5 +84,7 @@ def save(tables: Tables, path: str, previous: Tables | None = None, skip_admin:
                  keep(tables.classes, previous.classes if previous else None),
                  keep(tables.students, previous.students if previous else None))
     for name, df in (("accounts", out.accounts), ("classes", out.classes), ("students", out.students)):
-        (df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
-           .partitionBy("account").parquet(f"{path}/{name}"))
+        (df.withColumn("account_bucket", account_bucket(F.col("account"), buckets))
+           .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
+           .partitionBy("account_bucket").parquet(f"{path}/{name}"))
+    spark.createDataFrame([(buckets,)], META_SCHEMA).coalesce(1).write.mode(mode).json(f"{path}/_meta")
