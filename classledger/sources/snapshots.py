@@ -84,7 +84,11 @@ def save(tables: Tables, path: str, previous: Tables | None = None, skip_admin:
                  keep(tables.classes, previous.classes if previous else None),
                  keep(tables.students, previous.students if previous else None))
     for name, df in (("accounts", out.accounts), ("classes", out.classes), ("students", out.students)):
+        # Rebalance by bucket: each bucket's rows meet in few writer tasks (few
+        # files per bucket), and AQE splits a bucket that holds a hot account
+        # across several tasks instead of one.
         (df.withColumn("account_bucket", account_bucket(F.col("account"), buckets))
+           .hint("rebalance", "account_bucket")
            .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
            .partitionBy("account_bucket").parquet(f"{path}/{name}"))
     spark.createDataFrame([(buckets,)], META_SCHEMA).coalesce(1).write.mode(mode).json(f"{path}/_meta")
