@@ -83,7 +83,8 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame):
     with the missing classes. Accepted rows are placed *before* the account's
     current rows (``ord`` below its minimum), in sheet order, so the roster
     order ``(given name, ord)`` lets new rows win ties, as a prepend followed
-    by a stable sort does.
+    by a stable sort does. ``row_no`` is the row's position in its sheet and
+    is unique within an account's batch.
     """
     missing = missing_columns(sheet.columns)
     if missing:
@@ -97,8 +98,8 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame):
     accepted = sheet.join(refused, "account", "left_anti")
     rows = normalise_roster(accepted)
     # Per-account marks, only for the accounts in the batch: a broadcast
-    # semi-join keeps the students scan to those accounts (partition pruning
-    # on an account-partitioned snapshot) and the result has one row each.
+    # semi-join drops other accounts' rows before the aggregation, and the
+    # result has one row per account.
     batch_accounts = broadcast_when(small, accepted.select("account").distinct())
     floor = (students.join(batch_accounts, "account", "left_semi")
                      .groupBy("account").agg(F.min("ord").alias("_min_ord")))
