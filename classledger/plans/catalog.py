@@ -76,6 +76,10 @@ def q_missing_classes(spark, d):
     return ingest.missing_classes(D.classes(spark, d), D.roster_sheet(spark, d))
 
 
+def q_missing_class_report(spark, d):
+    return ingest.missing_class_report(q_missing_classes(spark, d))
+
+
 def q_roster_import(spark, d):
     out, _ = ingest.import_roster(D.students(spark, d), D.classes(spark, d), D.roster_sheet(spark, d))
     return out
@@ -168,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "student_labels": q_student_labels,
     "class_list": q_class_list,
     "missing_classes": q_missing_classes,
+    "missing_class_report": q_missing_class_report,
     "roster_import": q_roster_import,
     "parse_grades": q_parse_grades,
     "delete_classes": q_delete_classes,

@@ -243,6 +243,9 @@ missing AS (
     SELECT 1 FROM classes_v c WHERE c.account = n.account AND c.class_name = n.class_name)
   GROUP BY account, class_name)"""
     out["missing_classes"] = with_(BASE, ROSTER_SHEET, missing) + "SELECT * FROM missing"
+    out["missing_class_report"] = with_(BASE, ROSTER_SHEET, missing) + """
+SELECT account, string_agg(class_name, ', ' ORDER BY first_row) AS missing, min(first_row) AS first_row
+FROM missing GROUP BY account"""
     out["roster_import"] = with_(BASE, ROSTER_SHEET, missing, f"""
 acc_rows AS (SELECT * FROM roster_sheet WHERE account NOT IN (SELECT account FROM missing)),
 rows_n AS (
