@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
 from ..operators.grades import grade_import_report, merge_grades
-from ..operators.ingest import import_roster
+from ..operators.ingest import MissingColumns, import_roster, missing_columns
 from ..sources.snapshots import Tables, load, save
 
 LOG_SCHEMA = T.StructType([T.StructField("epoch", T.LongType()), T.StructField("path", T.StringType())])
@@ -90,6 +90,11 @@ def start_sheet_imports(spark: SparkSession, drop_dir: str, root: str, checkpoin
     """
     if kind not in ("grades", "roster"):
         raise ValueError("kind is 'grades' or 'roster'")
+    if kind == "roster":
+        # The headers are declared once for the whole stream: check them (V1) up front.
+        missing = missing_columns(list(headers))
+        if missing:
+            raise MissingColumns(missing)
     reader = (spark.readStream.schema(S.sheet_schema(headers)).format(fmt)
                    .option("maxFilesPerTrigger", files_per_trigger))
     if fmt == "csv":

@@ -38,3 +38,30 @@ def test_grade_files_become_snapshots(spark):
     assert got == [("S1", 8.0), ("S2", 5.5)]
     rep = spark.read.parquet(f"{d}/snap/_reports/grades").where(F.col("account") == "thay")
     assert sorted(r.updated for r in rep.collect()) == [1, 1]
+
+
+def test_roster_files_import_and_refuse(spark):
+    import os
+
+    import pytest
+
+    from classledger.operators.ingest import MissingColumns
+    d = tempfile.mkdtemp(prefix="classledger-stream-", dir="/tmp")
+    os.makedirs(f"{d}/drop")
+    accounts = spark.createDataFrame([("admin", True, 0), ("thay", False, 1), ("co", False, 2)], S.ACCOUNTS)
+    classes = spark.createDataFrame([("thay", "CT01", 0), ("co", "CT01", 0)], S.CLASSES)
+    header = ["row_no", "account", "MSSV", "Họ và tên", "Ngày sinh", "Giới tính", "Lớp"]
+    write_csv(f"{d}/drop/1.csv", header, [(1, "thay", "S1", "Lê An", "2004-01-01", "Nữ", "CT01"),
+                                          (2, "co", "S2", "Võ Ba", "2004-01-01", "Nam", "CT09")])
+    with pytest.raises(MissingColumns):
+        start_sheet_imports(spark, f"{d}/drop", f"{d}/snap", f"{d}/ckpt", kind="roster",
+                            headers=header[2:-1], initial=Tables(accounts, classes, spark.createDataFrame([], S.STUDENTS)))
+    q = start_sheet_imports(spark, f"{d}/drop", f"{d}/snap", f"{d}/ckpt", kind="roster", headers=header[2:],
+                            initial=Tables(accounts, classes, spark.createDataFrame([], S.STUDENTS)),
+                            available_now=True)
+    q.awaitTermination(120)
+    log = spark.read.parquet(f"{d}/snap/_log").collect()
+    snap = load(spark, log[0].path)
+    assert [(r.account, r.student_id) for r in snap.students.collect()] == [("thay", "S1")]
+    rep = spark.read.parquet(f"{d}/snap/_reports/roster").collect()
+    assert [(r.account, r.status, r.missing) for r in rep] == [("co", "refused", "CT09")]
