@@ -16,7 +16,8 @@ def _cell(sheet: DataFrame, name: str):
     return F.col(f"`{name}`") if name in sheet.columns else F.lit(None).cast("string")
 
 
-def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | None = None,
+                 sheet_col: str | None = None) -> DataFrame:
     """Merge a grade sheet into the students table; adds ``matched``.
 
     Each student takes the *first* sheet row (by ``row_no``) of its account
@@ -25,31 +26,44 @@ def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | Non
     cell when present (0 included), exam the first truthy of the two exam
     cells, else the stored value; every matched row gets a new final grade.
 
+    With ``sheet_col`` the batch holds several sheets, applied in that
+    column's order exactly as one import after another: matching does not
+    depend on the order, and each value rule overwrites only when its cell is
+    there, so the latest sheet with a present midterm (or a truthy exam cell)
+    wins.
+
     Accounts with no class (when ``classes`` is given) take no sheet rows: the
     import is refused there. An account with no student has nothing to match.
     """
     mid, (kt, thi) = S.H_MIDTERM, S.H_EXAM
+    keys = ["account", "_id_key", "_class_key"]
     keyed = sheet.select(
         "account", "row_no",
+        (F.col(sheet_col) if sheet_col else F.lit(0)).alias("_sheet"),
         js_string_key(_cell(sheet, S.H_ID)).alias("_id_key"),
         js_string_key(js_or(_cell(sheet, S.H_CLASS[0]), _cell(sheet, S.H_CLASS[1]))).alias("_class_key"),
         _cell(sheet, mid).alias("_mid"), _cell(sheet, kt).alias("_kt"), _cell(sheet, thi).alias("_thi"))
     if classes is not None:
         keyed = keyed.join(classes.select("account").distinct(), "account", "left_semi")
-    first = first_by_row(keyed, ["account", "_id_key", "_class_key"], "row_no", ["_mid", "_kt", "_thi"])
-    first = first.withColumn("_hit", F.lit(True)).drop("row_no")
+    first = first_by_row(keyed, keys + ["_sheet"], "row_no", ["_mid", "_kt", "_thi"])
+    # The exam cell a sheet row contributes: the first truthy of its two cells.
+    first = first.withColumn("_exam", F.when(grade_truthy("_kt"), F.col("_kt"))
+                                       .when(grade_truthy("_thi"), F.col("_thi")))
+    if sheet_col:
+        first = first.groupBy(*keys).agg(
+            F.max_by("_mid", F.when(F.col("_mid").isNotNull(), F.col("_sheet"))).alias("_mid"),
+            F.max_by("_exam", F.when(F.col("_exam").isNotNull(), F.col("_sheet"))).alias("_exam"))
+    first = first.select(*keys, "_mid", "_exam", F.lit(True).alias("_hit"))
     # The sheet is a batch: when it is provably small, the students table is
     # streamed past a broadcast of its first rows and never shuffled.
     first = broadcast_if_small(first, bound_by=keyed)
 
     left = students.withColumns({"_id_key": js_string_key("student_id"),
                                  "_class_key": js_string_key("class_name")})
-    j = left.join(first, ["account", "_id_key", "_class_key"], "left")
+    j = left.join(first, keys, "left")
     matched = F.coalesce(F.col("_hit"), F.lit(False))
     new_mid = F.when(matched & F.col("_mid").isNotNull(), parse_grade("_mid")).otherwise(F.col("midterm"))
-    new_exam = (F.when(matched & grade_truthy("_kt"), parse_grade("_kt"))
-                 .when(matched & grade_truthy("_thi"), parse_grade("_thi"))
-                 .otherwise(F.col("exam")))
+    new_exam = F.when(matched & F.col("_exam").isNotNull(), parse_grade("_exam")).otherwise(F.col("exam"))
     out = j.withColumns({"midterm": new_mid, "exam": new_exam})
     out = out.withColumn("final_grade", F.when(matched, final_grade_of("midterm", "exam"))
                                          .otherwise(F.col("final_grade")))

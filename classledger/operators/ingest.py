@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -36,35 +36,41 @@ def sheet_class(sheet: DataFrame):
     return js_or(_cell(sheet, S.H_CLASS[0]), _cell(sheet, S.H_CLASS[1]))
 
 
-def missing_classes(classes: DataFrame, sheet: DataFrame) -> DataFrame:
+def missing_classes(classes: DataFrame, sheet: DataFrame, sheet_col: str | None = None) -> DataFrame:
     """Distinct classes named in the sheet but unknown to the account, with their first row.
 
     Blank classes are skipped; names are compared exactly (no trim). One row
-    per ``(account, class_name)``; order them by ``first_row`` for the report.
+    per ``(account, class_name)`` (per sheet too, with ``sheet_col``); order
+    them by ``first_row`` for the report.
     """
+    by = ["account"] + ([sheet_col] if sheet_col else [])
     # Reduce the batch to its distinct class names first (partial aggregation:
     # a class named by most rows costs one row per task), then look them up.
-    named = (sheet.select("account", "row_no", sheet_class(sheet).alias("class_name"))
+    named = (sheet.select(*by, "row_no", sheet_class(sheet).alias("class_name"))
                   .where(truthy("class_name"))
-                  .groupBy("account", "class_name").agg(F.min("row_no").alias("first_row")))
+                  .groupBy(*by, "class_name").agg(F.min("row_no").alias("first_row")))
     return named.join(classes.select("account", "class_name"), ["account", "class_name"], "left_anti")
 
 
-def missing_class_report(missing: DataFrame) -> DataFrame:
-    """One line per refused account: its missing classes joined in first-seen order."""
-    return (missing.groupBy("account")
+def missing_class_report(missing: DataFrame, sheet_col: str | None = None) -> DataFrame:
+    """One line per refused account (and sheet): its missing classes joined in first-seen order."""
+    by = ["account"] + ([sheet_col] if sheet_col else [])
+    return (missing.groupBy(*by)
                    .agg(F.array_join(F.transform(F.array_sort(F.collect_list(
                         F.struct("first_row", "class_name"))), lambda x: x["class_name"]), ", ")
                         .alias("missing"), F.min("first_row").alias("first_row")))
 
 
-def normalise_roster(sheet: DataFrame) -> DataFrame:
-    """Sheet rows as students: aliases, defaults ('' / 'Nam' / 0) and the final grade."""
+def normalise_roster(sheet: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sheet rows as students: aliases, defaults ('' / 'Nam' / 0) and the final grade.
+
+    ``keep`` names extra columns carried through unchanged.
+    """
     c = lambda name: _cell(sheet, name)
     mid = parse_grade(c(S.H_MIDTERM))
     exam = parse_grade(grade_or(c(S.H_EXAM[0]), c(S.H_EXAM[1])))
     out = sheet.select(
-        "account", "row_no",
+        "account", "row_no", *keep,
         js_or(c(S.H_ID), F.lit("")).alias("student_id"),
         js_or(c(S.H_NAME[0]), c(S.H_NAME[1]), F.lit("")).alias("full_name"),
         js_or(c(S.H_BIRTH[0]), c(S.H_BIRTH[1]), F.lit("")).alias("birth_date"),
@@ -74,7 +80,8 @@ def normalise_roster(sheet: DataFrame) -> DataFrame:
     return out.withColumn("final_grade", final_grade_of("midterm", "exam"))
 
 
-def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame):
+def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame,
+                  sheet_col: str | None = None):
     """Import a roster sheet into every account it names, all or nothing per account.
 
     Returns ``(students, rejects)``. Raises :class:`MissingColumns` when the
@@ -84,29 +91,41 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame):
     current rows (``ord`` below its minimum), in sheet order, so the roster
     order ``(given name, ord)`` lets new rows win ties, as a prepend followed
     by a stable sort does. ``row_no`` is the row's position in its sheet and
-    is unique within an account's batch.
+    is unique within an account's sheet.
+
+    With ``sheet_col`` the batch holds several sheets, applied in that
+    column's order as one import after another: the check refuses an
+    (account, sheet) pair, and a later sheet's rows go before an earlier
+    sheet's.
     """
     missing = missing_columns(sheet.columns)
     if missing:
         raise MissingColumns(missing)
-    unknown = missing_classes(classes, sheet)
-    rejects = missing_class_report(unknown)
+    by = ["account"] + ([sheet_col] if sheet_col else [])
+    unknown = missing_classes(classes, sheet, sheet_col)
+    rejects = missing_class_report(unknown, sheet_col)
     # Every per-account side below has at most one row per sheet row: one
     # size check on the sheet bounds them all.
     small = fits_broadcast(sheet.select("account", F.lit(0).cast("long"), F.lit(0).cast("long")))
-    refused = broadcast_when(small, unknown.select("account").distinct())
-    accepted = sheet.join(refused, "account", "left_anti")
-    rows = normalise_roster(accepted)
+    refused = broadcast_when(small, unknown.select(*by).distinct())
+    accepted = sheet.join(refused, by, "left_anti")
+    rows = normalise_roster(accepted.withColumn("_sheet", F.col(sheet_col) if sheet_col else F.lit(0)),
+                            keep=("_sheet",))
     # Per-account marks, only for the accounts in the batch: a broadcast
     # semi-join drops other accounts' rows before the aggregation, and the
     # result has one row per account.
     batch_accounts = broadcast_when(small, accepted.select("account").distinct())
     floor = (students.join(batch_accounts, "account", "left_semi")
                      .groupBy("account").agg(F.min("ord").alias("_min_ord")))
-    last = rows.groupBy("account").agg(F.max("row_no").alias("_max_row"))
-    marks = broadcast_when(small, last.join(floor, "account", "left"))
-    ordered = (rows.join(marks, "account")
-                   .withColumn("ord", (F.coalesce(F.col("_min_ord"), F.lit(1)) - F.lit(1)
+    # Each accepted sheet takes a block of ords below the blocks of the sheets
+    # applied before it; within its block, rows keep sheet order.
+    spans = rows.groupBy("account", "_sheet").agg(F.max("row_no").alias("_max_row"),
+                                                  (F.max("row_no") - F.min("row_no") + 1).alias("_span"))
+    earlier = Window.partitionBy("account").orderBy("_sheet").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_span").over(earlier), F.lit(0)))
+    marks = broadcast_when(small, spans.join(floor, "account", "left"))
+    ordered = (rows.join(marks, ["account", "_sheet"])
+                   .withColumn("ord", (F.coalesce(F.col("_min_ord"), F.lit(1)) - F.lit(1) - F.col("_before")
                                        - (F.col("_max_row") - F.col("row_no"))).cast("long")))
     new = ordered.select(*S.STUDENT_COLUMNS)
     return students.select(*S.STUDENT_COLUMNS).unionByName(new), rejects

@@ -4,8 +4,10 @@ The reference imports a sheet when a user picks a file. Here a file source
 watches a drop folder; ``foreachBatch`` applies the grade merge (M6) or the
 roster import (M7) to the current snapshot and writes the next snapshot.
 
-* One file per micro-batch by default (``maxFilesPerTrigger=1``): two sheets
-  are two imports, applied one after the other, as in the reference.
+* Several files per micro-batch (``maxFilesPerTrigger``), applied as one
+  import after another in file order (modification time, then path): the
+  operators take a sheet-order column and give exactly the sequential result,
+  so a micro-batch writes one snapshot for many sheets.
 * Snapshots are ``<root>/v<epoch>``; a log table ``<root>/_log`` records each
   finished epoch. A replayed epoch whose snapshot is already logged is
   skipped, so a restart after a failure never applies a sheet twice.
@@ -26,6 +28,7 @@ from ..operators.ingest import MissingColumns, import_roster, missing_columns
 from ..sources.snapshots import Tables, load, save
 
 LOG_SCHEMA = T.StructType([T.StructField("epoch", T.LongType()), T.StructField("path", T.StringType())])
+SHEET = "_sheet"   # sheet order inside a micro-batch: (file modification time, file path)
 
 
 def _latest(spark: SparkSession, root: str, before: int):
@@ -59,12 +62,13 @@ def _apply(kind: str, root: str, initial: Tables | None):
         if kind == "grades":
             # Kept for the two uses below (snapshot, report); a lost block is
             # recomputed from the same inputs.
-            merged = merge_grades(tables.students, batch, tables.classes).persist()
+            merged = merge_grades(tables.students, batch, tables.classes, sheet_col=SHEET).persist()
             report = grade_import_report(tables.students, tables.classes, batch, merged=merged)
             new = Tables(tables.accounts, tables.classes, merged.drop("matched"))
         else:
-            students, rejects = import_roster(tables.students, tables.classes, batch)
-            report = rejects.select("account", F.lit("refused").alias("status"), "missing")
+            students, rejects = import_roster(tables.students, tables.classes, batch, sheet_col=SHEET)
+            report = rejects.select("account", F.col(f"{SHEET}.file_path").alias("file"),
+                                    F.lit("refused").alias("status"), "missing")
             new = Tables(tables.accounts, tables.classes, students)
         path = f"{root}/v{epoch:012d}"
         # The folder is only read once the epoch is logged, so a replay after
@@ -80,7 +84,7 @@ def _apply(kind: str, root: str, initial: Tables | None):
 
 def start_sheet_imports(spark: SparkSession, drop_dir: str, root: str, checkpoint: str,
                         kind: str = "grades", fmt: str = "csv", headers=S.ALL_SHEET_HEADERS,
-                        initial: Tables | None = None, files_per_trigger: int = 1,
+                        initial: Tables | None = None, files_per_trigger: int = 100,
                         available_now: bool = False) -> StreamingQuery:
     """Start importing sheet files that appear in ``drop_dir`` into snapshots under ``root``.
 
@@ -99,7 +103,9 @@ def start_sheet_imports(spark: SparkSession, drop_dir: str, root: str, checkpoin
                    .option("maxFilesPerTrigger", files_per_trigger))
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
-    stream = reader.load(drop_dir)
+    stream = reader.load(drop_dir).withColumn(
+        SHEET, F.struct(F.col("_metadata.file_modification_time").alias("file_modification_time"),
+                        F.col("_metadata.file_path").alias("file_path")))
     writer = (stream.writeStream.foreachBatch(_apply(kind, root, initial))
                     .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

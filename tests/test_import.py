@@ -76,3 +76,22 @@ def test_empty_batch_is_noop(spark):
     base = imported(spark)
     st, rej = import_roster(base, classes_df(spark), empty)
     assert st.count() == 5 and rej.count() == 0
+
+
+def test_several_sheets_equal_one_after_another(spark):
+    from classledger.operators.roster import roster_order
+    s1 = ROSTER_ROWS[:3]
+    s2 = [(1, "S07", "Bùi An", "d", "Nam", "CT01", "1", "2", None),
+          (2, "S08", "Đỗ Ánh", "d", "Nữ", "CT09", None, None, None)]      # refused: CT09 unknown
+    s3 = [(4, "S09", "Lý An", "d", "Nam", "CT02", "3", "4", None), (9, "S10", "Tô Dung", "d", "Nữ", "CT03", None, "5", None)]
+    step = empty_students(spark)
+    for rows in (s1, s2, s3):
+        step, _ = import_roster(step, classes_df(spark), sheet(spark, ROSTER_HEADERS, rows))
+    batch = (sheet(spark, ROSTER_HEADERS, s1).withColumn("sheet_no", F.lit(1))
+             .unionByName(sheet(spark, ROSTER_HEADERS, s2).withColumn("sheet_no", F.lit(2)))
+             .unionByName(sheet(spark, ROSTER_HEADERS, s3).withColumn("sheet_no", F.lit(3))))
+    together, rej = import_roster(empty_students(spark), classes_df(spark), batch, sheet_col="sheet_no")
+    assert [(r.sheet_no, r.missing) for r in rej.collect()] == [(2, "CT09")]
+    key = lambda df: [r.student_id for r in roster_order(df).orderBy("roster_pos").collect()]
+    assert key(together) == key(step)
+    assert sorted(map(repr, together.drop("ord").collect())) == sorted(map(repr, step.drop("ord").collect()))

@@ -58,3 +58,21 @@ def test_import_report(spark):
     st = imported(spark).unionByName(imported(spark).withColumn("account", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("t2")))
     got = sorted(tuple(r) for r in grade_import_report(st, cl, g).collect())
     assert got == [("t1", "updated", 3), ("t2", "no_match", 0), ("t3", "refused", 0)]
+
+
+def test_several_sheets_equal_one_after_another(spark):
+    from pyspark.sql import functions as F
+    base = imported(spark)
+    cl = classes_df(spark)
+    s1 = sheet(spark, GRADE_HEADERS, GRADE_ROWS)
+    s2 = sheet(spark, GRADE_HEADERS, [(1, "S01", "CT01", None, "0", "5"), (2, "S02", "CT01", "1", "", None),
+                                      (3, "S05", "CT02", None, None, None), (4, "S04", "CT02", "2", "abc", "9")])
+    s3 = sheet(spark, GRADE_HEADERS, [(1, "S02", "CT01", None, "6", None), (2, "S03", "CT02", "4", None, None)])
+    step = base
+    for sh in (s1, s2, s3):
+        step = merge_grades(step, sh, cl).drop("matched")
+    batch = (s1.withColumn("sheet_no", F.lit(1)).unionByName(s2.withColumn("sheet_no", F.lit(2)))
+               .unionByName(s3.withColumn("sheet_no", F.lit(3))))
+    together = merge_grades(base, batch, cl, sheet_col="sheet_no")
+    assert sorted(map(repr, together.drop("matched").collect())) == sorted(map(repr, step.collect()))
+    assert together.where("matched").count() == 5

@@ -29,7 +29,8 @@ def test_grade_files_become_snapshots(spark):
     write_csv(f"{d}/drop/1.csv", header, [(1, "thay", "S1", "CT01", 9, 7), (2, "thay", "S1", "CT01", 1, 1)])
     write_csv(f"{d}/drop/2.csv", header, [(1, "thay", "S2", "CT01", 5, 6), (2, "thay", "S9", "CT01", 5, 6)])
     q = start_sheet_imports(spark, f"{d}/drop", f"{d}/snap", f"{d}/ckpt", kind="grades",
-                            headers=header[2:], initial=Tables(accounts, classes, students), available_now=True)
+                            headers=header[2:], initial=Tables(accounts, classes, students),
+                            files_per_trigger=1, available_now=True)
     q.awaitTermination(120)
     log = spark.read.parquet(f"{d}/snap/_log").orderBy("epoch").collect()
     assert len(log) == 2
@@ -65,3 +66,33 @@ def test_roster_files_import_and_refuse(spark):
     assert [(r.account, r.student_id) for r in snap.students.collect()] == [("thay", "S1")]
     rep = spark.read.parquet(f"{d}/snap/_reports/roster").collect()
     assert [(r.account, r.status, r.missing) for r in rep] == [("co", "refused", "CT09")]
+
+
+def test_many_files_in_one_batch_equal_one_by_one(spark):
+    import os
+    import time
+    d = tempfile.mkdtemp(prefix="classledger-stream-", dir="/tmp")
+    accounts = spark.createDataFrame([("admin", True, 0), ("thay", False, 1)], S.ACCOUNTS)
+    classes = spark.createDataFrame([("thay", "CT01", 0)], S.CLASSES)
+    students = spark.createDataFrame([("thay", "S1", "Lê An", "", "Nam", "CT01", 1.0, 1.0, 1.0, 0),
+                                      ("thay", "S2", "Võ Ba", "", "Nam", "CT01", 2.0, 2.0, 2.0, 1)],
+                                     S.STUDENTS)
+    header = ["row_no", "account", "MSSV", "Lớp", "Điểm quá trình", "Điểm kết thúc"]
+    os.makedirs(f"{d}/drop")
+    files = [[(1, "thay", "S1", "CT01", 9, 7)], [(1, "thay", "S1", "CT01", None, 3), (2, "thay", "S2", "CT01", 4, 0)],
+             [(1, "thay", "S2", "CT01", 5, None)]]
+    for i, rows in enumerate(files):
+        write_csv(f"{d}/drop/{i}.csv", header, rows)
+        os.utime(f"{d}/drop/{i}.csv", (time.time() + i, time.time() + i))
+    results = {}
+    for per in (1, 10):
+        root = f"{d}/snap{per}"
+        q = start_sheet_imports(spark, f"{d}/drop", root, f"{d}/ckpt{per}", kind="grades", headers=header[2:],
+                                initial=Tables(accounts, classes, students), files_per_trigger=per,
+                                available_now=True)
+        q.awaitTermination(120)
+        log = spark.read.parquet(f"{root}/_log").orderBy("epoch").collect()
+        assert len(log) == (3 if per == 1 else 1)
+        results[per] = sorted((r.student_id, r.midterm, r.exam, r.final_grade)
+                              for r in load(spark, log[-1].path).students.collect())
+    assert results[1] == results[10] == [("S1", 9.0, 3.0, 6.0), ("S2", 5.0, 2.0, 3.5)]
