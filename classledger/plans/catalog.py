@@ -30,6 +30,11 @@ def q_grade_merge(spark, d):
     return grades.merge_grades(D.students(spark, d), D.grade_sheet(spark, d), D.classes(spark, d))
 
 
+def q_grade_merge_sheets(spark, d):
+    return grades.merge_grades(D.students(spark, d), D.grade_sheet(spark, d), D.classes(spark, d),
+                               sheet_col="sheet_no")
+
+
 def q_grade_merge_count(spark, d):
     return grades.merge_counts(q_grade_merge(spark, d))
 
@@ -85,6 +90,12 @@ def q_roster_import(spark, d):
     return out
 
 
+def q_roster_import_sheets(spark, d):
+    out, _ = ingest.import_roster(D.students(spark, d), D.classes(spark, d), D.roster_sheet(spark, d),
+                                  sheet_col="sheet_no")
+    return out
+
+
 def q_parse_grades(spark, d):
     e = D.table(spark, d, "events").select("event_id", "props", "value", "event_type")
     a = F.substring(F.col("props"), 7, 1 << 30)
@@ -161,6 +172,7 @@ def q_account_listing(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_counts": q_class_counts,
     "grade_merge": q_grade_merge,
+    "grade_merge_sheets": q_grade_merge_sheets,
     "grade_merge_count": q_grade_merge_count,
     "grade_import_report": q_grade_import_report,
     "roster_positions": q_roster_positions,
@@ -174,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_classes": q_missing_classes,
     "missing_class_report": q_missing_class_report,
     "roster_import": q_roster_import,
+    "roster_import_sheets": q_roster_import_sheets,
     "parse_grades": q_parse_grades,
     "delete_classes": q_delete_classes,
     "delete_classes_students": q_delete_classes_students,

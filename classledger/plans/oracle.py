@@ -107,7 +107,7 @@ rosters AS (
 
 GRADE_SHEET = """
 gs_base AS (
-  SELECT o.o_orderkey AS k, o.o_custkey, o.o_totalprice, c.account,
+  SELECT o.o_orderkey AS k, o.o_custkey, o.o_totalprice, c.account, o.o_orderstatus AS status,
          CASE WHEN o.o_orderstatus = 'P' THEN 'NATION_X' ELSE c.n_name END AS cls
   FROM orders o JOIN cust c ON o.o_custkey = c.c_custkey WHERE o.o_orderpriority = '5-LOW'),
 grade_sheet AS (
@@ -121,7 +121,8 @@ grade_sheet AS (
          ELSE CAST(o_totalprice / 50000.0 AS VARCHAR) END AS "Điểm quá trình",
     CASE WHEN k % 5 = 0 THEN '0' WHEN k % 5 = 1 THEN NULL WHEN k % 5 = 2 THEN ''
          ELSE CAST(k % 11 AS VARCHAR) END AS "Điểm kết thúc",
-    CASE WHEN k % 3 = 0 THEN NULL ELSE CAST(k % 9 AS VARCHAR) || '.75' END AS "Điểm thi"
+    CASE WHEN k % 3 = 0 THEN NULL ELSE CAST(k % 9 AS VARCHAR) || '.75' END AS "Điểm thi",
+    status AS sheet_no
   FROM gs_base)"""
 
 SUPP = """
@@ -145,7 +146,8 @@ roster_sheet AS (
          ELSE CAST(s_acctbal / 1000.0 AS VARCHAR) END AS "Điểm quá trình",
     CASE WHEN s_suppkey % 5 = 0 THEN '0' WHEN s_suppkey % 5 = 1 THEN NULL
          ELSE CAST(s_suppkey % 11 AS VARCHAR) END AS "Điểm kết thúc",
-    CAST(s_suppkey % 10 AS VARCHAR) || '.5' AS "Điểm thi"
+    CAST(s_suppkey % 10 AS VARCHAR) || '.5' AS "Điểm thi",
+    CAST(s_suppkey % 3 AS INTEGER) AS sheet_no
   FROM supp)"""
 
 
@@ -179,6 +181,38 @@ merged AS (
   FROM m)""")
 
 
+def merged_sheets_sql() -> str:
+    """Several sheets applied in ``sheet_no`` order: per sheet the first row
+    of a key, then the latest present midterm and the latest truthy exam cell."""
+    return with_(BASE, GRADE_SHEET, f"""
+keyed AS (
+  SELECT account, row_no, sheet_no, {js_key('"MSSV"')} AS id_key,
+         {js_key(js_or('"Lớp"', '"Lớp Học Phần"'))} AS class_key,
+         "Điểm quá trình" AS mid, "Điểm kết thúc" AS kt, "Điểm thi" AS thi
+  FROM grade_sheet WHERE account IN (SELECT account FROM classes_v)),
+first_row AS (
+  SELECT *, CASE WHEN {gtruthy('kt')} THEN kt WHEN {gtruthy('thi')} THEN thi END AS exam_cell
+  FROM (SELECT *, row_number() OVER (PARTITION BY account, id_key, class_key, sheet_no ORDER BY row_no) AS rn
+        FROM keyed) WHERE rn = 1),
+folded AS (
+  SELECT account, id_key, class_key,
+    arg_max(mid, sheet_no) FILTER (WHERE mid IS NOT NULL) AS mid,
+    arg_max(exam_cell, sheet_no) FILTER (WHERE exam_cell IS NOT NULL) AS exam_cell
+  FROM first_row GROUP BY account, id_key, class_key),
+j AS (
+  SELECT s.*, f.mid, f.exam_cell, f.account IS NOT NULL AS matched
+  FROM students_v s LEFT JOIN folded f
+    ON s.account = f.account AND {js_key('s.student_id')} = f.id_key AND {js_key('s.class_name')} = f.class_key),
+m AS (
+  SELECT account, student_id, full_name, birth_date, gender, class_name,
+    CASE WHEN matched AND mid IS NOT NULL THEN {parse('mid')} ELSE midterm END AS midterm,
+    CASE WHEN matched AND exam_cell IS NOT NULL THEN {parse('exam_cell')} ELSE exam END AS exam,
+    final_grade, ord, matched FROM j)""") + f"""
+SELECT account, student_id, full_name, birth_date, gender, class_name, midterm, exam,
+  CASE WHEN matched THEN {final_of('midterm', 'exam')} ELSE final_grade END AS final_grade, ord, matched
+FROM m"""
+
+
 def _sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["class_counts"] = with_(BASE, """
@@ -187,6 +221,7 @@ SELECT c.account, c.class_name, c.ord, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n_s
 FROM classes_v c LEFT JOIN cnt ON c.account = cnt.account AND c.class_name = cnt.class_name"""
 
     out["grade_merge"] = merged_sql() + "SELECT * FROM merged"
+    out["grade_merge_sheets"] = merged_sheets_sql()
     out["grade_merge_count"] = merged_sql() + \
         "SELECT account, CAST(count(*) FILTER (WHERE matched) AS BIGINT) AS updated FROM merged GROUP BY account"
 
@@ -264,6 +299,38 @@ SELECT r.account, r.student_id, r.full_name, r.birth_date, r.gender, r.class_nam
   CAST(coalesce(fl.min_ord, 1) - 1 - (lr.max_row - r.row_no) AS BIGINT) AS ord
 FROM rows_n r JOIN lr ON r.account = lr.account LEFT JOIN fl ON r.account = fl.account"""
 
+    out["roster_import_sheets"] = with_(BASE, ROSTER_SHEET, f"""
+named_s AS (SELECT account, sheet_no, row_no, {sheet_class} AS class_name FROM roster_sheet),
+refused AS (
+  SELECT DISTINCT account, sheet_no FROM named_s n
+  WHERE {truthy('class_name')} AND NOT EXISTS (
+    SELECT 1 FROM classes_v c WHERE c.account = n.account AND c.class_name = n.class_name)),
+acc_rows AS (
+  SELECT r.* FROM roster_sheet r
+  WHERE NOT EXISTS (SELECT 1 FROM refused f WHERE f.account = r.account AND f.sheet_no = r.sheet_no)),
+rows_n AS (
+  SELECT account, sheet_no, row_no, {js_or('"MSSV"', "''")} AS student_id,
+    {js_or('"Họ và tên"', '"Họ Tên"', "''")} AS full_name,
+    {js_or('"Ngày tháng năm sinh"', '"Ngày sinh"', "''")} AS birth_date,
+    {js_or('"Giới tính"', "'Nam'")} AS gender, {sheet_class} AS class_name,
+    {parse('"Điểm quá trình"')} AS midterm, {parse(gor('"Điểm kết thúc"', '"Điểm thi"'))} AS exam
+  FROM acc_rows),
+fl AS (SELECT account, min(ord) AS min_ord FROM students_v GROUP BY account),
+spans AS (
+  SELECT account, sheet_no, max(row_no) AS max_row, max(row_no) - min(row_no) + 1 AS span
+  FROM rows_n GROUP BY account, sheet_no),
+before AS (
+  SELECT *, coalesce(sum(span) OVER (PARTITION BY account ORDER BY sheet_no
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_span
+  FROM spans)""") + f"""
+SELECT {STUDENT_COLS} FROM students_v
+UNION ALL
+SELECT r.account, r.student_id, r.full_name, r.birth_date, r.gender, r.class_name, r.midterm, r.exam,
+  {final_of('r.midterm', 'r.exam')} AS final_grade,
+  CAST(coalesce(fl.min_ord, 1) - 1 - b.before_span - (b.max_row - r.row_no) AS BIGINT) AS ord
+FROM rows_n r JOIN before b ON r.account = b.account AND r.sheet_no = b.sheet_no
+LEFT JOIN fl ON r.account = fl.account"""
+
     a, b = "substr(props, 7)", "(CAST(value AS VARCHAR) || event_type)"
     out["parse_grades"] = f"""
 SELECT event_id, {parse(a)} AS midterm, {parse(b)} AS exam, {final_text(a, b)} AS final_grade,

@@ -9,8 +9,10 @@ Mapping (every view reads whole tables; nothing is sampled or capped):
 * rosters   = part as students of class ``p_brand`` (two-word names, many
   given-name ties), owned by account ``p_partkey % 5``.
 * grade_sheet  = orders of priority 5-LOW as grade sheet rows (``row_no`` =
-  ``o_orderkey``), with blank, alias, zero, padded and unknown-class cells.
-* roster_sheet = supplier rows as a roster sheet with alias columns.
+  ``o_orderkey``), with blank, alias, zero, padded and unknown-class cells;
+  ``sheet_no`` (the order status) splits it into sheets applied in turn.
+* roster_sheet = supplier rows as a roster sheet with alias columns;
+  ``sheet_no`` (``s_suppkey % 3``) splits it into three sheets.
 * new_students / new_classes = supplier rows as additions, some blank.
 * edits = BUILDING customers; grade_entries = 1-URGENT orders;
   account_candidates = three registrations per part plus the region names.
@@ -140,7 +142,8 @@ def grade_sheet(spark, sf_dir) -> DataFrame:
         F.when(_mod(k, 6) == 0, F.lit(None).cast("string")).otherwise(cls).alias(S.H_CLASS[0]),
         F.when(_mod(k, 12) == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(cls, F.lit(" "))).alias(S.H_CLASS[1]),
-        mid.alias(S.H_MIDTERM), kt.alias(S.H_EXAM[0]), thi.alias(S.H_EXAM[1]))
+        mid.alias(S.H_MIDTERM), kt.alias(S.H_EXAM[0]), thi.alias(S.H_EXAM[1]),
+        F.col("o_orderstatus").alias("sheet_no"))
 
 
 def _suppliers(spark, sf_dir) -> DataFrame:
@@ -180,7 +183,8 @@ def roster_sheet(spark, sf_dir) -> DataFrame:
          .otherwise((F.col("s_acctbal") / F.lit(1000.0)).cast("string")).alias(S.H_MIDTERM),
         F.when(_mod(k, 5) == 0, F.lit("0")).when(_mod(k, 5) == 1, null)
          .otherwise(_mod(k, 11).cast("string")).alias(S.H_EXAM[0]),
-        F.concat(_mod(k, 10).cast("string"), F.lit(".5")).alias(S.H_EXAM[1]))
+        F.concat(_mod(k, 10).cast("string"), F.lit(".5")).alias(S.H_EXAM[1]),
+        _mod(k, 3).cast("int").alias("sheet_no"))
 
 
 def new_students(spark, sf_dir) -> DataFrame:
