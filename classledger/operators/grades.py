@@ -16,6 +16,37 @@ def _cell(sheet: DataFrame, name: str):
     return F.col(f"`{name}`") if name in sheet.columns else F.lit(None).cast("string")
 
 
+KEYS = ["account", "_id_key", "_class_key"]
+
+
+def sheet_first_rows(sheet: DataFrame, classes: DataFrame | None = None, sheet_col: str | None = None):
+    """The first row of each (account, trimmed id, trimmed class) key in each sheet.
+
+    Returns ``(keyed, first)``: the keyed sheet rows and, per key and sheet
+    (``_sheet``), the midterm cell and the exam cell that row contributes (the
+    first truthy of its two exam cells). Accounts without classes are dropped
+    when ``classes`` is given (the import is refused there).
+    """
+    mid, (kt, thi) = S.H_MIDTERM, S.H_EXAM
+    keyed = sheet.select(
+        "account", "row_no",
+        (F.col(sheet_col) if sheet_col else F.lit(0)).alias("_sheet"),
+        js_string_key(_cell(sheet, S.H_ID)).alias("_id_key"),
+        js_string_key(js_or(_cell(sheet, S.H_CLASS[0]), _cell(sheet, S.H_CLASS[1]))).alias("_class_key"),
+        _cell(sheet, mid).alias("_mid"), _cell(sheet, kt).alias("_kt"), _cell(sheet, thi).alias("_thi"))
+    if classes is not None:
+        keyed = keyed.join(classes.select("account").distinct(), "account", "left_semi")
+    first = first_by_row(keyed, KEYS + ["_sheet"], "row_no", ["_mid", "_kt", "_thi"])
+    first = first.withColumn("_exam", F.when(grade_truthy("_kt"), F.col("_kt"))
+                                       .when(grade_truthy("_thi"), F.col("_thi")))
+    return keyed, first.select(*KEYS, "_sheet", "_mid", "_exam")
+
+
+def _student_keys(students: DataFrame) -> DataFrame:
+    return students.withColumns({"_id_key": js_string_key("student_id"),
+                                 "_class_key": js_string_key("class_name")})
+
+
 def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | None = None,
                  sheet_col: str | None = None) -> DataFrame:
     """Merge a grade sheet into the students table; adds ``matched``.
@@ -35,32 +66,17 @@ def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | Non
     Accounts with no class (when ``classes`` is given) take no sheet rows: the
     import is refused there. An account with no student has nothing to match.
     """
-    mid, (kt, thi) = S.H_MIDTERM, S.H_EXAM
-    keys = ["account", "_id_key", "_class_key"]
-    keyed = sheet.select(
-        "account", "row_no",
-        (F.col(sheet_col) if sheet_col else F.lit(0)).alias("_sheet"),
-        js_string_key(_cell(sheet, S.H_ID)).alias("_id_key"),
-        js_string_key(js_or(_cell(sheet, S.H_CLASS[0]), _cell(sheet, S.H_CLASS[1]))).alias("_class_key"),
-        _cell(sheet, mid).alias("_mid"), _cell(sheet, kt).alias("_kt"), _cell(sheet, thi).alias("_thi"))
-    if classes is not None:
-        keyed = keyed.join(classes.select("account").distinct(), "account", "left_semi")
-    first = first_by_row(keyed, keys + ["_sheet"], "row_no", ["_mid", "_kt", "_thi"])
-    # The exam cell a sheet row contributes: the first truthy of its two cells.
-    first = first.withColumn("_exam", F.when(grade_truthy("_kt"), F.col("_kt"))
-                                       .when(grade_truthy("_thi"), F.col("_thi")))
+    keyed, first = sheet_first_rows(sheet, classes, sheet_col)
     if sheet_col:
-        first = first.groupBy(*keys).agg(
+        first = first.groupBy(*KEYS).agg(
             F.max_by("_mid", F.when(F.col("_mid").isNotNull(), F.col("_sheet"))).alias("_mid"),
             F.max_by("_exam", F.when(F.col("_exam").isNotNull(), F.col("_sheet"))).alias("_exam"))
-    first = first.select(*keys, "_mid", "_exam", F.lit(True).alias("_hit"))
+    first = first.select(*KEYS, "_mid", "_exam", F.lit(True).alias("_hit"))
     # The sheet is a batch: when it is provably small, the students table is
     # streamed past a broadcast of its first rows and never shuffled.
     first = broadcast_if_small(first, bound_by=keyed)
 
-    left = students.withColumns({"_id_key": js_string_key("student_id"),
-                                 "_class_key": js_string_key("class_name")})
-    j = left.join(first, keys, "left")
+    j = _student_keys(students).join(first, KEYS, "left")
     matched = F.coalesce(F.col("_hit"), F.lit(False))
     new_mid = F.when(matched & F.col("_mid").isNotNull(), parse_grade("_mid")).otherwise(F.col("midterm"))
     new_exam = F.when(matched & F.col("_exam").isNotNull(), parse_grade("_exam")).otherwise(F.col("exam"))
@@ -70,6 +86,19 @@ def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | Non
     return out.select(*students.columns, matched.alias("matched"))
 
 
+def merge_counts_by_sheet(students: DataFrame, sheet: DataFrame, classes: DataFrame | None,
+                          sheet_col: str) -> DataFrame:
+    """Students updated by each sheet of a batch, per ``(account, sheet)`` (matched ones only).
+
+    A keys-only pass over the students against the (broadcast) first rows.
+    """
+    keyed, first = sheet_first_rows(sheet, classes, sheet_col)
+    first = broadcast_if_small(first.select(*KEYS, "_sheet"), bound_by=keyed)
+    hits = _student_keys(students.select("account", "student_id", "class_name")).join(first, KEYS)
+    return (hits.groupBy("account", "_sheet").agg(F.count(F.lit(1)).alias("updated"))
+                .withColumnRenamed("_sheet", sheet_col))
+
+
 def merge_counts(merged: DataFrame) -> DataFrame:
     """Number of students updated by a merge, per account (zero included)."""
     return merged.groupBy("account").agg(F.count_if(F.col("matched")).cast("long").alias("updated"))
@@ -127,23 +156,28 @@ IMPORT_REFUSED = "refused"
 
 
 def grade_import_report(students: DataFrame, classes: DataFrame, sheet: DataFrame,
-                        merged: DataFrame | None = None) -> DataFrame:
-    """Outcome of a grade import for every account named in the sheet.
+                        merged: DataFrame | None = None, sheet_col: str | None = None) -> DataFrame:
+    """Outcome of a grade import for every account named in the sheet (and every sheet).
 
     ``refused`` when the account has no class or no student (nothing is
     read); ``no_match`` when no student matched (state unchanged, a warning);
     else ``updated`` with the number of students changed. Pass the result of
-    :func:`merge_grades` as ``merged`` to count from it instead of merging again.
+    :func:`merge_grades` as ``merged`` to count from it instead of merging
+    again; with ``sheet_col`` each sheet of the batch gets its own line.
     """
+    by = ["account"] + ([sheet_col] if sheet_col else [])
     allowed = grade_import_allowed(classes, students).withColumn("_ok", F.lit(True))
-    if merged is None:
-        merged = merge_grades(students, sheet, classes)
-    counts = merge_counts(merged)
-    named = sheet.select("account").distinct()
-    j = named.join(allowed, "account", "left").join(counts, "account", "left")
+    if sheet_col:
+        counts = merge_counts_by_sheet(students, sheet, classes, sheet_col)
+    else:
+        if merged is None:
+            merged = merge_grades(students, sheet, classes)
+        counts = merge_counts(merged)
+    named = sheet.select(*by).distinct()
+    j = named.join(allowed, "account", "left").join(counts, by, "left")
     n = F.coalesce(F.col("updated"), F.lit(0)).cast("long")
     status = (F.when(F.col("_ok").isNull(), F.lit(IMPORT_REFUSED))
                .when(n == 0, F.lit(IMPORT_NO_MATCH))
                .otherwise(F.lit(IMPORT_UPDATED)))
-    return j.select("account", status.alias("status"),
+    return j.select(*by, status.alias("status"),
                     F.when(F.col("_ok").isNull(), F.lit(0).cast("long")).otherwise(n).alias("updated"))

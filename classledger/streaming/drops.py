@@ -11,8 +11,9 @@ roster import (M7) to the current snapshot and writes the next snapshot.
 * Snapshots are ``<root>/v<epoch>``; a log table ``<root>/_log`` records each
   finished epoch. A replayed epoch whose snapshot is already logged is
   skipped, so a restart after a failure never applies a sheet twice.
-* Per-account outcomes (updated / no_match / refused, or the missing
-  classes of a refused roster) are appended to ``<root>/_reports``.
+* Outcomes per account and file (updated / no_match / refused with the
+  number of students updated, or the missing classes of a refused roster)
+  are written to ``<root>/_reports``, one folder per epoch.
 """
 
 from __future__ import annotations
@@ -62,8 +63,9 @@ def _apply(kind: str, root: str, initial: Tables | None):
         if kind == "grades":
             # Kept for the two uses below (snapshot, report); a lost block is
             # recomputed from the same inputs.
-            merged = merge_grades(tables.students, batch, tables.classes, sheet_col=SHEET).persist()
-            report = grade_import_report(tables.students, tables.classes, batch, merged=merged)
+            merged = merge_grades(tables.students, batch, tables.classes, sheet_col=SHEET)
+            report = grade_import_report(tables.students, tables.classes, batch, sheet_col=SHEET)
+            report = report.select("account", F.col(f"{SHEET}.file_path").alias("file"), "status", "updated")
             new = Tables(tables.accounts, tables.classes, merged.drop("matched"))
         else:
             students, rejects = import_roster(tables.students, tables.classes, batch, sheet_col=SHEET)
@@ -77,8 +79,6 @@ def _apply(kind: str, root: str, initial: Tables | None):
         # One folder per epoch, overwritten on replay: reports are never doubled.
         report.write.mode("overwrite").parquet(f"{root}/_reports/{kind}/epoch={epoch}")
         spark.createDataFrame([(epoch, path)], LOG_SCHEMA).write.mode("append").parquet(f"{root}/_log")
-        if kind == "grades":
-            merged.unpersist()
     return apply
 
 

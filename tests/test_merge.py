@@ -76,3 +76,12 @@ def test_several_sheets_equal_one_after_another(spark):
     together = merge_grades(base, batch, cl, sheet_col="sheet_no")
     assert sorted(map(repr, together.drop("matched").collect())) == sorted(map(repr, step.collect()))
     assert together.where("matched").count() == 5
+
+
+def test_report_per_sheet(spark):
+    from pyspark.sql import functions as F
+    from classledger.operators.grades import grade_import_report
+    s1 = sheet(spark, GRADE_HEADERS, GRADE_ROWS).withColumn("sheet_no", F.lit(1))
+    s2 = sheet(spark, GRADE_HEADERS, [GRADE_ROWS[2]]).withColumn("sheet_no", F.lit(2))
+    rep = grade_import_report(imported(spark), classes_df(spark), s1.unionByName(s2), sheet_col="sheet_no")
+    assert sorted(tuple(r) for r in rep.collect()) == [("t1", 1, "updated", 3), ("t1", 2, "no_match", 0)]

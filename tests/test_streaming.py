@@ -38,7 +38,8 @@ def test_grade_files_become_snapshots(spark):
     got = sorted((r.student_id, r.final_grade) for r in last.collect())
     assert got == [("S1", 8.0), ("S2", 5.5)]
     rep = spark.read.parquet(f"{d}/snap/_reports/grades").where(F.col("account") == "thay")
-    assert sorted(r.updated for r in rep.collect()) == [1, 1]
+    assert sorted((r.file[-5:], r.status, r.updated) for r in rep.collect()) == \
+        [("1.csv", "updated", 1), ("2.csv", "updated", 1)]
 
 
 def test_roster_files_import_and_refuse(spark):
@@ -96,3 +97,5 @@ def test_many_files_in_one_batch_equal_one_by_one(spark):
         results[per] = sorted((r.student_id, r.midterm, r.exam, r.final_grade)
                               for r in load(spark, log[-1].path).students.collect())
     assert results[1] == results[10] == [("S1", 9.0, 3.0, 6.0), ("S2", 5.0, 2.0, 3.5)]
+    rep = spark.read.parquet(f"{d}/snap10/_reports/grades").collect()
+    assert sorted((r.file[-5:], r.updated) for r in rep) == [("0.csv", 1), ("1.csv", 2), ("2.csv", 1)]
