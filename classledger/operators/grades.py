@@ -86,6 +86,18 @@ def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | Non
     return out.select(*students.columns, matched.alias("matched"))
 
 
+def observe_updates(merged: DataFrame, name: str = "grade_merge"):
+    """Attach an ``Observation`` counting matched students to a merge result.
+
+    Returns ``(merged, observation)``; once an action runs on the returned
+    DataFrame (e.g. writing the new snapshot), ``observation.get["updated"]``
+    holds the count without a second pass over the students.
+    """
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return merged.observe(obs, F.count_if(F.col("matched")).alias("updated")), obs
+
+
 def merge_counts_by_sheet(students: DataFrame, sheet: DataFrame, classes: DataFrame | None,
                           sheet_col: str) -> DataFrame:
     """Students updated by each sheet of a batch, per ``(account, sheet)`` (matched ones only).

@@ -85,3 +85,11 @@ def test_report_per_sheet(spark):
     s2 = sheet(spark, GRADE_HEADERS, [GRADE_ROWS[2]]).withColumn("sheet_no", F.lit(2))
     rep = grade_import_report(imported(spark), classes_df(spark), s1.unionByName(s2), sheet_col="sheet_no")
     assert sorted(tuple(r) for r in rep.collect()) == [("t1", 1, "updated", 3), ("t1", 2, "no_match", 0)]
+
+
+def test_observed_update_count(spark):
+    from classledger.operators.grades import observe_updates
+    merged, obs = observe_updates(merge_grades(imported(spark), sheet(spark, GRADE_HEADERS, GRADE_ROWS),
+                                               classes_df(spark)))
+    merged.write.format("noop").mode("overwrite").save()
+    assert obs.get["updated"] == 3
