@@ -43,6 +43,11 @@ def q_grade_import_report(spark, d):
     return grades.grade_import_report(D.students(spark, d), D.classes(spark, d), D.grade_sheet(spark, d))
 
 
+def q_grade_import_report_sheets(spark, d):
+    return grades.grade_import_report(D.students(spark, d), D.classes(spark, d), D.grade_sheet(spark, d),
+                                      sheet_col="sheet_no")
+
+
 def q_roster_positions(spark, d):
     return roster.roster_positions(D.rosters(spark, d)).select(
         "account", "class_name", "student_id", "full_name", "pos")
@@ -175,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grade_merge_sheets": q_grade_merge_sheets,
     "grade_merge_count": q_grade_merge_count,
     "grade_import_report": q_grade_import_report,
+    "grade_import_report_sheets": q_grade_import_report_sheets,
     "roster_positions": q_roster_positions,
     "roster_order": q_roster_order,
     "student_search": q_student_search,

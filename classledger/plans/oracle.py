@@ -233,6 +233,22 @@ SELECT n.account,
   CASE WHEN a.account IS NULL THEN 'refused' WHEN coalesce(c.n, 0) = 0 THEN 'no_match' ELSE 'updated' END AS status,
   CAST(CASE WHEN a.account IS NULL THEN 0 ELSE coalesce(c.n, 0) END AS BIGINT) AS updated
 FROM named n LEFT JOIN allowed a ON n.account = a.account LEFT JOIN cnt c ON n.account = c.account"""
+    out["grade_import_report_sheets"] = with_(BASE, GRADE_SHEET, f"""
+keyed AS (
+  SELECT account, sheet_no, {js_key('"MSSV"')} AS id_key, {js_key(js_or('"Lớp"', '"Lớp Học Phần"'))} AS class_key
+  FROM grade_sheet WHERE account IN (SELECT account FROM classes_v)),
+sheet_keys AS (SELECT DISTINCT account, sheet_no, id_key, class_key FROM keyed),
+cnt AS (
+  SELECT k.account, k.sheet_no, count(*) AS n FROM students_v s JOIN sheet_keys k
+    ON s.account = k.account AND {js_key('s.student_id')} = k.id_key AND {js_key('s.class_name')} = k.class_key
+  GROUP BY k.account, k.sheet_no),
+allowed AS (SELECT DISTINCT account FROM classes_v WHERE account IN (SELECT account FROM students_v)),
+named AS (SELECT DISTINCT account, sheet_no FROM grade_sheet)""") + """
+SELECT n.account, n.sheet_no,
+  CASE WHEN a.account IS NULL THEN 'refused' WHEN coalesce(c.n, 0) = 0 THEN 'no_match' ELSE 'updated' END AS status,
+  CAST(CASE WHEN a.account IS NULL THEN 0 ELSE coalesce(c.n, 0) END AS BIGINT) AS updated
+FROM named n LEFT JOIN allowed a ON n.account = a.account
+LEFT JOIN cnt c ON n.account = c.account AND n.sheet_no = c.sheet_no"""
     out["roster_positions"] = with_(BASE, ROSTERS) + f"""
 SELECT account, class_name, student_id, full_name,
   CAST(row_number() OVER (PARTITION BY account, class_name ORDER BY {roster_key('full_name')} NULLS FIRST, ord) AS BIGINT) AS pos
