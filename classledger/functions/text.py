@@ -8,15 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace class of the ECMAScript WhiteSpace and
-# LineTerminator productions (TAB, LF, VT, FF, CR, BOM and every Unicode
-# space/line/paragraph separator). Written so Java and RE2 read it the same.
+# Fixed values:
+# - the whitespace class of the ECMAScript WhiteSpace and LineTerminator
+#   productions (TAB, LF, VT, FF, CR, BOM and every Unicode space/line/
+#   paragraph separator), written so Java and RE2 read it the same;
+# - the locale whose collation orders given names (Vietnamese).
 JS_SPACE_CLASS = r"[\t\n\x0B\f\r\x{FEFF}\p{Z}]"
-_TRIM_PATTERN = rf"^{JS_SPACE_CLASS}+|{JS_SPACE_CLASS}+\z"
-
-# Collation used to order given names.
 ROSTER_COLLATION = "vi"
 
+_TRIM_PATTERN = rf"^{JS_SPACE_CLASS}+|{JS_SPACE_CLASS}+\z"
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
