@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import broadcast_if_small, fits_rows
+from .joins import fits_rows
 
 
 def _as_col(c) -> Column:
@@ -77,15 +77,17 @@ def _sliced_positions(df: DataFrame, group_cols, order_cols, out: str, n: int) -
           .withColumn("_seq", F.monotonically_increasing_id()),
         "slices")
     # One row per (slice, group): its first sequence number and its size. At
-    # most #groups + #slices rows, whatever the skew.
+    # most #groups + #slices rows; only hot groups (fewer than n) or the one
+    # global group come here, so under 2n rows: a proven broadcast bound. It
+    # is read from the written slices, so it is the same however often it is
+    # computed.
     runs = (sliced.groupBy("_slice", *group_cols)
                   .agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n")))
     before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
     runs = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    runs = materialise(runs.select("_slice", *[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group_cols)],
-                                   "_first", "_offset"), "slice-runs")
-    runs = broadcast_if_small(runs)
+    runs = F.broadcast(runs.select("_slice", *[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group_cols)],
+                                   "_first", "_offset"))
     cond = sliced["_slice"] == runs["_slice"]
     for i, g in enumerate(group_cols):
         cond = cond & sliced[g].eqNullSafe(runs[f"_g_{i}"])
