@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import final_grade_of, grade_truthy, js_or, js_string_key, parse_grade, truthy
 from .joins import broadcast_if_small, broadcast_when, fits_broadcast
-from .ranking import first_by_row
+from .ranking import first_by_row, materialise
 
 
 def _cell(sheet: DataFrame, name: str):
@@ -71,10 +71,11 @@ def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | Non
         first = first.groupBy(*KEYS).agg(
             F.max_by("_mid", F.when(F.col("_mid").isNotNull(), F.col("_sheet"))).alias("_mid"),
             F.max_by("_exam", F.when(F.col("_exam").isNotNull(), F.col("_sheet"))).alias("_exam"))
-    first = first.select(*KEYS, "_mid", "_exam", F.lit(True).alias("_hit"))
-    # The sheet is a batch: when it is provably small, the students table is
-    # streamed past a broadcast of its first rows and never shuffled.
-    first = broadcast_if_small(first, bound_by=keyed)
+    # The sheet is a batch: its first rows are written once (the sheet is read
+    # once, and its lineage ends there); when provably small, the students
+    # table is streamed past a broadcast of them and never shuffled.
+    first = materialise(first.select(*KEYS, "_mid", "_exam", F.lit(True).alias("_hit")), "sheet-first")
+    first = broadcast_if_small(first)
 
     j = _student_keys(students).join(first, KEYS, "left")
     matched = F.coalesce(F.col("_hit"), F.lit(False))
