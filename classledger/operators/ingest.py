@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import final_grade_of, grade_or, js_or, parse_grade, truthy
-from .joins import broadcast_when, fits_broadcast
+from .joins import broadcast_if_small, broadcast_when, fits_broadcast
 
 
 class MissingColumns(ValueError):
@@ -49,7 +49,12 @@ def missing_classes(classes: DataFrame, sheet: DataFrame, sheet_col: str | None
     named = (sheet.select(*by, "row_no", sheet_class(sheet).alias("class_name"))
                   .where(truthy("class_name"))
                   .groupBy(*by, "class_name").agg(F.min("row_no").alias("first_row")))
-    return named.join(classes.select("account", "class_name"), ["account", "class_name"], "left_anti")
+    # Only the classes the sheet names are looked up: a broadcast semi-join of
+    # the (small) named pairs cuts the classes table down before the anti-join.
+    pairs = broadcast_if_small(named.select("account", "class_name").distinct(),
+                               bound_by=sheet.select("account", sheet_class(sheet)))
+    known = classes.select("account", "class_name").join(pairs, ["account", "class_name"], "left_semi")
+    return named.join(known, ["account", "class_name"], "left_anti")
 
 
 def missing_class_report(missing: DataFrame, sheet_col: str | None = None) -> DataFrame:
