@@ -78,8 +78,19 @@ def q_student_labels(spark, d):
     return roster.student_labels(D.students(spark, d))
 
 
+def _classes_grown(spark, d):
+    """Classes after the supplier-derived additions: a class table that grows with the data."""
+    return changes.add_classes(D.classes(spark, d), D.new_classes(spark, d))
+
+
+def _accounts_grown(spark, d):
+    """Accounts after the part-derived registrations: an account table that grows with the data."""
+    accounts = D.accounts(spark, d)
+    return acc.register_accounts(accounts, acc.screen_accounts(accounts, D.account_candidates(spark, d)))
+
+
 def q_class_list(spark, d):
-    return roster.class_list(D.classes(spark, d))
+    return roster.class_list(_classes_grown(spark, d))
 
 
 def q_missing_classes(spark, d):
@@ -110,7 +121,7 @@ def q_parse_grades(spark, d):
 
 
 def q_delete_classes(spark, d):
-    c, _ = changes.delete_classes(D.classes(spark, d), D.students(spark, d), D.class_delete_keys(spark, d))
+    c, _ = changes.delete_classes(_classes_grown(spark, d), D.students(spark, d), D.class_delete_keys(spark, d))
     return c
 
 
@@ -124,7 +135,7 @@ def q_delete_students(spark, d):
 
 
 def q_delete_accounts(spark, d):
-    a, _, _ = acc.delete_accounts(D.accounts(spark, d), D.classes(spark, d), D.students(spark, d),
+    a, _, _ = acc.delete_accounts(_accounts_grown(spark, d), D.classes(spark, d), D.students(spark, d),
                                   D.account_delete_keys(spark, d))
     return a
 
@@ -169,9 +180,7 @@ def q_screen_accounts(spark, d):
 
 
 def q_account_listing(spark, d):
-    accounts = D.accounts(spark, d)
-    registered = acc.register_accounts(accounts, q_screen_accounts(spark, d))
-    return acc.account_listing(registered, D.classes(spark, d))
+    return acc.account_listing(_accounts_grown(spark, d), D.classes(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

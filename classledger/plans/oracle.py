@@ -151,6 +151,51 @@ roster_sheet AS (
   FROM supp)"""
 
 
+ADDED_CLASSES = f"""
+nc AS (
+  SELECT CAST(s_suppkey AS BIGINT) AS row_no, account,
+    CASE WHEN s_suppkey % 10 = 0 THEN '' WHEN s_suppkey % 10 = 1 THEN ' ' WHEN s_suppkey % 10 = 2 THEN NULL
+         ELSE 'CLASS_' || CAST(s_suppkey % 7 AS VARCHAR) END AS class_name
+  FROM supp),
+good_c AS (SELECT * FROM nc WHERE {truthy('class_name')}),
+top_c AS (SELECT account, max(ord) AS max_ord FROM classes_v GROUP BY account),
+fr_c AS (SELECT account, min(row_no) AS min_row FROM good_c GROUP BY account),
+classes_grown AS (
+  SELECT account, class_name, ord FROM classes_v
+  UNION ALL
+  SELECT g.account, g.class_name, CAST(coalesce(top_c.max_ord, 0) + 1 + g.row_no - fr_c.min_row AS BIGINT)
+  FROM good_c g JOIN fr_c ON g.account = fr_c.account LEFT JOIN top_c ON g.account = top_c.account)"""
+
+
+SCREENED = f"""
+cand AS (
+  SELECT CAST(p_partkey * 3 AS BIGINT) AS row_no, CAST(p_partkey AS VARCHAR) AS account,
+         CAST(p_size AS INTEGER) AS secret_length FROM part
+  UNION ALL SELECT CAST(p_partkey * 3 + 1 AS BIGINT), p_name, CAST(p_size AS INTEGER) FROM part
+  UNION ALL SELECT CAST(p_partkey * 3 + 2 AS BIGINT), p_brand, CAST(p_size AS INTEGER) FROM part
+  UNION ALL SELECT CAST(-r_regionkey - 1 AS BIGINT), account, 10 FROM acct_region),
+ruled AS (
+  SELECT *, CASE WHEN regexp_matches(account, '^[0-9]') THEN 'starts_with_digit'
+                 WHEN regexp_matches(account, {q(JS_SPACE_CLASS)}) THEN 'contains_whitespace'
+                 WHEN secret_length < 8 THEN 'secret_too_short' END AS rule
+  FROM cand),
+first_ok AS (SELECT account, min(row_no) AS first_row FROM ruled WHERE rule IS NULL GROUP BY account),
+taken AS (SELECT DISTINCT account FROM accounts_v),
+screened AS (
+  SELECT r.row_no, r.account, r.secret_length,
+    CASE WHEN r.rule IS NOT NULL THEN r.rule WHEN t.account IS NOT NULL THEN 'already_exists'
+         WHEN r.row_no = f.first_row THEN 'accepted' ELSE 'already_exists' END AS verdict
+  FROM ruled r LEFT JOIN first_ok f ON r.account = f.account LEFT JOIN taken t ON r.account = t.account)"""
+
+REGISTERED = SCREENED + """,
+reg AS (
+  SELECT account, is_admin, ord FROM accounts_v
+  UNION ALL
+  SELECT account, false, CAST((SELECT coalesce(max(ord), 0) FROM accounts_v) + 1 + row_no
+         - (SELECT min(row_no) FROM screened WHERE verdict = 'accepted') AS BIGINT)
+  FROM screened WHERE verdict = 'accepted')"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
@@ -281,9 +326,9 @@ SELECT account, count(*) AS headcount FROM students_v WHERE class_name = {cls} G
 SELECT account, class_name, student_id, concat_ws(' - ', full_name, student_id) AS label,
   CAST(row_number() OVER (PARTITION BY account, class_name ORDER BY {roster_key('full_name')} NULLS FIRST, ord) AS BIGINT) AS pos
 FROM students_v WHERE class_name IS NOT NULL"""
-    out["class_list"] = with_(BASE) + """
+    out["class_list"] = with_(BASE, SUPP, ADDED_CLASSES) + """
 SELECT account, class_name, CAST(row_number() OVER (PARTITION BY account ORDER BY ord) AS BIGINT) AS pos
-FROM classes_v"""
+FROM classes_grown"""
 
     sheet_class = js_or('"Lớp"', '"Lớp Học Phần"')
     missing = f"""
@@ -354,8 +399,8 @@ SELECT event_id, {parse(a)} AS midterm, {parse(b)} AS exam, {final_text(a, b)} A
 
     class_keys = """
 ckeys AS (SELECT account, n_name AS class_name FROM nations WHERE n_regionkey = 2)"""
-    out["delete_classes"] = with_(BASE, class_keys) + """
-SELECT * FROM classes_v c WHERE NOT EXISTS (
+    out["delete_classes"] = with_(BASE, SUPP, ADDED_CLASSES, class_keys) + """
+SELECT * FROM classes_grown c WHERE NOT EXISTS (
   SELECT 1 FROM ckeys k WHERE k.account = c.account AND k.class_name = c.class_name)"""
     out["delete_classes_students"] = with_(BASE, class_keys) + f"""
 SELECT {STUDENT_COLS} FROM students_v s WHERE NOT EXISTS (
@@ -366,8 +411,8 @@ SELECT {STUDENT_COLS} FROM students_v s WHERE NOT EXISTS (
   SELECT 1 FROM skeys k WHERE k.account = s.account AND k.student_id = s.student_id)"""
     akeys = """
 akeys AS (SELECT account FROM acct_region WHERE r_name LIKE 'A%' AND account <> 'admin')"""
-    out["delete_accounts"] = with_(BASE, akeys) + \
-        "SELECT * FROM accounts_v WHERE account NOT IN (SELECT account FROM akeys)"
+    out["delete_accounts"] = with_(BASE, REGISTERED, akeys) + \
+        "SELECT * FROM reg WHERE account NOT IN (SELECT account FROM akeys)"
     out["delete_accounts_students"] = with_(BASE, akeys) + \
         f"SELECT {STUDENT_COLS} FROM students_v WHERE account NOT IN (SELECT account FROM akeys)"
 
@@ -447,48 +492,11 @@ FROM good g JOIN fr ON g.account = fr.account LEFT JOIN top ON g.account = top.a
     out["add_students_rejects"] = new_students + \
         "SELECT row_no, account, 'missing_required' AS reason FROM chk WHERE NOT ok"
 
-    out["add_classes"] = with_(BASE, SUPP, f"""
-nc AS (
-  SELECT CAST(s_suppkey AS BIGINT) AS row_no, account,
-    CASE WHEN s_suppkey % 10 = 0 THEN '' WHEN s_suppkey % 10 = 1 THEN ' ' WHEN s_suppkey % 10 = 2 THEN NULL
-         ELSE 'CLASS_' || CAST(s_suppkey % 7 AS VARCHAR) END AS class_name
-  FROM supp),
-good AS (SELECT * FROM nc WHERE {truthy('class_name')}),
-top AS (SELECT account, max(ord) AS max_ord FROM classes_v GROUP BY account),
-fr AS (SELECT account, min(row_no) AS min_row FROM good GROUP BY account)""") + """
-SELECT account, class_name, ord FROM classes_v
-UNION ALL
-SELECT g.account, g.class_name, CAST(coalesce(top.max_ord, 0) + 1 + g.row_no - fr.min_row AS BIGINT)
-FROM good g JOIN fr ON g.account = fr.account LEFT JOIN top ON g.account = top.account"""
-
-    screened = with_(BASE, f"""
-cand AS (
-  SELECT CAST(p_partkey * 3 AS BIGINT) AS row_no, CAST(p_partkey AS VARCHAR) AS account,
-         CAST(p_size AS INTEGER) AS secret_length FROM part
-  UNION ALL SELECT CAST(p_partkey * 3 + 1 AS BIGINT), p_name, CAST(p_size AS INTEGER) FROM part
-  UNION ALL SELECT CAST(p_partkey * 3 + 2 AS BIGINT), p_brand, CAST(p_size AS INTEGER) FROM part
-  UNION ALL SELECT CAST(-r_regionkey - 1 AS BIGINT), account, 10 FROM acct_region),
-ruled AS (
-  SELECT *, CASE WHEN regexp_matches(account, '^[0-9]') THEN 'starts_with_digit'
-                 WHEN regexp_matches(account, {q(JS_SPACE_CLASS)}) THEN 'contains_whitespace'
-                 WHEN secret_length < 8 THEN 'secret_too_short' END AS rule
-  FROM cand),
-first_ok AS (SELECT account, min(row_no) AS first_row FROM ruled WHERE rule IS NULL GROUP BY account),
-taken AS (SELECT DISTINCT account FROM accounts_v),
-screened AS (
-  SELECT r.row_no, r.account, r.secret_length,
-    CASE WHEN r.rule IS NOT NULL THEN r.rule WHEN t.account IS NOT NULL THEN 'already_exists'
-         WHEN r.row_no = f.first_row THEN 'accepted' ELSE 'already_exists' END AS verdict
-  FROM ruled r LEFT JOIN first_ok f ON r.account = f.account LEFT JOIN taken t ON r.account = t.account)""")
-    out["screen_accounts"] = screened + "SELECT * FROM screened"
-    out["account_listing"] = screened.rstrip("\n") + """,
-reg AS (
-  SELECT account, is_admin, ord FROM accounts_v
-  UNION ALL
-  SELECT account, false, CAST((SELECT coalesce(max(ord), 0) FROM accounts_v) + 1 + row_no
-         - (SELECT min(row_no) FROM screened WHERE verdict = 'accepted') AS BIGINT)
-  FROM screened WHERE verdict = 'accepted'),
-ncls AS (SELECT account, count(*) AS n FROM classes_v GROUP BY account)
+    out["add_classes"] = with_(BASE, SUPP, ADDED_CLASSES) + """
+SELECT * FROM classes_grown"""
+    out["screen_accounts"] = with_(BASE, SCREENED) + "SELECT * FROM screened"
+    out["account_listing"] = with_(BASE, REGISTERED, """
+ncls AS (SELECT account, count(*) AS n FROM classes_v GROUP BY account)""") + """
 SELECT CAST(row_number() OVER (ORDER BY r.ord) AS BIGINT) AS no, r.account,
   CASE WHEN r.is_admin THEN 'Quản trị viên' ELSE 'Giảng viên' END AS role,
   CAST(coalesce(n.n, 0) AS BIGINT) AS n_classes
