@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import final_grade_of, js_or, truthy
 from .joins import broadcast_if_small, broadcast_when, fits_broadcast
+from .ranking import materialise
 
 
 def _append_ord(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -99,9 +100,11 @@ def edit_students(students: DataFrame, edits: DataFrame):
     rejects = edits.join(bad, ["account", "original_id"], "left_semi").withColumn(
         "reason", F.lit("conflicting_edit"))
     good = edits.join(bad, ["account", "original_id"], "left_anti")
-    side = broadcast_if_small(good.select(
+    # The accepted edits are written once (the conflict analysis runs once),
+    # then broadcast when the written table is provably small.
+    side = broadcast_if_small(materialise(good.select(
         "account", F.col("original_id").alias("_orig"),
-        *[F.col(c).alias(f"_e_{c}") for c in EDIT_FIELDS], F.lit(True).alias("_hit")))
+        *[F.col(c).alias(f"_e_{c}") for c in EDIT_FIELDS], F.lit(True).alias("_hit")), "edits"))
     j = students.join(side, (students["account"] == side["account"]) &
                       (students["student_id"] == side["_orig"]), "left")
     hit = F.coalesce(side["_hit"], F.lit(False))

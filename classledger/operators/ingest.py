@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import final_grade_of, grade_or, js_or, parse_grade, truthy
-from .joins import broadcast_if_small, broadcast_when, fits_broadcast
+from .joins import broadcast_when, fits_broadcast
 
 
 class MissingColumns(ValueError):
@@ -36,7 +36,8 @@ def sheet_class(sheet: DataFrame):
     return js_or(_cell(sheet, S.H_CLASS[0]), _cell(sheet, S.H_CLASS[1]))
 
 
-def missing_classes(classes: DataFrame, sheet: DataFrame, sheet_col: str | None = None) -> DataFrame:
+def missing_classes(classes: DataFrame, sheet: DataFrame, sheet_col: str | None = None,
+                    small: bool | None = None) -> DataFrame:
     """Distinct classes named in the sheet but unknown to the account, with their first row.
 
     Blank classes are skipped; names are compared exactly (no trim). One row
@@ -51,8 +52,9 @@ def missing_classes(classes: DataFrame, sheet: DataFrame, sheet_col: str | None
                   .groupBy(*by, "class_name").agg(F.min("row_no").alias("first_row")))
     # Only the classes the sheet names are looked up: a broadcast semi-join of
     # the (small) named pairs cuts the classes table down before the anti-join.
-    pairs = broadcast_if_small(named.select("account", "class_name").distinct(),
-                               bound_by=sheet.select("account", sheet_class(sheet)))
+    if small is None:   # the caller may already know the sheet is small
+        small = fits_broadcast(sheet.select("account", sheet_class(sheet)))
+    pairs = broadcast_when(small, named.select("account", "class_name").distinct())
     known = classes.select("account", "class_name").join(pairs, ["account", "class_name"], "left_semi")
     return named.join(known, ["account", "class_name"], "left_anti")
 
@@ -107,11 +109,13 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame,
     if missing:
         raise MissingColumns(missing)
     by = ["account"] + ([sheet_col] if sheet_col else [])
-    unknown = missing_classes(classes, sheet, sheet_col)
+    # Every small side below (class names, refused and batch accounts,
+    # per-account marks) has at most one row per sheet row: one size check on
+    # the sheet bounds them all.
+    small = fits_broadcast(sheet.select("account", sheet_class(sheet), F.lit(0).cast("long"),
+                                        F.lit(0).cast("long")))
+    unknown = missing_classes(classes, sheet, sheet_col, small=small)
     rejects = missing_class_report(unknown, sheet_col)
-    # Every per-account side below has at most one row per sheet row: one
-    # size check on the sheet bounds them all.
-    small = fits_broadcast(sheet.select("account", F.lit(0).cast("long"), F.lit(0).cast("long")))
     refused = broadcast_when(small, unknown.select(*by).distinct())
     accepted = sheet.join(refused, by, "left_anti")
     rows = normalise_roster(accepted.withColumn("_sheet", F.col(sheet_col) if sheet_col else F.lit(0)),
