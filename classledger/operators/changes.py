@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import final_grade_of, js_or, truthy
 from .joins import broadcast_if_small, broadcast_when, fits_broadcast
-from .ranking import materialise
+from ..session import materialise
 
 
 def _append_ord(existing: DataFrame, batch: DataFrame) -> DataFrame:

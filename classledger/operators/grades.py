@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import final_grade_of, grade_truthy, js_or, js_string_key, parse_grade, truthy
 from .joins import broadcast_if_small, broadcast_when, fits_broadcast
-from .ranking import first_by_row, materialise
+from ..session import materialise
+from .ranking import first_by_row
 
 
 def _cell(sheet: DataFrame, name: str):

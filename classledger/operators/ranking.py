@@ -21,12 +21,10 @@ sort to be redone.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialise
 from .joins import fits_rows
 
 
@@ -34,14 +32,6 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the session's checkpoint folder and read it back."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/classledger/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _width(df: DataFrame, num_partitions: int | None) -> int:
     return num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -49,3 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the session's checkpoint folder and read it back.
+
+    Used where a result must be computed exactly once (range slices), or where
+    a small batch-derived side is both size-checked and joined: the written
+    table cuts the lineage, so a lost executor never recomputes the work.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/classledger/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
