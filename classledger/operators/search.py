@@ -19,7 +19,10 @@ def student_match(term: str):
 
 
 def search_students(students: DataFrame, term: str) -> DataFrame:
-    """Students whose name or id contains ``term`` (case-insensitive, accent-sensitive)."""
+    """Students whose name or id contains ``term`` (case-insensitive, accent-sensitive).
+
+    For display in stored order, sort by ``roster_sort_key("full_name"), "ord"``.
+    """
     return students.where(student_match(term)).select(*SEARCH_VIEW)
 
 
