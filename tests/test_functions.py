@@ -91,3 +91,12 @@ def test_negative_zero_is_folded(spark):
     assert math.copysign(1.0, one(spark, parse_grade, "-0")) == 1.0
     assert math.copysign(1.0, one(spark, to_fixed2, -0.001, "double")) == 1.0
     assert one(spark, to_fixed2, -0.006, "double") == -0.01
+
+
+def test_final_grade_grid_matches_exact_model(spark):
+    from classledger.functions import final_grade_of
+    pairs = spark.range(0, 201 * 201).select((F.floor(F.col("id") / 201) * 0.05).alias("q"),
+                                             ((F.col("id") % 201) * 0.05).alias("t"))   # 40,401 pairs
+    rows = pairs.select("q", "t", final_grade_of("q", "t").alias("f")).collect()
+    bad = [(r.q, r.t, r.f) for r in rows if r.f != exact_to_fixed2((r.q + r.t) / 2) + 0.0]
+    assert not bad, bad[:5]
