@@ -139,9 +139,10 @@ def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
     # Only the (account, class) pairs named by the entries are looked up.
     small = fits_broadcast(entries.select("account", "class_name", "student_id", "midterm", "exam"))
     chosen = broadcast_when(small, entries.select("account", "class_name").distinct())
-    populated = (students.where(F.col("class_name").isNotNull())
-                         .join(chosen, ["account", "class_name"], "left_semi")
-                         .groupBy("account", "class_name").agg(F.lit(True).alias("_populated")))
+    populated = broadcast_when(small, (
+        students.where(F.col("class_name").isNotNull())
+                .join(chosen, ["account", "class_name"], "left_semi")
+                .groupBy("account", "class_name").agg(F.lit(True).alias("_populated"))))
     checked = (entries.join(has_class, "account", "left")
                       .join(populated, ["account", "class_name"], "left"))
     reason = (F.when(F.col("_has_class").isNull(), F.lit("no_class"))
