@@ -124,8 +124,8 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame,
     # semi-join drops other accounts' rows before the aggregation, and the
     # result has one row per account.
     batch_accounts = broadcast_when(small, accepted.select("account").distinct())
-    floor = (students.join(batch_accounts, "account", "left_semi")
-                     .groupBy("account").agg(F.min("ord").alias("_min_ord")))
+    floor = broadcast_when(small, students.join(batch_accounts, "account", "left_semi")
+                                          .groupBy("account").agg(F.min("ord").alias("_min_ord")))
     # Each accepted sheet takes a block of ords below the blocks of the sheets
     # applied before it; within its block, rows keep sheet order.
     spans = rows.groupBy("account", "_sheet").agg(F.max("row_no").alias("_max_row"),
