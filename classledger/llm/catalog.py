@@ -5,14 +5,23 @@ from __future__ import annotations
 import uuid
 
 from ..session import ensure_checkpoint_dir
-from . import extraction, packing, quality, token_counts, url_filter, warc
+from . import decontamination, extraction, jaccard, packing, quality, substrings, token_counts, url_filter, warc
 from .tables import read
 
 
+def op1_decontamination(spark, d):
+    return decontamination.find_items(read(spark, d, "documents", "doc_id", "text"),
+                                      read(spark, d, "benchmark", "item_id", "text")).drop("key")
+
+
 def op2_extraction(spark, d):
     return extraction.extract(read(spark, d, "pages", "page_id", "url", "html"))
 
 
+def op3_substrings(spark, d):
+    return substrings.remove_repeats(read(spark, d, "documents", "doc_id", "text")).drop("text")
+
+
 def op4_url_filter(spark, d):
     return url_filter.judge_urls(read(spark, d, "pages", "page_id", "url"))
 
@@ -35,7 +44,11 @@ def op9_warc(spark, d):
     return warc.read_archive(spark, path)
 
 
+def op10_jaccard(spark, d):
+    return jaccard.similar_documents(read(spark, d, "documents", "doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_extraction, op4_url_filter, op5_token_counts, op6_quality, op8_packing, op9_warc)}
+    op1_decontamination, op2_extraction, op3_substrings, op4_url_filter, op5_token_counts, op6_quality, op8_packing, op9_warc, op10_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {}

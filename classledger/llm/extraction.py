@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import map_arrow, materialise
 
 TEXTS = "page_id long, url string, text string, n_chars long"
 TRAIN_PAGES = 1000
@@ -338,8 +338,8 @@ def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> np.ndarray:
                 got.append(np.asarray(x, float).ravel()[:10 * TRAIN_BLOCKS].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64()))], ["x"])
 
-    found = (pages.select("page_id", "html").join(F.broadcast(chosen), "page_id", "left_semi")
-             .select("html").mapInArrow(rows, "x array<double>").collect())
+    texts = pages.select("page_id", "html").join(F.broadcast(chosen), "page_id", "left_semi").select("html")
+    found = map_arrow(texts, rows, "x array<double>").collect()
     flat = [np.asarray(r.x).reshape(-1, 10) for r in found if r.x]
     data = np.concatenate(flat) if flat else np.zeros((0, 10))
     return train(data[:, :9], data[:, 9])
@@ -363,4 +363,4 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None, train_pages: in
 
     source = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"),
                           pages["html"].cast("string").alias("html"))
-    return source.mapInArrow(texts, TEXTS)
+    return map_arrow(source, texts, TEXTS)

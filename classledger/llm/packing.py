@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tables import tokenizer_path
+from .tables import map_arrow, tokenizer_path
 from .words import pieces
 
 WINDOW = 4096
@@ -194,7 +194,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window
         yield from _rows(packer)
 
     source = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return source.mapInArrow(packed, PIECES)
+    return map_arrow(source, packed, PIECES)
 
 
 def _rows(packer: Packer) -> Iterator[pa.RecordBatch]:

@@ -61,8 +61,8 @@ def _removed(text: Column, characters: str) -> Column:
 
 
 def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, the ``BASE`` figures, n_capitals, n_bangs) of each row; a null text counts as empty."""
-    source = docs.select(docs[id_column].alias("doc_id"),
+    """(row, doc_id, the ``BASE`` figures, n_capitals, n_bangs); row: the whole row; a null text counts as empty."""
+    source = docs.select(F.struct("*").alias("row"), docs[id_column].alias("doc_id"),
                          F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("_text"))
     text = F.col("_text")
     bare = F.btrim(text, F.lit(SEPARATORS))
@@ -71,13 +71,13 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     figures = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"),
                                              _repeat_words(w).cast("long").alias("n_repeat_words")))
     return source.select(
-        "doc_id", figures.alias("_figures"),
+        "row", "doc_id", figures.alias("_figures"),
         F.length(F.translate(text, SEPARATORS, "")).cast("long").alias("word_chars"),
         _removed(text, SYMBOLS).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _removed(text, CAPITALS).cast("long").alias("n_capitals"),
         _removed(text, "!").cast("long").alias("n_bangs"),
-    ).select("doc_id", "_figures.*", "word_chars", "n_symbols", "n_dup_lines", "n_capitals", "n_bangs")
+    ).select("row", "doc_id", "_figures.*", "word_chars", "n_symbols", "n_dup_lines", "n_capitals", "n_bangs")
 
 
 def base_failed() -> Column:
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, min_
     picked = materialise(chosen, "quality-labels")  # train_rows rows at most
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     texts = texts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
-    stats = statistics(texts).join(F.broadcast(picked), "doc_id").where(~base_failed()) \
+    stats = statistics(texts).drop("row").join(F.broadcast(picked), "doc_id").where(~base_failed()) \
         .withColumn("grows", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) < 2)
     cuts, cells = _cells(stats)
     names, rules = list(features()), []
@@ -231,7 +231,16 @@ def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     empty table gives no rows; without usable labels only the base rules
     reject.
     """
+    return _judged(docs, labels, train_rows).drop("row")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows that ``judge`` keeps, all columns as they are."""
+    return _judged(docs, labels, train_rows).where("kept").select("row.*")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
     rules = learn(docs, labels, train_rows)
     judged = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rejected_by", verdict(rules))
-    return judged.select("doc_id", *BASE, "base_failed",
+    return judged.select("row", "doc_id", *BASE, "base_failed",
                          (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tables import tokenizer_path
+from .tables import map_arrow, tokenizer_path
 from .words import pieces
 
 SPACE = "▁"
@@ -166,4 +166,4 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
                 [c.split()[0] for c in COUNTS.split(", ")])
 
     source = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return source.mapInArrow(counted, COUNTS)
+    return map_arrow(source, counted, COUNTS)

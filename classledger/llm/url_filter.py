@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import ship_package
+
 BUCKETS = 1 << 15
 SIZES = (3, 4, 5)
 
@@ -117,6 +119,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     columns are not read. The model has a fixed size (``BUCKETS`` weights), so
     it travels with the task. Rules are part of the plan and so meant to be few.
     """
+    ship_package(pages.sparkSession)
     weights, bias = train(*(table or labelled()))
 
     @F.pandas_udf("double")
