@@ -2,14 +2,17 @@
 
 Two sets with Jaccard similarity t or more share a token among the first
 ``n - ceil(t n) + 1`` of each, under *any* order of all tokens that both are
-sorted by. The join sorts by several orders and keeps a pair only if the
-prefixes meet under every one:
-
-- order 0 puts rare tokens first. A fixed share of all tokens (by their hash,
-  a bit more than a prefix needs) is counted over the whole corpus and sorted
-  by how many sets have it; the others follow by hash. Most sets' prefixes
-  then hold only tokens that no other set has, and such sets are done.
-- orders 1 and 2 are hash orders; their prefixes are kept with each set.
+sorted by. The join sorts by several orders and keeps a pair only if the prefixes meet
+under every one:
+
+- order 0 counts a fixed share of all tokens (by their hash, a bit more than a
+  prefix needs) over the whole corpus and puts them first, rare ones before
+  frequent ones; the others follow by hash. Most sets' prefixes then hold only
+  tokens that no other set has, and such sets are done.
+- order 1 counts all tokens of the sets that are left, rare ones first. Pairs
+  are made from its prefixes: a pair is kept at a token only if what follows
+  the token's place in either set is still enough for the overlap it needs.
+- order 2 is a hash order.
 
 What is left is verified on the full sets. Equal sets are one node from the
 start, so copies meet no one. Within a token's bucket, two hub sets are
@@ -33,7 +36,7 @@ from .words import Words, mix, pieces, split_words, windows
 SEPARATORS_TEXT = " \t\n\x0b\x0c\r"
 SIZE = 3
 PERCENT = 90
-ORDER_SEEDS = (0x51ED270B9F652295, 0xC2B2AE3D27D4EB4F)
+ORDER_SEED = 0x51ED270B9F652295
 _BITS = np.uint64(12)  # a token is a hash of 52 bits; the upper 12 number the texts of a chunk
 _PER_CHUNK = 4000
 _SLOTS = 1024
@@ -90,7 +93,7 @@ def _chunks(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int
 
 
 def describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, text_key, set_id, n, counted, order1, order2) of each row; counted: how many tokens are counted."""
+    """(doc_id, text_key, set_id, n, counted) of each row; counted: how many tokens are counted."""
     slots = counted_slots(percent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,16 +101,12 @@ def describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for at, sets in _chunks(batch, 2, size):
                 k = len(sets.n)
                 counted = np.bincount(sets.owner[(sets.token & np.uint64(_SLOTS - 1)) < slots], minlength=k)
-                orders = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, pa.int32()))
-                          for values, first in (sets.smallest(seed, prefix_length(sets.n, percent))
-                                                for seed in ORDER_SEEDS)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, k), batch.column(1).slice(at, k), pa.array(sets.id),
-                     pa.array(sets.n, pa.int64()), pa.array(counted, pa.int64()), *orders],
-                    ["doc_id", "text_key", "set_id", "n", "counted", "order1", "order2"])
+                     pa.array(sets.n, pa.int64()), pa.array(counted, pa.int64())],
+                    ["doc_id", "text_key", "set_id", "n", "counted"])
 
-    return map_arrow(docs, rows, "doc_id long, text_key long, set_id long, n long, counted long, "
-                                 "order1 array<int>, order2 array<int>")
+    return map_arrow(docs, rows, "doc_id long, text_key long, set_id long, n long, counted long")
 
 
 def postings(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -140,8 +139,8 @@ def postings(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_arrow(docs, rows, "token long, set_id long")
 
 
-def prefixes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """(token, set_id, n): tokens of order-0 prefixes that more than one set has.
+def candidates(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """(set_id, order0): sets whose order-0 prefix has tokens of other sets, and those tokens.
 
     A token that one set has alone takes its place in that set's prefix and
     is dropped; so is a set with as many of them as its prefix is long.
@@ -157,24 +156,50 @@ def prefixes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataF
                .join(sets.select("set_id", "n", "counted"), "set_id"))
     alone = F.col("counted") - F.size(F.filter("shared", lambda s: ~s["late"]))
     room = prefix_length_column(F.col("n"), percent) - alone
-    return (per_set.where(room > 0).select("set_id", "n", F.explode(F.slice("shared", F.lit(1), room.cast("int"))).alias("s"))
-            .select(F.col("s.token").alias("token"), "set_id", "n"))
+    return per_set.where(room > 0).select("set_id", F.slice("shared.token", F.lit(1), room.cast("int")).alias("order0"))
+
+
+def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """(token, set_id, n, pos): places in order-1 prefixes of tokens that more than one of the sets has."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                lists = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(1)]
+                ids = np.repeat(part.column(0).to_numpy(), list(map(len, lists)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(ids)], ["token", "set_id"])
+
+    all_tokens = map_arrow(tokens.select("set_id", "tokens"), rows, "token long, set_id long")
+    shared = all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    per_set = (all_tokens.join(shared, "token").groupBy("set_id")
+               .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+               .join(tokens.select("set_id", "n"), "set_id").withColumn("alone", F.col("n") - F.size("shared")))
+    room = prefix_length_column(F.col("n"), percent) - F.col("alone")
+    return (per_set.where(room > 0)
+            .select("set_id", "n", "alone", F.posexplode(F.slice("shared.token", F.lit(1), room.cast("int"))).alias("i", "token"))
+            .select("token", "set_id", "n", (F.col("alone") + F.col("i")).alias("pos")))
 
 
 def prefix_length_column(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100) + 1
 
 
-def _alike_in_size(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _may_match(n: Column, pos: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens can still be similar if their first common token has these places."""
+    needed = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    return F.least(n - pos, m - other) >= needed
 
 
 def hub_pairs(prefix: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the sets of each token's bucket with its two hubs, the smallest and the largest set."""
-    member = F.struct("n", "set_id")
-    hubs = prefix.groupBy("token").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low <> high")
-    each = prefix.join(hubs, "token").select("set_id", "n", F.explode(F.array("low", "high")).alias("hub"))
-    each = each.where((F.col("hub.set_id") != F.col("set_id")) & _alike_in_size(F.col("n"), F.col("hub.n"), percent))
+    """(a, b): the sets of each token's bucket with its two hubs: the token's earliest place, and the least id."""
+    hubs = prefix.groupBy("token").agg(F.min(F.struct("pos", "n", "set_id")).alias("near"),
+                                       F.min(F.struct("set_id", "n", "pos")).alias("low"),
+                                       F.max("set_id").alias("high")).where("low.set_id <> high") \
+        .select("token", "near", F.struct("low.pos", "low.n", "low.set_id").alias("low"))
+    each = prefix.join(hubs, "token").select("set_id", "n", "pos", F.explode(F.array("near", "low")).alias("hub"))
+    each = each.where((F.col("hub.set_id") != F.col("set_id"))
+                      & _may_match(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
     return each.select(F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b")).distinct()
 
 
@@ -187,24 +212,23 @@ def rest_pairs(prefix: DataFrame, components: DataFrame, percent: int) -> DataFr
     labelled = labelled.join(open_tokens, "token", "left_semi")
     other = labelled.toDF(*[c + "_" if c != "token" else c for c in labelled.columns])
     return (labelled.join(other, "token")
-            .where((F.col("component") < F.col("component_")) & _alike_in_size(F.col("n"), F.col("n_"), percent))
+            .where((F.col("component") < F.col("component_"))
+                   & _may_match(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), percent))
             .select(F.least("set_id", "set_id_").alias("a"), F.greatest("set_id", "set_id_").alias("b")).distinct())
 
 
-def meet_in_all_orders(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """The pairs whose prefixes share a token under the hash orders too."""
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    keys = (described.select("set_id", "order1", "order2").join(wanted, "set_id", "left_semi")
-            .groupBy("set_id").agg(F.any_value("order1").alias("order1"), F.any_value("order2").alias("order2")))
-    one = keys.toDF("a", "a1", "a2")
-    two = keys.toDF("b", "b1", "b2")
-    return (pairs.join(one, "a").join(two, "b")
-            .where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b"))
+def meet_in_all_orders(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share a token under orders 0 and 2 too; keys: (set_id, order0, order2)."""
+    return (pairs.join(keys.toDF("a", "a0", "a2"), "a").join(keys.toDF("b", "b0", "b2"), "b")
+            .where(F.arrays_overlap("a0", "b0") & F.arrays_overlap("a2", "b2")).select("a", "b"))
+
 
+def full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
+    """(set_id, n, tokens, order2) of each wanted set, read again from one of its texts.
 
-def full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_id, tokens): the sorted tokens of each wanted set, read again from one of its texts."""
-    which = (described.join(wanted, "set_id", "left_semi").groupBy("set_id")
+    tokens is sorted; order2 holds the first of them in the hash order, shortened to 32 bits.
+    """
+    which = (described.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id")
              .agg(F.min(F.struct("doc_id", "text_key")).alias("text")).select("text.*"))
     first = which.toDF("first_id", "first_key")
     texts = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]) & (docs["text_key"] == first["first_key"]),
@@ -214,9 +238,13 @@ def full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, size: in
         for batch in batches:
             for _, sets in _chunks(batch, 2, size):
                 tokens = [sets.token[a:b].tobytes() for a, b in zip(sets.first[:-1], sets.first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(sets.id), pa.array(tokens, pa.binary())], ["set_id", "tokens"])
+                values, ends = sets.smallest(ORDER_SEED, prefix_length(sets.n, percent))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sets.id), pa.array(sets.n, pa.int64()), pa.array(tokens, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))],
+                    ["set_id", "n", "tokens", "order2"])
 
-    return map_arrow(texts, rows, "set_id long, tokens binary").dropDuplicates(["set_id"])
+    return map_arrow(texts, rows, "set_id long, n long, tokens binary, order2 array<int>").dropDuplicates(["set_id"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -259,19 +287,18 @@ def _rows_with_root(docs: DataFrame, size: int, percent: int, id_column: str, te
                        docs[text_column].cast("string").alias("text"))
     described = materialise(describe(docs, size, percent), "jaccard-described")
     sets = described.where("n > 0").select("set_id", "n", "counted").distinct()
-    prefix = materialise(prefixes(docs, sets, size, percent), "jaccard-prefixes")
-    hubs = materialise(meet_in_all_orders(hub_pairs(prefix, percent), described), "jaccard-hubs")
-    ids = lambda pairs: pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    tokens = materialise(full_sets(docs, described, ids(hubs), size), "jaccard-sets")
-    links = materialise(verify(hubs, tokens, percent), "jaccard-links")
+    chosen = materialise(candidates(docs, sets, size, percent), "jaccard-candidates")
+    tokens = materialise(full_sets(docs, described, chosen, size, percent), "jaccard-sets")
+    prefix = materialise(prefixes(tokens, percent), "jaccard-prefixes")
+    keys = chosen.join(tokens.select("set_id", "order2"), "set_id")
+    full = tokens.select("set_id", "tokens")
+    links = materialise(verify(meet_in_all_orders(hub_pairs(prefix, percent), keys), full, percent), "jaccard-links")
     components = connected_components(links)
-    rest = rest_pairs(prefix, components, percent).join(hubs, ["a", "b"], "left_anti")
-    rest = materialise(meet_in_all_orders(rest, described), "jaccard-rest")
+    rest = materialise(rest_pairs(prefix, components, percent), "jaccard-rest")
     if not rest.isEmpty():
-        more = ids(rest).join(tokens, "set_id", "left_anti")
-        tokens = tokens.union(full_sets(docs, described, more, size))
-        links = links.union(verify(rest, tokens, percent))
-        components = connected_components(links)
+        more = materialise(verify(meet_in_all_orders(rest, keys), full, percent), "jaccard-links")
+        if not more.isEmpty():
+            components = connected_components(links.union(more))
     return described.select("doc_id", F.col("n").alias("n_shingles"), "text_key", "set_id") \
         .join(components.withColumnRenamed("node", "set_id"), "set_id", "left") \
         .withColumn("root", F.coalesce("component", "set_id"))
