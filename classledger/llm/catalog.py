@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from ..session import ensure_checkpoint_dir
-from . import decontamination, extraction, jaccard, packing, quality, substrings, token_counts, url_filter, warc
+from . import decontamination, extraction, jaccard, packing, quality, scoring, substrings, token_counts, url_filter, warc
 from .tables import read
 
 
@@ -34,6 +34,10 @@ def op6_quality(spark, d):
     return quality.judge(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "labels", "doc_id", "quality"))
 
 
+def op7_scoring(spark, d):
+    return scoring.score_documents(read(spark, d, "documents", "doc_id", "text"))
+
+
 def op8_packing(spark, d):
     return packing.pack_documents(read(spark, d, "documents", "doc_id", "text"))
 
@@ -49,6 +53,6 @@ def op10_jaccard(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_extraction, op3_substrings, op4_url_filter, op5_token_counts, op6_quality, op8_packing, op9_warc, op10_jaccard)}
+    op1_decontamination, op2_extraction, op3_substrings, op4_url_filter, op5_token_counts, op6_quality, op7_scoring, op8_packing, op9_warc, op10_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {}
