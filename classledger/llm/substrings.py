@@ -273,7 +273,7 @@ def _without_repeats(docs: DataFrame, extra: Column, size: int, seed: int, heavy
     spots = (found.join(repeated, "seed").groupBy("k")
              .agg(F.sort_array(F.collect_set(F.col("at") * 2 + F.col("heavy"))).alias("spots")))
     # Copies agree in hash and length; a hash alone would be too little for billions of texts.
-    first = texts.groupBy("k", F.octet_length("text").alias("bytes")).agg(F.min("d").alias("d")).select("k", "d").distinct()
+    first = texts.groupBy("k", F.octet_length("text").alias("bytes")).agg(F.min("d").alias("d")).select("d", "k").distinct()
     repeated_texts = texts.join(first.join(spots, "k"), ["d", "k"]).select("d", "k", "text", "spots", "extra")
     runs = suffix_runs(repeated_texts, size, seed)
     marks = light_marks(runs).union(heavy_marks(runs)).groupBy("d", "k").agg(F.collect_list("mark").alias("marks"))
