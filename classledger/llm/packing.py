@@ -13,65 +13,24 @@ becomes sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tables import map_arrow, tokenizer_path
-from .words import pieces
+from .subwords import word_ids
+from .tables import map_arrow
+from .words import pieces, split_words
 
 WINDOW = 4096
 END_ID = 2
 POOL_WINDOWS = 512
-CACHED_WORDS = 500_000
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
-class WordIds:
-    """Ids of whole texts by a tokenizer whose tokens never span ASCII white space.
-
-    The file's normaliser and splitter treat white space as a separator only,
-    so the words between it can be encoded once each and kept. ``word_ids``
-    holds for ``word_bpe_49k.json``; the tests compare it with the library.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # bytes.split(): exactly \x20 and \x09-\x0D
-        new = set()
-        for words in split:
-            new.update(words)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in new if w in self.known}
-        new = [w for w in new if w not in self.known]
-        got = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, got):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-
-_encoders: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """One encoder for each worker process."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
-
-
 def fill(lengths: list[int], counts: list[int], room: int) -> tuple[int, list[tuple[int, int]]]:
     """The largest sum up to ``room``, and (position, how many) of the lengths that give it.
 
@@ -177,16 +136,15 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer_path(tokenizer))
+        encode = word_ids(tokenizer, end_id)
         packer = Packer(window, TaskContext.get().partitionId() << 33)
-        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, to, data, offsets in pieces(batch.column(1)):
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                for doc, got in zip(ids[at:to], encode(texts)):
-                    packer.add(doc, got + end)
+                flat, first, _, _ = encode(split_words(data, offsets))
+                raw, bounds = flat.astype("<u4").tobytes(), (4 * first).tolist()
+                for doc, a, b in zip(ids[at:to], bounds[:-1], bounds[1:]):
+                    packer.add(doc, raw[a:b])
                 if packer.waiting > 2 * POOL_WINDOWS * window:
                     packer.pack(POOL_WINDOWS * window)
                 yield from _rows(packer)
