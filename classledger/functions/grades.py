@@ -71,7 +71,8 @@ def to_fixed2(x) -> Column:
     x = _col(x)
     scaled = x * F.lit(8.0)
     exact_eighth = scaled == F.floor(scaled)
-    rounded = F.when(exact_eighth, F.round(x, 2)).otherwise(
+    # Not a number and the infinities stay as they are; format_number has no text for them.
+    rounded = F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x).when(exact_eighth, F.round(x, 2)).otherwise(
         F.call_function("format_number", x, F.lit("0.00")).cast("double"))
     return _positive_zero(rounded)
 

@@ -29,7 +29,7 @@ def screen_accounts(accounts: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     rule = (F.when(starts_with_digit("account"), F.lit(R_DIGIT))
              .when(contains_whitespace("account"), F.lit(R_SPACE))
-             .when(F.col("secret_length") < F.lit(S.MIN_SECRET_LENGTH), F.lit(R_SHORT)))
+             .when(F.coalesce(F.col("secret_length"), F.lit(0)) < F.lit(S.MIN_SECRET_LENGTH), F.lit(R_SHORT)))
     ruled = candidates.withColumn("_rule", rule)
     passing = ruled.where(F.col("_rule").isNull())
     # One row per passing name (a name repeated by a third of the batch is

@@ -125,7 +125,7 @@ def grade_import_allowed(classes: DataFrame, students: DataFrame) -> DataFrame:
 
 
 def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
-    """Apply point grades ``(account, class_name, student_id, midterm, exam[, row_no])``.
+    """Apply point grades ``(account, class_name, student_id, midterm, exam, row_no)``.
 
     Checks, first failing wins: the account has no class; the chosen class has
     no student; no student chosen. A valid entry overwrites midterm and exam of
@@ -134,7 +134,7 @@ def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
     Returns ``(students, rejects)``.
     """
     if "row_no" not in entries.columns:
-        entries = entries.withColumn("row_no", F.lit(0).cast("long"))
+        raise ValueError("point grades need a row_no column: of several entries for one id the last wins")
     has_class = classes.groupBy("account").agg(F.lit(True).alias("_has_class"))
     # Only the (account, class) pairs named by the entries are looked up.
     small = fits_broadcast(entries.select("account", "class_name", "student_id", "midterm", "exam"))

@@ -87,6 +87,11 @@ def normalise_roster(sheet: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("final_grade", final_grade_of("midterm", "exam"))
 
 
+def _no_rejects(sheet: DataFrame, sheet_col: str | None) -> DataFrame:
+    by = ["account"] + ([sheet_col] if sheet_col else [])
+    return sheet.select(*by, F.lit("").alias("missing")).limit(0)
+
+
 def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame,
                   sheet_col: str | None = None):
     """Import a roster sheet into every account it names, all or nothing per account.
@@ -107,12 +112,14 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame,
     """
     missing = missing_columns(sheet.columns)
     if missing:
+        if sheet.isEmpty():  # an empty batch does nothing, whatever its header line
+            return students.select(*S.STUDENT_COLUMNS), _no_rejects(sheet, sheet_col)
         raise MissingColumns(missing)
     by = ["account"] + ([sheet_col] if sheet_col else [])
     # Every small side below (class names, refused and batch accounts,
     # per-account marks) has at most one row per sheet row: one size check on
     # the sheet bounds them all.
-    small = fits_broadcast(sheet.select("account", sheet_class(sheet), F.lit(0).cast("long"),
+    small = fits_broadcast(sheet.select(*by, sheet_class(sheet), F.lit(0).cast("long"),
                                         F.lit(0).cast("long")))
     unknown = missing_classes(classes, sheet, sheet_col, small=small)
     rejects = missing_class_report(unknown, sheet_col)

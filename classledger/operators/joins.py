@@ -12,14 +12,22 @@ BROADCAST_ROW_LIMIT = 2_000_000
 BROADCAST_BYTE_LIMIT = 64 * 1024 * 1024
 
 
+def _cell_bytes(c: Column, kind: T.DataType) -> Column:
+    """Payload of one cell: text and binary by length, structs by their fields, arrays and maps as their text."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        out = F.lit(8).cast("long")
+        for f in kind.fields:
+            out = out + _cell_bytes(c.getField(f.name), f.dataType)
+        return out
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)).cast("long") * 8
+    return F.lit(8).cast("long")
+
+
 def _payload_bytes(df: DataFrame) -> Column:
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)).cast("long"))
-        else:
-            parts.append(F.lit(8).cast("long"))
+    parts = [_cell_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     out = parts[0] if parts else F.lit(0).cast("long")
     for p in parts[1:]:
         out = out + p
@@ -30,18 +38,16 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
                    max_bytes: int = BROADCAST_BYTE_LIMIT) -> bool:
     """Whether ``df`` provably holds at most ``max_rows`` rows and ``max_bytes`` of payload.
 
-    One job over at most ``max_rows + 1`` rows: the limit stops the scan as
-    soon as the row bound is exceeded.
+    One aggregate without a limit: every task sends one row with its count and
+    bytes, so nothing but those rows meets in the last task.
     """
-    probe = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                       F.coalesce(F.sum(_payload_bytes(df)), F.lit(0)).alias("b"))
-    r = probe.first()
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_payload_bytes(df)), F.lit(0)).alias("b")).first()
     return r.n <= max_rows and r.b <= max_bytes
 
 
 def fits_rows(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` provably holds at most ``max_rows`` rows (a ``limit`` job that stops early)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` provably holds at most ``max_rows`` rows (one partial count for each task)."""
+    return df.count() <= max_rows
 
 
 def broadcast_when(ok: bool, *dfs: DataFrame):

@@ -114,7 +114,7 @@ def q_roster_import_sheets(spark, d):
 
 def q_parse_grades(spark, d):
     e = D.table(spark, d, "events").select("event_id", "props", "value", "event_type")
-    a = F.substring(F.col("props"), 7, 1 << 30)
+    a = F.regexp_replace(F.col("props"), "^[^0-9.+-]*", "")
     b = F.concat(F.col("value").cast("string"), F.col("event_type"))
     return e.select("event_id", parse_grade(a).alias("midterm"), parse_grade(b).alias("exam"),
                     final_grade(a, b).alias("final_grade"), grade_truthy(a).alias("cell_truthy"))

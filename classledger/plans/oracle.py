@@ -85,7 +85,8 @@ nations AS (
   SELECT n.n_nationkey, n.n_name, n.n_regionkey, a.account
   FROM nation n JOIN acct_region a ON n.n_regionkey = a.r_regionkey),
 accounts_v AS (SELECT account, is_admin, CAST(r_regionkey AS BIGINT) AS ord FROM acct_region),
-classes_v AS (SELECT account, n_name AS class_name, CAST(n_nationkey AS BIGINT) AS ord FROM nations),
+classes_v AS (SELECT account, n_name AS class_name, CAST(n_nationkey AS BIGINT) AS ord FROM nations
+  UNION ALL SELECT account, 'CLASS_EMPTY', CAST(r_regionkey + 1000 AS BIGINT) FROM acct_region),
 cust AS (
   SELECT c.*, n.n_name, n.n_nationkey, n.account FROM customer c JOIN nations n ON c.c_nationkey = n.n_nationkey),
 students_raw AS (
@@ -94,7 +95,7 @@ students_raw AS (
          CASE WHEN c_custkey % 3 = 0 THEN 'Nữ' ELSE 'Nam' END AS gender,
          CASE WHEN c_mktsegment = 'AUTOMOBILE' AND c_custkey % 10 = 0 THEN NULL ELSE n_name END AS class_name,
          c_acctbal / 1000.0 AS midterm, abs(c_acctbal) / 1250.0 AS exam, CAST(c_custkey AS BIGINT) AS ord
-  FROM cust WHERE n_nationkey <> 3),
+  FROM cust),
 students_v AS (
   SELECT account, student_id, full_name, birth_date, gender, class_name, midterm, exam,
          {final_of('midterm', 'exam')} AS final_grade, ord FROM students_raw)"""
@@ -109,7 +110,7 @@ GRADE_SHEET = """
 gs_base AS (
   SELECT o.o_orderkey AS k, o.o_custkey, o.o_totalprice, c.account, o.o_orderstatus AS status,
          CASE WHEN o.o_orderstatus = 'P' THEN 'NATION_X' ELSE c.n_name END AS cls
-  FROM orders o JOIN cust c ON o.o_custkey = c.c_custkey WHERE o.o_orderpriority = '5-LOW'),
+  FROM orders o JOIN cust c ON o.o_custkey = c.c_custkey),
 grade_sheet AS (
   SELECT CAST(k AS BIGINT) AS row_no, account,
     CASE WHEN k % 8 = 0 THEN ' ' || CAST(o_custkey AS VARCHAR) || chr(9)
@@ -392,7 +393,7 @@ SELECT r.account, r.student_id, r.full_name, r.birth_date, r.gender, r.class_nam
 FROM rows_n r JOIN before b ON r.account = b.account AND r.sheet_no = b.sheet_no
 LEFT JOIN fl ON r.account = fl.account"""
 
-    a, b = "substr(props, 7)", "(CAST(value AS VARCHAR) || event_type)"
+    a, b = "regexp_replace(props, '^[^0-9.+-]*', '')", "(CAST(value AS VARCHAR) || event_type)"
     out["parse_grades"] = f"""
 SELECT event_id, {parse(a)} AS midterm, {parse(b)} AS exam, {final_text(a, b)} AS final_grade,
   {gtruthy(a)} AS cell_truthy FROM events"""
@@ -426,7 +427,7 @@ ed AS (
       AS student_id,
     upper(c_name) AS full_name, '1999-09-09' AS birth_date, 'Nữ' AS gender, n_name AS class_name,
     c_acctbal / 500.0 AS midterm, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 9.5 END AS exam
-  FROM cust WHERE c_mktsegment = 'BUILDING'),
+  FROM cust),
 dup AS (SELECT account, original_id FROM ed GROUP BY 1, 2 HAVING count(*) > 1),
 onto AS (
   SELECT e.* FROM ed e WHERE EXISTS (
@@ -444,10 +445,10 @@ FROM students_v s LEFT JOIN good g ON s.account = g.account AND s.student_id = g
     entries = with_(BASE, f"""
 ent AS (
   SELECT CAST(o.o_orderkey AS BIGINT) AS row_no, c.account,
-    CASE WHEN o.o_orderstatus = 'P' THEN 'NATION_3' ELSE c.n_name END AS class_name,
+    CASE WHEN o.o_orderstatus = 'P' THEN 'CLASS_EMPTY' ELSE c.n_name END AS class_name,
     CASE WHEN o.o_orderkey % 10 = 0 THEN '' ELSE CAST(o.o_custkey AS VARCHAR) END AS student_id,
     o.o_totalprice / 60000.0 AS midterm, CAST(o.o_orderkey % 10 AS DOUBLE) AS exam
-  FROM orders o JOIN cust c ON o.o_custkey = c.c_custkey WHERE o.o_orderpriority = '1-URGENT'),
+  FROM orders o JOIN cust c ON o.o_custkey = c.c_custkey),
 pop AS (SELECT DISTINCT account, class_name FROM students_v WHERE class_name IS NOT NULL),
 chk AS (
   SELECT e.*, CASE

@@ -8,9 +8,11 @@ roster import (M7) to the current snapshot and writes the next snapshot.
   import after another in file order (modification time, then path): the
   operators take a sheet-order column and give exactly the sequential result,
   so a micro-batch writes one snapshot for many sheets.
-* Snapshots are ``<root>/v<epoch>``; a log table ``<root>/_log`` records each
-  finished epoch. A replayed epoch whose snapshot is already logged is
-  skipped, so a restart after a failure never applies a sheet twice.
+* Snapshots are ``<root>/v<number>``; a log table ``<root>/_log`` records which
+  stream's epoch (kind and checkpoint folder) made each. A replayed epoch of
+  the same stream is skipped, so a restart after a failure never applies a
+  sheet twice, and streams that share a root never skip each other's epochs.
+  One driver process writes to a root at a time.
 * Outcomes per account and file (updated / no_match / refused with the
   number of students updated, or the missing classes of a refused roster)
   are written to ``<root>/_reports``, one folder per epoch.
@@ -18,6 +20,9 @@ roster import (M7) to the current snapshot and writes the next snapshot.
 
 from __future__ import annotations
 
+import threading
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,41 +33,51 @@ from ..operators.grades import grade_import_report, merge_grades
 from ..operators.ingest import MissingColumns, import_roster, missing_columns
 from ..sources.snapshots import Tables, load, save
 
-LOG_SCHEMA = T.StructType([T.StructField("epoch", T.LongType()), T.StructField("path", T.StringType())])
+# One row for each snapshot: its number under the root, and which stream's epoch made it.
+LOG_SCHEMA = T.StructType([T.StructField("snapshot", T.LongType()), T.StructField("stream", T.StringType()),
+                           T.StructField("epoch", T.LongType()), T.StructField("path", T.StringType())])
+_roots: dict[str, threading.Lock] = {}
 SHEET = "_sheet"   # sheet order inside a micro-batch: (file modification time, file path)
 
 
-def _latest(spark: SparkSession, root: str, before: int):
-    """(epoch, path) of the newest logged snapshot older than ``before``, or None."""
+def _log(spark: SparkSession, root: str) -> DataFrame | None:
+    """The log, or None only if there is no such folder yet; any other failure is raised."""
     try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(f"{root}/_log")
-    except Exception:  # no log yet
+        return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/_log")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    row = log.where(F.col("epoch") < F.lit(before)).agg(F.max_by("path", "epoch").alias("p"),
-                                                       F.max("epoch").alias("e")).first()
-    return None if row is None or row.p is None else (row.e, row.p)
 
 
-def _logged(spark: SparkSession, root: str, epoch: int) -> bool:
-    try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(f"{root}/_log")
-    except Exception:
-        return False
-    return not log.where(F.col("epoch") == F.lit(epoch)).isEmpty()
+def _latest(log: DataFrame | None):
+    """(number, path) of the newest logged snapshot, or None."""
+    if log is None:
+        return None
+    row = log.agg(F.max("snapshot").alias("n"), F.max_by("path", "snapshot").alias("p")).first()
+    return None if row.p is None else (row.n, row.p)
 
 
-def _apply(kind: str, root: str, initial: Tables | None):
+def _logged(log: DataFrame | None, stream: str, epoch: int) -> bool:
+    return log is not None and not log.where((F.col("stream") == stream) & (F.col("epoch") == epoch)).isEmpty()
+
+
+def _apply(kind: str, root: str, initial: Tables | None, stream: str):
     def apply(batch: DataFrame, epoch: int) -> None:
+        with _roots.setdefault(root, threading.Lock()):  # streams that share a root take turns
+            one_import(batch, epoch)
+
+    def one_import(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        if _logged(spark, root, epoch) or batch.isEmpty():
+        log = _log(spark, root)
+        if _logged(log, stream, epoch) or batch.isEmpty():
             return
-        prev = _latest(spark, root, epoch)
+        prev = _latest(log)
         tables = load(spark, prev[1]) if prev else initial
         if tables is None:
             raise ValueError("no snapshot yet: pass initial tables")
         if kind == "grades":
-            # Kept for the two uses below (snapshot, report); a lost block is
-            # recomputed from the same inputs.
+            # The batch is read again for each use below (snapshot, report).
             merged = merge_grades(tables.students, batch, tables.classes, sheet_col=SHEET)
             report = grade_import_report(tables.students, tables.classes, batch, sheet_col=SHEET)
             report = report.select("account", F.col(f"{SHEET}.file_path").alias("file"), "status", "updated")
@@ -72,13 +87,14 @@ def _apply(kind: str, root: str, initial: Tables | None):
             report = rejects.select("account", F.col(f"{SHEET}.file_path").alias("file"),
                                     F.lit("refused").alias("status"), "missing")
             new = Tables(tables.accounts, tables.classes, students)
-        path = f"{root}/v{epoch:012d}"
+        number = prev[0] + 1 if prev else 0
+        path = f"{root}/v{number:012d}"
         # The folder is only read once the epoch is logged, so a replay after
         # a failure mid-write may overwrite what it left behind.
         save(new, path, previous=tables, mode="overwrite")
         # One folder per epoch, overwritten on replay: reports are never doubled.
-        report.write.mode("overwrite").parquet(f"{root}/_reports/{kind}/epoch={epoch}")
-        spark.createDataFrame([(epoch, path)], LOG_SCHEMA).write.mode("append").parquet(f"{root}/_log")
+        report.write.mode("overwrite").parquet(f"{root}/_reports/{kind}/epoch={number}")
+        spark.createDataFrame([(number, stream, epoch, path)], LOG_SCHEMA).write.mode("append").parquet(f"{root}/_log")
     return apply
 
 
@@ -102,11 +118,11 @@ def start_sheet_imports(spark: SparkSession, drop_dir: str, root: str, checkpoin
     reader = (spark.readStream.schema(S.sheet_schema(headers)).format(fmt)
                    .option("maxFilesPerTrigger", files_per_trigger))
     if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
+        reader = reader.options(header=True, enforceSchema=False, multiLine=True, mode="FAILFAST")
     stream = reader.load(drop_dir).withColumn(
         SHEET, F.struct(F.col("_metadata.file_modification_time").alias("file_modification_time"),
                         F.col("_metadata.file_path").alias("file_path")))
-    writer = (stream.writeStream.foreachBatch(_apply(kind, root, initial))
+    writer = (stream.writeStream.foreachBatch(_apply(kind, root, initial, f"{kind}:{checkpoint}"))
                     .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
