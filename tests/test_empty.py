@@ -39,7 +39,7 @@ def test_empty_batches_change_nothing(spark):
     ed = empty(spark, "account string, original_id string, student_id string, full_name string, "
                       "birth_date string, gender string, class_name string, midterm double, exam double")
     assert edit_students(base, ed)[0].count() == 5
-    ent = empty(spark, "account string, class_name string, student_id string, midterm double, exam double")
+    ent = empty(spark, "row_no bigint, account string, class_name string, student_id string, midterm double, exam double")
     assert set_grades(base, classes_df(spark), ent)[0].count() == 5
     assert screen_accounts(empty(spark, S.ACCOUNTS),
                            empty(spark, "row_no bigint, account string, secret_length int")).count() == 0
