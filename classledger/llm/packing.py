@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .subwords import word_ids
+from .subwords import split_parts, word_ids
 from .tables import map_arrow
-from .words import pieces, split_words
+from .words import pieces
 
 WINDOW = 4096
 END_ID = 2
@@ -141,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, to, data, offsets in pieces(batch.column(1)):
-                flat, first, _, _ = encode(split_words(data, offsets))
+                flat, first, _, _ = encode(split_parts(data, offsets))
                 raw, bounds = flat.astype("<u4").tobytes(), (4 * first).tolist()
                 for doc, a, b in zip(ids[at:to], bounds[:-1], bounds[1:]):
                     packer.add(doc, raw[a:b])

@@ -6,25 +6,36 @@ kept ones as numpy arrays.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 
 from .tables import tokenizer_path
-from .words import Words
+from .words import SEPARATORS, Words, hash_runs, split_words
 
 CACHED_WORDS = 500_000
+_SEPARATOR, _LETTER, _DIGIT, _PUNCTUATION, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[list(SEPARATORS)] = _SEPARATOR
+_KIND[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")] = _PUNCTUATION
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_LOWER_CASE = np.arange(256, dtype=np.uint8)
+_LOWER_CASE[65:91] += 32
 
 
 class Subwords:
-    """Ids of texts, each text closed by ``end``; ``encode_words`` gives a list of ids for each word."""
+    """Ids of texts, each text closed by ``end``; ``encode_words`` gives all words' ids and how many each has."""
 
     def __init__(self, end: int):
         self.end = end
         self._forget()
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
     def _forget(self) -> None:
@@ -33,11 +44,10 @@ class Subwords:
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        ids = self.encode_words(words)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, length = self.encode_words(words)
         start = len(self.flat) + np.cumsum(length) - length
         self.slot.update(zip(keys, range(len(self.start), len(self.start) + len(keys))))
-        self.flat = np.concatenate([self.flat, np.asarray([i for x in ids for i in x], np.uint32)])
+        self.flat = np.concatenate([self.flat, ids])
         self.start, self.length = np.append(self.start, start), np.append(self.length, length)
 
     def __call__(self, words: Words, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +55,8 @@ class Subwords:
 
         ``lower``: A-Z are lower-cased first, as the words' hashes then are.
         """
-        unique, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        back, unique = pd.factorize(words.hash)
+        at = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))  # numbered as they first occur
         keys = unique.tolist()
         if len(self.slot) + len(keys) > CACHED_WORDS:
             self._forget()
@@ -64,6 +75,10 @@ class Subwords:
         return flat, np.append(0, ends[words.first[1:] + np.arange(words.texts)]), unique, back
 
 
+def _ragged(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return (np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+
 class PieceIds(Subwords):
     """Ids by a sentencepiece model, each word on its own; the end mark is the first id past the vocabulary."""
 
@@ -73,56 +88,101 @@ class PieceIds(Subwords):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         super().__init__(self.model.get_piece_size())
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return self.model.encode(words, num_threads=1)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _ragged(self.model.encode(words, num_threads=1))
+
+
+def split_parts(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The parts that the splitter of ``word_bpe_49k.json`` makes of words, as ``Words``.
+
+    A word of ASCII and Latin-1 letters, digits and common punctuation falls
+    into runs of letters, runs of punctuation and single digits, lower-cased
+    here as the normaliser does it. Any other word (apostrophes, ``<`` and
+    ``>`` of special strings, other scripts) is one part, as it is.
+    """
+    words = split_words(data, offsets)
+    if not len(words.start):
+        return words
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    lead = lead[(second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    text = _LOWER_CASE[data]
+    capital = lead[data[lead + 1] < 0x9F] + 1
+    text[capital] = data[capital] + 0x20
+    others = np.append(0, np.cumsum(kind == _OTHER))
+    odd = others[words.end] > others[words.start]
+    length = (words.end - words.start)[odd]
+    places = np.repeat(words.start[odd] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    text[places] = data[places]
+    kind[places] = _OTHER
+    begins = kind == _DIGIT
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins &= kind != _SEPARATOR
+    begins[words.start] = True
+    start = np.flatnonzero(begins)
+    word = np.cumsum(np.bincount(np.searchsorted(start, words.start), minlength=len(start))) - 1
+    end = np.minimum(np.append(start[1:], len(data)), words.end[word])
+    return Words(text, offsets, np.searchsorted(start, offsets), hash_runs(text, start), start, end)
 
 
 class WordIds(Subwords):
     """Ids as the library gives them for ``word_bpe_49k.json``, special strings inside texts included.
 
-    The file's normaliser and splitter treat white space as a separator only.
-    Most words are Latin letters with punctuation after them, which the
-    splitter parts in two; the letters then go through the merges alone, with
-    the normaliser's and splitter's work done here. All other words go through
-    the whole library.
+    The file's normaliser and splitter treat white space as a separator only,
+    and ``split_parts`` does their work for most words. Runs of letters then
+    go through the merges alone, many in one string: the model's word end is
+    one more symbol there, whose merges with the last characters come first,
+    and no merge passes over it. All other parts go through the whole library.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&()*+,./:;=?@\[\]^_`{|}~-]*)")
+    LETTERS = re.compile("[a-zß-öø-ÿ]+")
+    WORD_END = "\ue000"
+    TOGETHER = 200
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.merges = Tokenizer(self.whole.model)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        suffix, pairs = model["end_of_word_suffix"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(left.endswith(suffix) for left, _ in pairs):
+            raise ValueError("a merge passes over a word's end; words can't be encoded together")
+        mark = lambda t: t[:-len(suffix)] + self.WORD_END if t.endswith(suffix) else t
+        vocabulary = {mark(t): i for t, i in model["vocab"].items()}
+        vocabulary.setdefault(self.WORD_END, max(vocabulary.values()) + 1)
+        last = [(t[0], self.WORD_END) for t in vocabulary if len(t) == 2 and t.endswith(self.WORD_END)]
+        self.merges = Tokenizer(BPE(vocab=vocabulary, merges=last + [(mark(a), mark(b)) for a, b in pairs]))
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.visible = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.parts: dict[str, list[int]] = {}
         super().__init__(end)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        found = [self.PLAIN.fullmatch(w) for w in words]
-        letters, ends, others = set(), set(), set()
-        for w, m in zip(words, found):
-            if m is None:
-                others.add(w)
-            else:
-                letters.add(m[1].lower())
-                ends.add(m[2])
-        if len(self.parts) + len(letters) + len(ends) > CACHED_WORDS:
-            self.parts = {}
-        parts = self.parts
-        new = [w for w in letters if w not in parts]
-        shown = [w.encode().decode("latin-1").translate(self.visible) for w in new]
-        for w, e in zip(new, self.merges.encode_batch_fast(shown, add_special_tokens=False)):
-            parts[w] = e.ids
-        new = [w for w in ends if w not in parts]
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False)):
-            parts[w] = e.ids
-        listed = list(others)
-        rare = dict(zip(listed, (e.ids for e in self.whole.encode_batch_fast(listed, add_special_tokens=False))))
-        return [rare[w] if m is None else parts[m[1].lower()] + parts[m[2]] for w, m in zip(words, found)]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``words``: parts as ``split_parts`` gives them."""
+        letters = np.fromiter((self.LETTERS.fullmatch(w) is not None for w in words), bool, len(words))
+        plain = [w for w, yes in zip(words, letters) if yes]
+        joined = [(self.WORD_END.join(plain[i:i + self.TOGETHER]) + self.WORD_END)
+                  for i in range(0, len(plain), self.TOGETHER)]
+        shown = [w if w.isascii() else self.WORD_END.join(
+            x.encode().decode("latin-1").translate(self.visible) for x in w.split(self.WORD_END)) for w in joined]
+        several = [np.asarray(e.ids, np.uint32) for e in self.merges.encode_batch_fast(shown, add_special_tokens=False)]
+        merged = np.concatenate([np.zeros(0, np.uint32), *several])
+        merged_lengths = np.diff(np.append(-1, np.flatnonzero(self.ends_word[merged])))
+        rest = [w for w, yes in zip(words, letters) if not yes]
+        other, other_lengths = _ragged([e.ids for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)])
+        length = np.empty(len(words), np.int64)
+        length[letters], length[~letters] = merged_lengths, other_lengths
+        from_merges = np.repeat(letters, length)
+        ids = np.empty(len(from_merges), np.uint32)
+        ids[from_merges], ids[~from_merges] = merged, other
+        return ids, length
 
 
 _known: dict[tuple, Subwords] = {}

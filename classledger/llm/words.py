@@ -96,6 +96,13 @@ def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
+def hash_runs(data: np.ndarray, start: np.ndarray, table: np.ndarray = _PLAIN) -> np.ndarray:
+    """Hash of the bytes from each start to the next, separators left out."""
+    values = table[data]
+    values *= _power(_BASE, len(data))
+    return mix(np.add.reduceat(values, start) * _power(_INVERSE, len(data))[start])
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Words of the texts ``data[offsets[d]:offsets[d+1]]``; ``lower``: A-Z hash as a-z."""
     n = len(data)
@@ -114,15 +121,12 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> W
     if not len(start):
         none = np.zeros(0, np.int64)
         return Words(data, offsets, first, none.astype(np.uint64), none, none)
-    table = _LOWER if lower else _PLAIN
-    values = table[data]
-    values *= _power(_BASE, n)
-    h = np.add.reduceat(values, start) * _power(_INVERSE, n)[start]
+    h = hash_runs(data, start, _LOWER if lower else _PLAIN)
     ends = sep.copy()
     ends[inner[(inner > 0) & (inner < n)]] = True  # a text's start ends the word before it
     stops = np.append(np.flatnonzero(ends), n)
     end = stops[np.searchsorted(stops, start, "right")]
-    return Words(data, offsets, first, mix(h), start, end)
+    return Words(data, offsets, first, h, start, end)
 
 
 def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

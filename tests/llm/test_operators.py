@@ -9,9 +9,9 @@ import pytest
 
 from classledger.llm import (decontamination, extraction, jaccard, packing, quality, scoring, substrings, token_counts,
                              url_filter, warc)
-from classledger.llm.subwords import word_ids
+from classledger.llm.subwords import split_parts, word_ids
 from classledger.llm.tables import tokenizer_path
-from classledger.llm.words import pieces, split_words
+from classledger.llm.words import pieces
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau upsilon phi chi"
 TEXTS = [None, "", " \n\t", "one", "one two", "One TWO", BASE, BASE + " psi", "x " + BASE, BASE, BASE.upper(), "a " * 60,
@@ -75,7 +75,7 @@ def test_token_counts_and_packing(docs):
     whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     encode, found = word_ids("word_bpe_49k.json", 2), []
     for _, _, data, offsets in pieces(pa.array(TEXTS, pa.string())):
-        flat, first, _, _ = encode(split_words(data, offsets))
+        flat, first, _, _ = encode(split_parts(data, offsets))
         found += [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
     want = [whole.encode(t or "", add_special_tokens=False).ids + [2] for t in TEXTS]
     assert found == want
@@ -94,6 +94,19 @@ def test_token_counts_and_packing(docs):
         assert end & (end - 1) == 0 and end <= 64
 
 
+def test_word_ids_of_awkward_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    texts = ["Don't I've <|STARTOFTEXT|> <|startoftext|>x a<|endoftext|>", "\u00c0\u00c9\u00df\u00ff\u00d7\u00f7\u00e9 E\u0301 \u00c9\u0301 x123y45 a,b.c-d;3,14",
+             "", " \t\n ", "\u65e5\u672c\u8a9e \u041f\u0440\u0438 \u0130stanbul \u200b x\u3000y \x1c z\x85q", "it's. 'tis \"so\" \\b `t` ~ <a>", "x" * 5000,
+             "ab" * 3000 + "\u00e9" * 1000, "\U0001f600hi \ufb01 A\u030a \u00ad"]
+    whole, encode, found = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), word_ids("word_bpe_49k.json", 2), []
+    for _, _, data, offsets in pieces(pa.array(texts)):
+        flat, first, _, _ = encode(split_parts(data, offsets))
+        found += [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+    assert found == [whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_fill_is_the_best_subset():
     assert packing.fill([7, 5, 3], [1, 2, 1], 10) == (10, [(2, 1), (0, 1)]) or packing.fill([7, 5, 3], [1, 2, 1], 10)[0] == 10
     assert packing.fill([9, 6], [1, 1], 8) == (6, [(1, 1)])
