@@ -7,42 +7,69 @@ carried by a ``row_no`` column, which first-match and prepend semantics need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_sheet(spark: SparkSession, path: str, fmt: str = "csv", account: str | None = None) -> DataFrame:
+def number_text(x: Column) -> Column:
+    """A numeric cell as a spreadsheet shows it: ``21001``, ``0.5``, ``20210001``; never ``21001.0`` or ``2.0E7``.
+
+    NULL, NaN and infinite values, and magnitudes from 1e20 or under 1e-6, are as Spark's cast gives them.
+    """
+    size = F.abs(x.cast("double"))
+    whole = x.try_cast("decimal(38,0)").cast("string")
+    digits = F.regexp_replace(x.cast("string").try_cast("decimal(38,17)").cast("string"), "0+$", "")
+    return (F.when(size == 0, F.lit("0"))
+             .when((size < 1e20) & (F.floor(size) == size), whole)
+             .when((size >= 1e-6) & (size < 1e20), digits)
+             .otherwise(x.cast("string")))
+
+
+def read_sheet(spark: SparkSession, path: str, fmt: str = "csv", account: str | None = None,
+               sheet_col: str | None = None, multi_line: bool = True) -> DataFrame:
     """Read a sheet batch (CSV with a header line, JSON lines or Parquet) as text columns.
 
-    ``row_no`` must be a column of the batch; for Parquet without one, the
-    row index inside the file is used (one sheet per file). ``account`` fills
-    the tenant column when the batch does not carry one.
+    ``row_no`` keeps the order of rows within a file. Without such a column it
+    is numbered here: by the row index of a Parquet file, and for CSV in
+    reading order (rising within a file, not without gaps). A CSV file is then
+    read by one task, as quoted line breaks (``multi_line``) need anyway;
+    ``multi_line=False`` splits large files, and like JSON lines it needs a
+    ``row_no`` column. ``sheet_col`` names a column for the file's path, which
+    tells several sheets apart. ``account`` fills the tenant column when the
+    batch does not carry one. A malformed CSV row fails the batch.
     """
     if fmt == "csv":
         # No inference: the header names the columns, every cell stays a string.
-        # Quoted cells may hold line breaks (multiLine: one task per sheet file,
-        # which a spreadsheet-sized batch fits); a malformed row fails the batch.
         df = (spark.read.option("header", True).option("inferSchema", False)
-                   .option("multiLine", True).option("mode", "FAILFAST").csv(path))
+                   .option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
     elif fmt == "json":
         df = spark.read.option("primitivesAsString", True).json(path)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
-        if "row_no" not in df.columns:
-            df = df.withColumn("row_no", F.col("_metadata.row_index"))
     else:
         raise ValueError(f"unsupported sheet format {fmt!r}")
-    if "row_no" not in df.columns:
-        raise ValueError("a sheet batch needs a row_no column to keep file order")
-    cols = []
+    if "row_no" in df.columns:
+        row_no = F.col("row_no").cast("long")
+    elif fmt == "parquet":
+        row_no = F.col("_metadata.row_index")
+    elif fmt == "csv" and multi_line:
+        row_no = F.monotonically_increasing_id()  # a file is never split, so its rows are numbered in order
+    else:
+        raise ValueError("a sheet batch that is read in splits needs a row_no column to keep file order")
+    cols = [row_no.alias("row_no")]
     for f in df.schema.fields:
+        cell = F.col(f"`{f.name}`")
         if f.name == "row_no":
-            cols.append(F.col("row_no").cast("long").alias("row_no"))
+            continue
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            cols.append(number_text(cell).alias(f.name))
         elif isinstance(f.dataType, T.StringType):
-            cols.append(F.col(f"`{f.name}`"))
+            cols.append(cell)
         else:
-            cols.append(F.col(f"`{f.name}`").cast("string").alias(f.name))
+            cols.append(cell.cast("string").alias(f.name))
+    if sheet_col is not None:
+        cols.append(F.col("_metadata.file_path").alias(sheet_col))
     df = df.select(*cols)
     if account is not None:
         df = df.withColumn("account", F.lit(account))

@@ -48,12 +48,31 @@ def test_json_and_parquet_sheets(spark):
     assert sorted((x.row_no, x.MSSV) for x in sh.collect()) == [(0, "S1"), (1, "S2")]
 
 
-def test_sheet_without_order_is_refused(spark):
+def test_sheets_without_row_numbers_are_read_in_file_order(spark):
     d = scratch()
-    with open(f"{d}/x.csv", "w") as f:
-        f.write("MSSV\nS1\n")
-    with pytest.raises(ValueError):
-        read_sheet(spark, f"{d}/x.csv", "csv", account="t1")
+    for name in ("x", "y"):
+        with open(f"{d}/{name}.csv", "w") as f:
+            f.write("MSSV,Note\n" + "".join(f'{name}{i},"a\nb"\n' for i in range(500)))
+    sh = read_sheet(spark, f"{d}/*.csv", "csv", account="t1", sheet_col="sheet")
+    rows = sorted((r.sheet, r.row_no, r.MSSV) for r in sh.collect())
+    assert [r[2] for r in rows] == [f"{n}{i}" for n in "xy" for i in range(500)]
+    for other in ({"fmt": "csv", "multi_line": False}, {"fmt": "json"}):
+        with pytest.raises(ValueError):
+            read_sheet(spark, f"{d}/x.csv", account="t1", **other)
+
+
+def test_numeric_cells_read_as_a_sheet_shows_them(spark):
+    d = scratch()
+    cells = [(20210001.0, "20210001"), (21001.0, "21001"), (0.5, "0.5"), (-7.25, "-7.25"), (12345678.5, "12345678.5"),
+             (0.0001, "0.0001"), (-0.0, "0"), (1e15, "1000000000000000"), (float("inf"), "Infinity"),
+             (float("nan"), "NaN"), (None, None)]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cells)], "row_no int, x double")
+    df.selectExpr("row_no", "x", "cast(x as float) as f", "case when row_no < 4 then cast(x as decimal(12, 3)) end as m",
+                  "12 as i").write.parquet(f"{d}/n")
+    got = read_sheet(spark, f"{d}/n", "parquet", account="t1").orderBy("row_no").collect()
+    assert [r.x for r in got] == [text for _, text in cells]
+    assert [r.f for r in got[1:4]] == ["21001", "0.5", "-7.25"]
+    assert [r.m for r in got[:5]] == ["20210001", "21001", "0.5", "-7.25", None] and got[0].i == "12"
 
 
 def test_snapshot_round_trip_skips_admin(spark):
