@@ -17,7 +17,9 @@ under every one:
 What is left is verified on the full sets. Equal sets are one node from the
 start, so copies meet no one. Within a token's bucket, two hub sets are
 compared with all others first; pairs that a component already joins need no
-comparison, and only the pairs across components are compared after that.
+comparison, and only the pairs across components are compared after that. There
+a pair is made only if its sets' parity sketches differ in no more bits than
+the sets may differ in tokens: a bound that loses no pair.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ ORDER_SEED = 0x51ED270B9F652295
 _BITS = np.uint64(12)  # a token is a hash of 52 bits; the upper 12 number the texts of a chunk
 _PER_CHUNK = 4000
 _SLOTS = 1024
+SKETCH_SEED, SKETCH_BITS = 0x2545F4914F6CDD1D, 512
 
 
 def prefix_length(n, percent: int):
@@ -85,6 +88,13 @@ class Sets:
         return (key[keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), first
 
 
+    def sketches(self) -> np.ndarray:
+        """Each set's parity sketch, as rows of 64-bit integers: bit i tells whether the tokens hashed to i are odd in number."""
+        bit = (mix(self.token ^ np.uint64(SKETCH_SEED)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+        odd = np.bincount(self.owner * SKETCH_BITS + bit, minlength=len(self.n) * SKETCH_BITS) & 1
+        return np.packbits(odd.astype(bool).reshape(-1, SKETCH_BITS), axis=1).view(np.int64)
+
+
 def _chunks(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, Sets]]:
     for begin in range(0, batch.num_rows, _PER_CHUNK):
         part = batch.column(column).slice(begin, _PER_CHUNK)
@@ -203,17 +213,27 @@ def hub_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     return each.select(F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b")).distinct()
 
 
-def rest_pairs(prefix: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one bucket that no component joins yet."""
+def _sketches_allow(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens can be similar, as far as their sketches tell.
+
+    Similar sets differ in at most (n + m) (100 - percent) / (100 + percent) tokens, and each differing bit needs one.
+    """
+    bits = sum((F.bit_count(F.get(sketch, i).bitwiseXOR(F.get(other, i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return bits * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def rest_pairs(prefix: DataFrame, components: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of one bucket that no component joins yet; sketches: (set_id, sketch)."""
     labelled = prefix.join(components.withColumnRenamed("node", "set_id"), "set_id", "left") \
         .withColumn("component", F.coalesce("component", "set_id"))
     open_tokens = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .where("x <> y").select("token")
-    labelled = labelled.join(open_tokens, "token", "left_semi")
+    labelled = labelled.join(open_tokens, "token", "left_semi").join(sketches, "set_id")
     other = labelled.toDF(*[c + "_" if c != "token" else c for c in labelled.columns])
     return (labelled.join(other, "token")
             .where((F.col("component") < F.col("component_"))
-                   & _may_match(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), percent))
+                   & _may_match(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), percent)
+                   & _sketches_allow(F.col("n"), F.col("sketch"), F.col("n_"), F.col("sketch_"), percent))
             .select(F.least("set_id", "set_id_").alias("a"), F.greatest("set_id", "set_id_").alias("b")).distinct())
 
 
@@ -224,7 +244,7 @@ def meet_in_all_orders(pairs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
-    """(set_id, n, tokens, order2) of each wanted set, read again from one of its texts.
+    """(set_id, n, tokens, order2, sketch) of each wanted set, read again from one of its texts.
 
     tokens is sorted; order2 holds the first of them in the hash order, shortened to 32 bits.
     """
@@ -241,10 +261,11 @@ def full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, size: in
                 values, ends = sets.smallest(ORDER_SEED, prefix_length(sets.n, percent))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sets.id), pa.array(sets.n, pa.int64()), pa.array(tokens, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))],
-                    ["set_id", "n", "tokens", "order2"])
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())),
+                     pa.array(list(sets.sketches()), pa.list_(pa.int64()))],
+                    ["set_id", "n", "tokens", "order2", "sketch"])
 
-    return map_arrow(texts, rows, "set_id long, n long, tokens binary, order2 array<int>").dropDuplicates(["set_id"])
+    return map_arrow(texts, rows, "set_id long, n long, tokens binary, order2 array<int>, sketch array<long>").dropDuplicates(["set_id"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,7 +315,7 @@ def _rows_with_root(docs: DataFrame, size: int, percent: int, id_column: str, te
     full = tokens.select("set_id", "tokens")
     links = materialise(verify(meet_in_all_orders(hub_pairs(prefix, percent), keys), full, percent), "jaccard-links")
     components = connected_components(links)
-    rest = materialise(rest_pairs(prefix, components, percent), "jaccard-rest")
+    rest = materialise(rest_pairs(prefix, components, tokens.select("set_id", "sketch"), percent), "jaccard-rest")
     if not rest.isEmpty():
         more = materialise(verify(meet_in_all_orders(rest, keys), full, percent), "jaccard-links")
         if not more.isEmpty():

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pyarrow as pa
@@ -58,6 +59,30 @@ def test_similar_documents(docs):
     assert got == {i: (len(sets[i]), part[i]) for i in sets}
 
 
+def test_near_copies_around_the_threshold_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            words[rng.randrange(70)] = f"x{rng.randrange(40)}"
+        texts.append(words)
+    sets = [{tuple(w[i:i + 5]) for i in range(66)} for w in texts]
+    root = list(range(len(texts)))
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                linked += 1
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert 0 < linked and len(set(root)) > 20
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs, 5, 80).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_items_are_found_and_nothing_else(spark, docs):
     bench = spark.createDataFrame([(1, BASE), (2, None), (3, "one two"), (4, "not in any document of all")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_items(docs, bench).collect()}
