@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -143,6 +144,19 @@ def test_base_scores(docs):
     assert {r.doc_id: r.n_tokens for r in rows} == {i: len(WORD.findall(t or "")) + 1 for i, t in enumerate(TEXTS)}
 
 
+def test_every_id_is_scored_with_nine_ids_before_it():
+    rng = np.random.default_rng(1)
+    alphabet = scoring.Alphabet(np.append(np.arange(200, 0, -1), 5).astype(float))
+    weights = scoring.first_weights(alphabet.bias)
+    flat = rng.integers(0, 60, 150)
+    first = np.asarray([0, len(flat)])
+    plain = scoring.log_probabilities(weights, alphabet, flat, first)
+    for p in range(9, len(flat)):
+        other = flat.copy()
+        other[p - 9] = (flat[p - 9] + 1) % 60
+        assert scoring.log_probabilities(weights, alphabet, other, first)[p] != plain[p], p
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.judge(docs, none).collect()}
