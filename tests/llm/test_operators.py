@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,9 @@ import pytest
 
 from classledger.llm import (decontamination, extraction, jaccard, packing, quality, scoring, substrings, token_counts,
                              url_filter, warc)
-from classledger.llm.subwords import split_parts, word_ids
+from classledger.llm.subwords import piece_ids, split_parts, word_ids
 from classledger.llm.tables import tokenizer_path
-from classledger.llm.words import pieces
+from classledger.llm.words import pieces, split_words
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau upsilon phi chi"
 TEXTS = [None, "", " \n\t", "one", "one two", "One TWO", BASE, BASE + " psi", "x " + BASE, BASE, BASE.upper(), "a " * 60,
@@ -157,6 +158,26 @@ def test_every_id_is_scored_with_nine_ids_before_it():
         assert scoring.log_probabilities(weights, alphabet, other, first)[p] != plain[p], p
 
 
+def test_attention_model_learns_from_every_training_row(spark, monkeypatch):
+    """Few documents, whatever their ids: each learnt row counts, and moves the weights."""
+    rows = [(i, f"{BASE} w{i}") for i in range(40)]
+    kept = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert 0 < len(kept) < len(rows)
+    encode, counts = piece_ids("piece_bpe_32k.model"), 0
+    for _, _, data, offsets in pieces(pa.array(kept)):
+        counts = counts + np.bincount(encode(split_words(data, offsets, lower=True), lower=True)[0], minlength=encode.end + 1)
+    trained, train = [], scoring.train
+    monkeypatch.setattr(scoring, "train", lambda *a: trained.append(train(*a)) or trained[-1])
+    scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    alone = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1)
+    scoring.score_documents(spark.createDataFrame(rows[alone:alone + 1], "doc_id long, text string"))
+    (weights, alphabet), (one, few) = trained
+    want = scoring.Alphabet(counts)
+    assert np.array_equal(alphabet.out, want.out) and np.array_equal(alphabet.tail, want.tail)
+    for w, bias in ((weights, want.bias), (one, few.bias)):
+        assert np.abs(w["embed"] - scoring.first_weights(bias)["embed"]).max() > 1e-3
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.judge(docs, none).collect()}
