@@ -198,6 +198,17 @@ def test_pages(spark, tmp_path):
     assert {r.page_id: bytes(r.payload).decode() for r in warc.original_records(spark, f"{tmp_path}/a").collect()}[3] == html
 
 
+def test_a_page_id_of_many_rows_is_learnt_from_once(spark, monkeypatch):
+    page = lambda i: f"<article><p>Text {i}, of some length.</article><nav>Menu {i}</nav>"
+    rows = [(1, page(i)) for i in range(50)] + [(1, page(0))] * 50 + [(i, page(i)) for i in range(2, 6)]
+    seen = []
+    monkeypatch.setattr(extraction, "train", lambda x, y: seen.append((sorted(map(tuple, x)), len(y))))
+    extraction.learn(spark.createDataFrame(rows, "page_id long, html string"))
+    best = min((page(i) for i in range(50)), key=lambda p: hashlib.sha256(p.encode()).hexdigest())
+    extraction.learn(spark.createDataFrame([(1, best)] + rows[100:], "page_id long, html string"))
+    assert seen[0] == seen[1] and seen[0][1] == 2 * 5
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
