@@ -31,11 +31,14 @@ TRAIN_BLOCKS = 64
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas xmp noembed noframes".split())
+RAW = frozenset("""script style noscript template textarea title svg iframe xmp noembed noframes annotation
+annotation-xml""".split())
+MARKUP = frozenset("noscript template svg annotation annotation-xml".split())  # of RAW: hold elements, not raw text
 DROPPED = frozenset("form button select option fieldset label input dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s
-samp small span strike strong sub sup time tt u var wbr""".split())
+samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow msup msub msubsup mfrac
+msqrt mroot mover munder munderover mmultiscripts mstyle mspace mpadded menclose mfenced mtable mtr mtd""".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside header".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_NAMES = frozenset("""ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs byline captcha
@@ -70,26 +73,42 @@ class Block(NamedTuple):
     linked: int
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role; whether the element is hidden."""
-    words, hidden = set(), False
+def _names(attributes: str) -> tuple[set[str], set[str], bool]:
+    """Words of class, id and role; their whole names; whether the element is hidden."""
+    words, whole, hidden = set(), set(), False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
             words.update(w.lower() for w in _NAME.findall(value))
+            whole.update(re.sub("[-_]", "", value.lower()).split())
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "").lower()
         else:
             hidden |= name == "hidden" or value.lower() == "true"
-    return words, hidden
+    return words, whole, hidden
+
+
+def _closed(page: str, tag: str) -> dict[int, int]:
+    """Where each closed element of the name ends, by the end of its opening tag."""
+    ends, waiting = {}, []
+    for found in re.finditer(rf"<(/?){re.escape(tag)}(?![\w-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", page, re.I):
+        if not found[1]:
+            if not found[0].endswith("/>"):
+                waiting.append(found.end())
+        elif waiting:
+            ends[waiting.pop()] = found.end()
+    return ends
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; markup that is never text is left out.
 
-    A tag that is not inline ends a block. An unclosed comment or script takes
-    the rest of the page, as browsers do. A closing tag without an open
-    element is skipped.
+    A tag that is not inline ends a block. An unclosed comment, script or other
+    element of raw text takes the rest of the page, as browsers do; one of
+    ``MARKUP`` ends where a block begins or its parent ends. A closing tag
+    without an open element is skipped. Article and main, and containers with a
+    content word, are boilerplate by a whole name only: "with-sidebar" is not
+    "sidebar".
     """
     out: list[Block] = []
     stack = [Open("", 0, 0, False)]
@@ -99,6 +118,7 @@ def blocks_of(page: str) -> list[Block]:
     number = 0
     at = 0
     dropped = 0  # depth of the outermost dropped element, or 0
+    closed: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         nonlocal linked
@@ -136,16 +156,23 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if tag in RAW and not closing:
-            if not attributes.endswith("/"):
+            if attributes.endswith("/"):
+                continue
+            if tag not in MARKUP:
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else end
-            continue
+                continue
+            if tag not in closed:
+                closed[tag] = _closed(page, tag)
+            if at in closed[tag]:
+                at = closed[tag][at]
+                continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ") if not dropped else None
             elif tag == "a":
                 in_link = not closing
-            elif not closing and "hidden" in attributes.lower() and _names(attributes)[1]:
+            elif not closing and "hidden" in attributes.lower() and _names(attributes)[2]:
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else at
             continue
@@ -160,6 +187,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in VOID:
             continue
+        if dropped and stack[dropped].tag in MARKUP and (tag in _P_ENDERS or tag in CLOSED_BY):
+            pop_to(dropped)
         ends = CLOSED_BY.get(tag)
         if ends:
             depth = len(stack)
@@ -175,20 +204,21 @@ def blocks_of(page: str) -> list[Block]:
             continue
         top = stack[-1]
         hint, in_content = top.hint, top.in_content
-        words, hidden = _names(attributes) if attributes else (set(), False)
+        words, whole, hidden = _names(attributes) if attributes else (set(), set(), False)
         if tag in CONTENT_TAGS:
             hint, in_content = 1, True
         elif tag in BOILERPLATE_TAGS and not (tag == "header" and in_content):
             hint = -1
         if words and tag not in ("body", "html"):
-            if words & BOILERPLATE_NAMES and not words & {"article", "articlebody", "maincontent"} and not (
-                    in_content and words & {"header"} and tag == "header"):
+            told = words & BOILERPLATE_NAMES and not words & {"article", "articlebody", "maincontent"} and not (
+                in_content and words & {"header"} and tag == "header")
+            if told and (whole & BOILERPLATE_NAMES or not (tag in CONTENT_TAGS or words & CONTENT_NAMES)):
                 hint = -1
-            elif words & CONTENT_NAMES and hint >= 0:
+            elif (whole if told else words) & CONTENT_NAMES and hint >= 0:
                 hint, in_content = 1, True
         number += 1
         stack.append(Open(tag, number, hint, in_content))
-        if not dropped and (tag in DROPPED or hidden):
+        if not dropped and (tag in DROPPED or tag in MARKUP or hidden):
             dropped = len(stack) - 1
     if not dropped:
         close()

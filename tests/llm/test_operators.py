@@ -209,6 +209,24 @@ def test_a_page_id_of_many_rows_is_learnt_from_once(spark, monkeypatch):
     assert seen[0] == seen[1] and seen[0][1] == 2 * 5
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<main class="main-content with-sidebar"><p>Text.</p></main>', "Text."),
+    ('<article class="post tag-privacy"><p>Text.</p></article>', "Text."),
+    ('<div class="content with-sidebar"><p>Text.</p></div>', "Text."),
+    ('<article class="comment"><p>Text.</p></article>', ""),
+    ('<div class="content sidebar"><p>Text.</p></div>', ""),
+    ('<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>', "Let x=1 be."),
+    ('<article><object><p>Shown.</p></object><canvas><p>Drawn.</p></canvas></article>', "Shown.\nDrawn."),
+    ('<article><p>A<svg><path d="m"></p><p>B</p></article>', "A\nB"),
+    ('<article><div>A<svg><text>no</text></div><p>B</p><p>C<svg><text>no</text></svg>D</p></article>', "A\nB\nCD"),
+    ('<article><template><p>B</p></article>', "B"),
+    ('<article><p>A</p><template><p>no</p></template><p>B</p></article>', "A\nB"),
+    ('<article><p>A</p><script>no<p>no</p></article>', "A"),
+])
+def test_text_of_the_article_is_kept(page, want):
+    assert extraction.main_text(page, extraction.PRIOR) == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
