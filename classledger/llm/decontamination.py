@@ -4,8 +4,11 @@ A window has as many word shingles as the item. Windows without one of the
 item's shingles have similarity 0, and a window needs a certain number of
 them to reach the threshold; both are used to leave out windows that cannot
 match. The others get a 64-bit SimHash each, from running sums of the
-shingles' bits (16 longs of four 16-bit counters), so a window costs one
-subtraction however long it is. ``RADIUS + 1`` blocks of the fingerprint index
+shingles' bits (16 longs of four 16-bit counters, or 32 longs of two 32-bit
+counters where an item has more than ``NARROW`` words), so a window costs one
+subtraction however long it is. The sums restart in every slice of max(``STEP``,
+window) starts, which also holds the rest of its last window: no counter passes
+32,767 (2^31 - 1), however long a text repeats an item. ``RADIUS + 1`` blocks of the fingerprint index
 the items: two fingerprints within the radius agree in one block at least.
 Candidates are verified by the exact weighted Jaccard similarity of their
 shingles, a shingle's weight being how often it occurs.
@@ -26,9 +29,8 @@ WORDS = 5
 THRESHOLD = 0.8
 RADIUS = 19
 BROADCAST_SHINGLES = 500_000
+NARROW, STEP = 16_000, 8192
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SPREAD = 1 | 1 << 15 | 1 << 30 | 1 << 45
-_LANES = 1 | 1 << 16 | 1 << 32 | 1 << 48
 
 
 def _shingles(text: Column, size: int) -> Column:
@@ -49,18 +51,24 @@ def _n_words(text: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+")))
 
 
-def _lanes(h: Column) -> list[Column]:
-    """The 64 bits of a hash as 16 longs, each with four counters."""
-    return [(F.shiftrightunsigned(h, 4 * j).bitwiseAND(15) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES)) for j in range(16)]
+def _lanes(h: Column, each: int) -> list[Column]:
+    """The 64 bits of a hash as longs with so many counters each (four or two)."""
+    width = 64 // each
+    spread = sum(1 << (width - 1) * i for i in range(each))
+    ones = sum(1 << width * i for i in range(each))
+    return [(F.shiftrightunsigned(h, each * j).bitwiseAND((1 << each) - 1) * F.lit(spread)).bitwiseAND(F.lit(ones))
+            for j in range(width)]
 
 
 def _fingerprint(lanes: list[Column], n: Column) -> Column:
-    """Bit 4j + i is set where more than half of the n shingles set it."""
+    """Bit ``each * j + i`` is set where more than half of the n shingles set it."""
     out = F.lit(0).cast("long")
+    width, each = len(lanes), 64 // len(lanes)
     for j, lane in enumerate(lanes):
-        for i in range(4):
-            ones = F.shiftrightunsigned(lane, 16 * i).bitwiseAND(0xFFFF)
-            out = out.bitwiseOR(F.when(2 * ones > n, F.lit(1 << (4 * j + i) if 4 * j + i < 63 else -(1 << 63)).cast("long"))
+        for i in range(each):
+            bit = each * j + i
+            ones = F.shiftrightunsigned(lane, width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            out = out.bitwiseOR(F.when(2 * ones > n, F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long"))
                                 .otherwise(F.lit(0).cast("long")))
     return out
 
@@ -80,12 +88,14 @@ def _needed(n: Column, m: Column, threshold: float) -> Column:
 
 def _find(docs: DataFrame, items: DataFrame, size: int, threshold: float, radius: int) -> DataFrame:
     """Windows (doc_id, key, item_id, similarity, start, length) for items whose shingles have ``size`` words."""
+    each = 4 if (items.agg(F.max(_n_words(F.col("text")))).first()[0] or 0) <= NARROW else 2
+    count = 64 // each
     listed = items.select("item", "item_id", F.posexplode(_shingles(F.col("text"), size)).alias("at", "h"))
     weights = listed.groupBy("item", "h").agg(F.count(F.lit(1)).alias("weight"))
     sizes = listed.groupBy("item", "item_id").agg(
-        F.count(F.lit(1)).alias("m"), *[F.sum(c).alias(f"l{j}") for j, c in enumerate(_lanes(F.col("h")))])
+        F.count(F.lit(1)).alias("m"), *[F.sum(c).alias(f"l{j}") for j, c in enumerate(_lanes(F.col("h"), each))])
     prints = sizes.select("item", "item_id", "m",
-                          _fingerprint([F.col(f"l{j}") for j in range(16)], F.col("m")).alias("mark"))
+                          _fingerprint([F.col(f"l{j}") for j in range(count)], F.col("m")).alias("mark"))
     weights = materialise(weights.join(prints, "item"), f"benchmark-shingles-{size}")
     small = weights.count() <= BROADCAST_SHINGLES
     hint = F.broadcast if small else (lambda df: df)
@@ -113,26 +123,30 @@ def _find(docs: DataFrame, items: DataFrame, size: int, threshold: float, radius
                     F.greatest(F.lit(0), F.col("r.lo") - F.col("n") + 1).cast("int"),
                     F.least(F.size("shingles") - 1, F.col("r.hi") + F.col("n") - 1).cast("int"))).alias("pos")) \
         .withColumn("h", F.get("shingles", "pos")).drop("shingles")
-    region = ["doc_id", "key", "item", "run"]
+    # Slice k has the windows that start in [k * step, (k + 1) * step), whole.
+    step = F.greatest(F.lit(STEP), "n")
+    around = around.withColumn("slice", F.explode(F.sequence(
+        F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("n") + 2) / step) - 1).cast("int"), F.floor(F.col("pos") / step).cast("int"))))
+    region = ["doc_id", "key", "item", "run", "slice"]
     flagged = around.distinct().join(hint(weights.select("item", "h", F.lit(1).alias("hit"))), ["item", "h"], "left")
-    own = [c.alias(f"l{j}") for j, c in enumerate(_lanes(F.col("h")))] + [F.coalesce("hit", F.lit(0)).alias("l16")]
+    own = [c.alias(f"l{j}") for j, c in enumerate(_lanes(F.col("h"), each))] + [F.coalesce("hit", F.lit(0)).alias(f"l{count}")]
     running = Window.partitionBy(*region).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     sums = flagged.select(*region, "m", "n", "pos", "h", *own) \
-        .withColumns({f"s{j}": F.sum(f"l{j}").over(running) for j in range(17)})
+        .withColumns({f"s{j}": F.sum(f"l{j}").over(running) for j in range(count + 1)})
     sums = materialise(sums, f"benchmark-sums-{size}")
-    begin = sums.select(*region, "m", "n", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1).alias("pos"),
-                        *[(F.col(f"s{j}") - F.col(f"l{j}")).alias(f"b{j}") for j in range(17)])
-    end = sums.select(*region, F.col("pos").cast("long").alias("pos"), *[f"s{j}" for j in range(17)])
+    begin = sums.where(F.floor(F.col("pos") / step) == F.col("slice")).select(*region, "m", "n", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1).alias("pos"),
+                        *[(F.col(f"s{j}") - F.col(f"l{j}")).alias(f"b{j}") for j in range(count + 1)])
+    end = sums.select(*region, F.col("pos").cast("long").alias("pos"), *[f"s{j}" for j in range(count + 1)])
     same = [begin[c].eqNullSafe(end[c]) for c in [*region, "pos"]]
     keep_all = same[0]
     for c in same[1:]:
         keep_all = keep_all & c
     windows = begin.join(end, keep_all).select(
         *[begin[c] for c in [*region, "m", "n", "start"]],
-        *[(F.col(f"s{j}") - F.col(f"b{j}")).alias(f"l{j}") for j in range(17)]) \
-        .where(F.col("l16") >= _needed(F.col("n"), F.col("m"), threshold))
+        *[(F.col(f"s{j}") - F.col(f"b{j}")).alias(f"l{j}") for j in range(count + 1)]) \
+        .where(F.col(f"l{count}") >= _needed(F.col("n"), F.col("m"), threshold))
     marked = windows.select(*region, "m", "n", "start",
-                            _fingerprint([F.col(f"l{j}") for j in range(16)], F.col("n")).alias("mark"))
+                            _fingerprint([F.col(f"l{j}") for j in range(count)], F.col("n")).alias("mark"))
     # The index: one agreeing block at least within the radius.
     index = prints.select("item", "item_id", F.col("mark").alias("item_mark"), F.inline(_blocks(F.col("mark"), radius)))
     candidates = marked.select("*", F.inline(_blocks(F.col("mark"), radius))) \

@@ -92,6 +92,14 @@ def test_items_are_found_and_nothing_else(spark, docs):
     assert decontamination.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_a_long_text_of_repeated_items(spark):
+    words, other = [f"w{i}" for i in range(25)], [f"x{i}" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join((words + other) * 1700)), (2, " ".join(["x"] * 9 + words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {tuple(r) for r in decontamination.find_items(docs, bench).drop("key").collect()}
+    assert got == {(1, 1, 1.0, 0, 25), (2, 1, 1.0, 9, 25)}
+
+
 def test_token_counts_and_packing(docs):
     import sentencepiece
     from tokenizers import Tokenizer
