@@ -1,4 +1,8 @@
-"""Operator 3: repeated passages by prefix-partitioned suffix trees.
+"""Operator 3: repeated passages by hashes of windows, grouped by minimizer.
+
+This replaces suffix trees partitioned by prefixes: no suffix is compared, and
+"tree", "leaf" and "suffix" below stand for groups, places and starts of equal
+window hashes. Maximal repeats are not emitted.
 
 A window is ``size`` consecutive words of one text; each word of a window that
 also starts earlier in the corpus is removed. Only suffixes that can share
