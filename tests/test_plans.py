@@ -4,6 +4,7 @@ import contextlib
 import io
 
 import __spark_entry__ as E
+from classledger.plans.catalog import QUERIES
 
 from .conftest import SF_ORACLE
 
@@ -54,7 +55,10 @@ def test_scans_read_only_needed_columns(spark):
     assert customer_scans and all("c_name" not in line and "c_acctbal" not in line for line in customer_scans)
 
 
+PYTHON_NODES = ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas", "FlatMapGroupsIn", "PythonDataSource")
+
+
 def test_no_python_in_any_registered_query(spark):
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         p = plan(fn(spark, SF_ORACLE), "simple")
-        assert "PythonUDF" not in p and "ArrowEvalPython" not in p and "BatchEvalPython" not in p, name
+        assert not [n for n in PYTHON_NODES if n in p], name
