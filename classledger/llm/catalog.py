@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..session import ensure_checkpoint_dir
-from . import decontamination, extraction, jaccard, packing, quality, scoring, substrings, token_counts, url_filter, warc
+from . import (decontamination, extraction, jaccard, line_dedup, packing, quality, scoring, substrings, token_counts,
+               url_filter, warc)
 from .tables import read
 
 
@@ -52,7 +55,28 @@ def op10_jaccard(spark, d):
     return jaccard.similar_documents(read(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_extraction, op3_substrings, op4_url_filter, op5_token_counts, op6_quality, op7_scoring, op8_packing, op9_warc, op10_jaccard)}
+def op12_lines(spark, d):
+    kept = line_dedup.dedup_lines(read(spark, d, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_extraction, op3_substrings, op4_url_filter, op5_token_counts, op6_quality, op7_scoring, op8_packing, op9_warc, op10_jaccard, op12_lines)}
+
+#: White space that a line's ends lose, as a DuckDB expression.
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op12_lines": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT r, doc_id, u.i, ls[u.i] AS line, translate(trim(ls[u.i], {_SPACES}), '{_UPPER}', '{_LOWER}') AS k
+  FROM docs, unnest(range(1, len(ls) + 1)) AS u(i)),
+hit AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT l.*, hit.k IS NOT NULL AND l.doc_id <> hit.keeper AS gone FROM lines l LEFT JOIN hit ON l.k = hit.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id""",
+}
