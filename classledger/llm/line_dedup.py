@@ -11,8 +11,8 @@ fewer than ``min_chars`` code points are never dropped. The steps:
    so a line in a third of all rows costs a task a few bytes. Where segments
    meet, a place that two tasks have set, or one task twice, is twice-seen.
 3. ``suspects``: the keys whose places are all twice-seen. Only these shuffle.
-   The filter, one byte for every ``BYTES_PER_BIT * 8`` bytes of text, is
-   broadcast when its checked size allows it, else joined by segment.
+   The filter, ``BITS_PER_KEY`` bits for each key, is broadcast when its checked
+   size allows it, else joined by segment.
 4. ``confirmed``: the suspects that at least ``min_documents`` documents hold,
    counted exactly, with the largest document that holds each.
 5. The drop list of each row meets the row's text again, and the lines go.
@@ -38,7 +38,7 @@ from .words import pieces
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
 SEGMENT = 1 << 16
-BYTES_PER_BIT = 8
+BITS_PER_KEY = 10
 SPACES = b" \t\n\x0b\x0c\r"
 KEYS = "_row long, doc_id long, keys array<struct<a: long, b: long>>"
 _KEY_TYPE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
@@ -149,9 +149,9 @@ def confirmed(found: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
 
 def drop_lists(rows: DataFrame, min_chars: int, min_documents: int) -> DataFrame:
     """(_row, gone): the keys that each row's document loses."""
-    size = rows.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    segments = max(1, -(-size // (BYTES_PER_BIT * SEGMENT)))
     keys = materialise(line_keys(rows, min_chars), "line-keys")
+    count = keys.select(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    segments = max(1, -(-int(count * BITS_PER_KEY) // SEGMENT))
     found = materialise(suspects(keys, segments), "line-suspects")
     keepers = broadcast_if_small(materialise(confirmed(found, min_documents), "line-keepers"))
     lost = found.join(keepers, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -174,11 +174,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
 
     No group is gathered: keys meet as counts (partial aggregation), drop lists
     are as long as one text at most, and a line of a third of all rows is a hot
-    key of joins only, which a broadcast or the adaptive skew split takes.
+    key of joins only, which a checked broadcast or the adaptive skew split takes.
     """
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     rows = rows.withColumn("_row", F.xxhash64("doc_id", "text")).select("_row", "doc_id", "text")
-    gone = broadcast_if_small(materialise(drop_lists(rows, min_chars, min_documents), "line-drops"))
+    # The lists grow with the texts, so they meet them by a merge join at every size.
+    gone = materialise(drop_lists(rows, min_chars, min_documents), "line-drops").hint("merge")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

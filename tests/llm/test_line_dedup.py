@@ -70,9 +70,9 @@ def test_the_filters_size_and_the_join_change_nothing(spark, monkeypatch):
     rows = AWKWARD + [(100 + i, f"{LONG}\n{'own line of document number %d' % i}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     want = brute(rows)
-    monkeypatch.setattr(line_dedup, "BYTES_PER_BIT", 1 << 40)   # one segment
+    monkeypatch.setattr(line_dedup, "BITS_PER_KEY", 0)      # one segment
     assert result(dedup_lines(docs)) == want
-    monkeypatch.setattr(line_dedup, "BYTES_PER_BIT", 1 / 1024)  # many segments
+    monkeypatch.setattr(line_dedup, "BITS_PER_KEY", 1 << 14)  # many segments
     monkeypatch.setattr(line_dedup, "broadcast_if_small", lambda df: df)
     assert result(dedup_lines(docs)) == want
 
