@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import (decontamination, extraction, jaccard, line_dedup, packing, quality, scoring, substrings, token_counts,
-               url_filter, warc)
+from . import (decontamination, extraction, jaccard, line_dedup, packing, periodic_runs, quality, scoring, substrings, token_counts,
+               url_filter, warc, whitening)
 from .tables import read
 
 
@@ -55,13 +55,23 @@ def op10_jaccard(spark, d):
     return jaccard.similar_documents(read(spark, d, "documents", "doc_id", "text"))
 
 
+def op11_whitening(spark, d):
+    return whitening.whiten(read(spark, d, "embeddings", "vec_id", "embedding"))
+
+
 def op12_lines(spark, d):
     kept = line_dedup.dedup_lines(read(spark, d, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_runs(spark, d):
+    texts = periodic_runs.with_planted_periods(read(spark, d, "documents", "doc_id", "text"))
+    return periodic_runs.run_digests(periodic_runs.collapse_runs(texts))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_extraction, op3_substrings, op4_url_filter, op5_token_counts, op6_quality, op7_scoring, op8_packing, op9_warc, op10_jaccard, op12_lines)}
+    op1_decontamination, op2_extraction, op3_substrings, op4_url_filter, op5_token_counts, op6_quality, op7_scoring, op8_packing, op9_warc, op10_jaccard, op11_whitening,
+    op12_lines, op13_runs)}
 
 #: White space that a line's ends lose, as a DuckDB expression.
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
