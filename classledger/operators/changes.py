@@ -16,11 +16,12 @@ def _append_ord(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
     Only the batch's accounts are read from ``existing`` (broadcast semi-join).
     """
-    small = fits_broadcast(batch.select("account", F.lit(0).cast("long"), F.lit(0).cast("long")))
-    accounts = broadcast_when(small, batch.select("account").distinct())
+    # One row for each account of the batch: written once, and its own size is what is checked.
+    first = materialise(batch.groupBy("account").agg(F.min("row_no").alias("_min_row")), "batch-accounts")
+    small = fits_broadcast(first)
+    accounts = broadcast_when(small, first.select("account"))
     top = (existing.join(accounts, "account", "left_semi")
                    .groupBy("account").agg(F.max("ord").alias("_max_ord")))
-    first = batch.groupBy("account").agg(F.min("row_no").alias("_min_row"))
     marks = broadcast_when(small, first.join(top, "account", "left"))
     return (batch.join(marks, "account")
                  .withColumn("ord", (F.coalesce(F.col("_max_ord"), F.lit(0)) + F.lit(1)
@@ -105,6 +106,11 @@ def edit_students(students: DataFrame, edits: DataFrame):
     side = broadcast_if_small(materialise(good.select(
         "account", F.col("original_id").alias("_orig"),
         *[F.col(c).alias(f"_e_{c}") for c in EDIT_FIELDS], F.lit(True).alias("_hit")), "edits"))
+    return replace_students(students, side), rejects
+
+
+def replace_students(students: DataFrame, side: DataFrame) -> DataFrame:
+    """Students whose (account, id) is in ``side`` (account, _orig, _e_<field>, _hit) with its values."""
     j = students.join(side, (students["account"] == side["account"]) &
                       (students["student_id"] == side["_orig"]), "left")
     hit = F.coalesce(side["_hit"], F.lit(False))
@@ -117,4 +123,4 @@ def edit_students(students: DataFrame, edits: DataFrame):
                          .otherwise(students[c]).alias(c))
         else:
             cols.append(students[c])
-    return j.select(*cols), rejects
+    return j.select(*cols)
