@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import contains_whitespace, starts_with_digit
+from ..session import materialise
 from .joins import broadcast_if_small, broadcast_when, fits_broadcast
 from .ranking import positions_within
 
@@ -31,20 +32,21 @@ def screen_accounts(accounts: DataFrame, candidates: DataFrame) -> DataFrame:
              .when(contains_whitespace("account"), F.lit(R_SPACE))
              .when(F.coalesce(F.col("secret_length"), F.lit(0)) < F.lit(S.MIN_SECRET_LENGTH), F.lit(R_SHORT)))
     ruled = candidates.withColumn("_rule", rule)
-    passing = ruled.where(F.col("_rule").isNull())
-    # One row per passing name (a name repeated by a third of the batch is
-    # reduced map-side), and only the existing accounts the batch names; each
-    # side has at most one row per candidate, so one size check bounds all.
-    small = fits_broadcast(candidates.select("account", F.lit(0).cast("long")))
-    first = broadcast_when(small, passing.groupBy("account").agg(F.min("row_no").alias("_first_row")))
-    wanted = broadcast_when(small, candidates.select("account").distinct())
+    # One row per name, with its first rule-passing row (a name repeated by a
+    # third of the batch is reduced map-side), written once: the batch is read
+    # for it and for the verdicts, and the written names are what is checked.
+    names = materialise(ruled.groupBy("account").agg(
+        F.min(F.when(F.col("_rule").isNull(), F.col("row_no"))).alias("_first_row")), "candidate-names")
+    small = fits_broadcast(names)
+    wanted = broadcast_when(small, names.select("account"))
     taken = broadcast_when(small, accounts.join(wanted, "account", "left_semi").select("account")
                                           .distinct().withColumn("_taken", F.lit(True)))
+    known = broadcast_when(small, names.join(taken, "account", "left"))
     verdict = (F.when(F.col("_rule").isNotNull(), F.col("_rule"))
                 .when(F.col("_taken"), F.lit(R_EXISTS))
                 .when(F.col("row_no") == F.col("_first_row"), F.lit(ACCEPTED))
                 .otherwise(F.lit(R_EXISTS)))
-    j = ruled.join(first, "account", "left").join(taken, "account", "left")
+    j = ruled.join(known, "account", "left")
     return j.select("row_no", "account", "secret_length", verdict.alias("verdict"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import final_grade_of, grade_or, js_or, parse_grade, truthy
-from .joins import broadcast_when, fits_broadcast
+from ..session import materialise
+from .joins import broadcast_if_small, broadcast_when, fits_broadcast
+from .ranking import positions_within
 
 
 class MissingColumns(ValueError):
@@ -36,36 +38,55 @@ def sheet_class(sheet: DataFrame):
     return js_or(_cell(sheet, S.H_CLASS[0]), _cell(sheet, S.H_CLASS[1]))
 
 
+def sheet_summary(sheet: DataFrame, sheet_col: str | None = None) -> DataFrame:
+    """One row for each (account, sheet, class cell): its first and last row number, written once.
+
+    All that an import must know of a batch before it can number the rows: the
+    named classes, the accounts, and each sheet's span. A class named by most
+    rows costs one row per task before the shuffle.
+    """
+    by = ["account"] + ([sheet_col] if sheet_col else [])
+    named = sheet.select(*by, "row_no", sheet_class(sheet).alias("class_name"))
+    return materialise(named.groupBy(*by, "class_name").agg(F.min("row_no").alias("first_row"),
+                                                            F.max("row_no").alias("last_row")), "sheet-summary")
+
+
 def missing_classes(classes: DataFrame, sheet: DataFrame, sheet_col: str | None = None,
-                    small: bool | None = None) -> DataFrame:
+                    summary: DataFrame | None = None) -> DataFrame:
     """Distinct classes named in the sheet but unknown to the account, with their first row.
 
     Blank classes are skipped; names are compared exactly (no trim). One row
     per ``(account, class_name)`` (per sheet too, with ``sheet_col``); order
-    them by ``first_row`` for the report.
+    them by ``first_row`` for the report. ``summary`` is the sheet's
+    :func:`sheet_summary`, when the caller has it.
     """
-    by = ["account"] + ([sheet_col] if sheet_col else [])
-    # Reduce the batch to its distinct class names first (partial aggregation:
-    # a class named by most rows costs one row per task), then look them up.
-    named = (sheet.select(*by, "row_no", sheet_class(sheet).alias("class_name"))
-                  .where(truthy("class_name"))
-                  .groupBy(*by, "class_name").agg(F.min("row_no").alias("first_row")))
-    # Only the classes the sheet names are looked up: a broadcast semi-join of
-    # the (small) named pairs cuts the classes table down before the anti-join.
-    if small is None:   # the caller may already know the sheet is small
-        small = fits_broadcast(sheet.select("account", sheet_class(sheet)))
-    pairs = broadcast_when(small, named.select("account", "class_name").distinct())
+    summary = sheet_summary(sheet, sheet_col) if summary is None else summary
+    named = summary.where(truthy("class_name")).drop("last_row")
+    # Only the classes the sheet names are looked up: a semi-join of the named
+    # pairs cuts the classes table down before the anti-join.
+    pairs = broadcast_if_small(named.select("account", "class_name").distinct(), bound_by=named)
     known = classes.select("account", "class_name").join(pairs, ["account", "class_name"], "left_semi")
     return named.join(known, ["account", "class_name"], "left_anti")
 
 
-def missing_class_report(missing: DataFrame, sheet_col: str | None = None) -> DataFrame:
-    """One line per refused account (and sheet): its missing classes joined in first-seen order."""
+#: Names that one task sorts and joins for a report line.
+REPORT_SLICE = 10_000
+
+
+def missing_class_report(missing: DataFrame, sheet_col: str | None = None, slice_rows: int = REPORT_SLICE) -> DataFrame:
+    """One line per refused account (and sheet): its missing classes joined in first-seen order.
+
+    The names are numbered (a hot account in slices over many tasks), then
+    joined in two levels: ``slice_rows`` names to a string, then an account's
+    strings to its line. No task sorts the whole list of one account.
+    """
     by = ["account"] + ([sheet_col] if sheet_col else [])
-    return (missing.groupBy(*by)
-                   .agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-                        F.struct("first_row", "class_name"))), lambda x: x["class_name"]), ", ")
-                        .alias("missing"), F.min("first_row").alias("first_row")))
+    place = positions_within(missing.select(*by, "class_name", "first_row"), by, ["first_row", "class_name"], out="_pos")
+    ordered = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))),
+                                                        lambda x: x[text]), ", ")
+    parts = (place.withColumn("_part", F.floor((F.col("_pos") - 1) / slice_rows))
+                  .groupBy(*by, "_part").agg(ordered("_pos", "class_name").alias("_text"), F.min("first_row").alias("first_row")))
+    return parts.groupBy(*by).agg(ordered("_part", "_text").alias("missing"), F.min("first_row").alias("first_row"))
 
 
 def normalise_roster(sheet: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -116,31 +137,30 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame,
             return students.select(*S.STUDENT_COLUMNS), _no_rejects(sheet, sheet_col)
         raise MissingColumns(missing)
     by = ["account"] + ([sheet_col] if sheet_col else [])
-    # Every small side below (class names, refused and batch accounts,
-    # per-account marks) has at most one row per sheet row: one size check on
-    # the sheet bounds them all.
-    small = fits_broadcast(sheet.select(*by, sheet_class(sheet), F.lit(0).cast("long"),
-                                        F.lit(0).cast("long")))
-    unknown = missing_classes(classes, sheet, sheet_col, small=small)
+    # One reduction of the batch tells which classes it names, which accounts
+    # and sheets are refused, and how far each sheet's rows span; the sheet is
+    # read a second time only for the rows themselves. Every side below has at
+    # most a row for each row of the written summary, whose size is checked.
+    summary = sheet_summary(sheet, sheet_col)
+    small = fits_broadcast(summary)
+    unknown = missing_classes(classes, sheet, sheet_col, summary)
     rejects = missing_class_report(unknown, sheet_col)
     refused = broadcast_when(small, unknown.select(*by).distinct())
-    accepted = sheet.join(refused, by, "left_anti")
-    rows = normalise_roster(accepted.withColumn("_sheet", F.col(sheet_col) if sheet_col else F.lit(0)),
-                            keep=("_sheet",))
-    # Per-account marks, only for the accounts in the batch: a broadcast
-    # semi-join drops other accounts' rows before the aggregation, and the
-    # result has one row per account.
-    batch_accounts = broadcast_when(small, accepted.select("account").distinct())
+    spans = summary.join(refused, by, "left_anti").groupBy(*by).agg(
+        F.max("last_row").alias("_max_row"), (F.max("last_row") - F.min("first_row") + 1).alias("_span"))
+    # Per-account marks, only for the accounts in the batch: a semi-join drops
+    # other accounts' rows before the aggregation.
+    batch_accounts = broadcast_when(small, spans.select("account").distinct())
     floor = broadcast_when(small, students.join(batch_accounts, "account", "left_semi")
                                           .groupBy("account").agg(F.min("ord").alias("_min_ord")))
     # Each accepted sheet takes a block of ords below the blocks of the sheets
     # applied before it; within its block, rows keep sheet order.
-    spans = rows.groupBy("account", "_sheet").agg(F.max("row_no").alias("_max_row"),
-                                                  (F.max("row_no") - F.min("row_no") + 1).alias("_span"))
-    earlier = Window.partitionBy("account").orderBy("_sheet").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (Window.partitionBy("account").orderBy(sheet_col if sheet_col else F.lit(0))
+                     .rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("_before", F.coalesce(F.sum("_span").over(earlier), F.lit(0)))
     marks = broadcast_when(small, spans.join(floor, "account", "left"))
-    ordered = (rows.join(marks, ["account", "_sheet"])
+    rows = normalise_roster(sheet, keep=tuple(by[1:]))
+    ordered = (rows.join(marks, by)
                    .withColumn("ord", (F.coalesce(F.col("_min_ord"), F.lit(1)) - F.lit(1) - F.col("_before")
                                        - (F.col("_max_row") - F.col("row_no"))).cast("long")))
     new = ordered.select(*S.STUDENT_COLUMNS)

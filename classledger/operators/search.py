@@ -29,14 +29,16 @@ def search_students(students: DataFrame, term: str) -> DataFrame:
 def search_classes(classes: DataFrame, students: DataFrame, term: str) -> DataFrame:
     """Classes whose name contains ``term`` or that hold a student matching it.
 
-    An empty term returns every class. Matching students are reduced to their
-    distinct ``(account, class_name)`` before the join, so the join side is at
-    most the number of classes.
+    An empty term returns every class. The test is an EXISTS beside an OR, which
+    Spark plans as an existence join: a class is kept or not, and never repeated
+    by its students. Matching students are reduced to their distinct
+    ``(account, class_name)`` first, so the join side is at most the number of
+    classes.
     """
     if term == "":
         return classes.select("account", "class_name", "ord")
     hits = (students.where(student_match(term) & F.col("class_name").isNotNull())
-                    .groupBy("account", "class_name").agg(F.lit(True).alias("_has_match")))
-    j = classes.join(hits, ["account", "class_name"], "left")
-    keep = contains_ci("class_name", term) | F.coalesce(F.col("_has_match"), F.lit(False))
-    return j.where(keep).select("account", "class_name", "ord")
+                    .select(F.col("account").alias("_account"), F.col("class_name").alias("_class")).distinct())
+    of_class = (F.col("_account") == F.col("c.account").outer()) & (F.col("_class") == F.col("c.class_name").outer())
+    keep = contains_ci("c.class_name", term) | hits.where(of_class).exists()
+    return classes.alias("c").where(keep).select("c.account", "c.class_name", "c.ord")
