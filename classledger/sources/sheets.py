@@ -26,6 +26,39 @@ def number_text(x: Column) -> Column:
              .otherwise(x.cast("string")))
 
 
+def _variant_cell(cell: Column) -> Column:
+    """A JSON cell as text: a number as a sheet shows it, text as it stands, a null as NULL."""
+    kind = F.schema_of_variant(cell)
+    # Exact numbers come without trailing zeros; those with an exponent are doubles.
+    return (F.when(kind == "DOUBLE", number_text(cell.try_cast("double")))
+             .otherwise(cell.try_cast("string")))
+
+
+def _json_cells(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines with every cell as text, numbers told from text by their kind in the file."""
+    headers = spark.read.option("primitivesAsString", True).json(path).columns
+    rows = spark.read.option("singleVariantColumn", "_row").json(path)
+    # As a map, so that a header may hold any character.
+    rows = rows.select(F.col("_row").try_cast("map<string, variant>").alias("_row"))
+    return rows.select(*[_variant_cell(F.col("_row")[h]).alias(h) for h in headers])
+
+
+def write_sheet(sheet: DataFrame, path: str, numbers: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
+    """Write a sheet as JSON lines; cells of the ``numbers`` columns that are plain numbers are written as numbers.
+
+    A number has no text of its own: ``007`` comes back as ``7`` from such a
+    column, while the other columns come back as they are. NULL cells are left out.
+    """
+    plain = r"^-?[0-9]+(\.[0-9]+)?$"
+    cells = []
+    for f in sheet.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.name in numbers:
+            c = F.when(c.cast("string").rlike(plain), c.cast("string").try_cast("double").cast("variant")).otherwise(c.cast("string").cast("variant"))
+        cells.append(c.alias(f.name))
+    sheet.select(F.to_json(F.struct(*cells))).write.mode(mode).text(path)
+
+
 def read_sheet(spark: SparkSession, path: str, fmt: str = "csv", account: str | None = None,
                sheet_col: str | None = None, multi_line: bool = True) -> DataFrame:
     """Read a sheet batch (CSV with a header line, JSON lines or Parquet) as text columns.
@@ -35,7 +68,8 @@ def read_sheet(spark: SparkSession, path: str, fmt: str = "csv", account: str |
     reading order (rising within a file, not without gaps). A CSV file is then
     read by one task, as quoted line breaks (``multi_line``) need anyway;
     ``multi_line=False`` splits large files, and like JSON lines it needs a
-    ``row_no`` column. ``sheet_col`` names a column for the file's path, which
+    ``row_no`` column. A number in a JSON cell reads as a spreadsheet shows it
+    (``20210001.0`` as ``20210001``), a text cell as it stands. ``sheet_col`` names a column for the file's path, which
     tells several sheets apart. ``account`` fills the tenant column when the
     batch does not carry one. A malformed CSV row fails the batch.
     """
@@ -44,7 +78,7 @@ def read_sheet(spark: SparkSession, path: str, fmt: str = "csv", account: str |
         df = (spark.read.option("header", True).option("inferSchema", False)
                    .option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
     elif fmt == "json":
-        df = spark.read.option("primitivesAsString", True).json(path)
+        df = _json_cells(spark, path)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:

@@ -29,13 +29,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
-from ..operators.grades import grade_import_report, merge_grades
+from ..operators.grades import SHEETS, grade_import_report, merge_grades, observe_updates
 from ..operators.ingest import MissingColumns, import_roster, missing_columns
+from ..operators.joins import broadcast_if_small
+from ..session import materialise
 from ..sources.snapshots import Tables, load, save
 
 # One row for each snapshot: its number under the root, and which stream's epoch made it.
 LOG_SCHEMA = T.StructType([T.StructField("snapshot", T.LongType()), T.StructField("stream", T.StringType()),
-                           T.StructField("epoch", T.LongType()), T.StructField("path", T.StringType())])
+                           T.StructField("epoch", T.LongType()), T.StructField("path", T.StringType()),
+                           T.StructField("updated", T.LongType())])  # students that a grade epoch updated
 _roots: dict[str, threading.Lock] = {}
 SHEET = "_sheet"   # sheet order inside a micro-batch: (file modification time, file path)
 
@@ -62,6 +65,23 @@ def _logged(log: DataFrame | None, stream: str, epoch: int) -> bool:
     return log is not None and not log.where((F.col("stream") == stream) & (F.col("epoch") == epoch)).isEmpty()
 
 
+def _grade_report(spark: SparkSession, tables: Tables, batch: DataFrame, path: str) -> DataFrame:
+    """Outcome per account and file, counted from the snapshot just written.
+
+    Admin accounts are not in it (their changes last for the session only); the
+    few that the batch names are merged again on their own.
+    """
+    columns = ["account", "matched", SHEETS]
+    merged = spark.read.parquet(f"{path}/students").select(*columns)
+    admins = tables.accounts.where("is_admin").join(batch.select("account").distinct(), "account", "left_semi")
+    admins = broadcast_if_small(materialise(admins.select("account"), "batch-admins"))
+    if not admins.isEmpty():
+        own = lambda df: df.join(admins, "account", "left_semi")
+        merged = merged.unionByName(merge_grades(own(tables.students), own(batch), tables.classes, sheet_col=SHEET).select(*columns))
+    report = grade_import_report(tables.students, tables.classes, batch, merged, sheet_col=SHEET)
+    return report.select("account", F.col(f"{SHEET}.file_path").alias("file"), "status", "updated")
+
+
 def _apply(kind: str, root: str, initial: Tables | None, stream: str):
     def apply(batch: DataFrame, epoch: int) -> None:
         with _roots.setdefault(root, threading.Lock()):  # streams that share a root take turns
@@ -77,24 +97,28 @@ def _apply(kind: str, root: str, initial: Tables | None, stream: str):
         if tables is None:
             raise ValueError("no snapshot yet: pass initial tables")
         if kind == "grades":
-            # The batch is read again for each use below (snapshot, report).
             merged = merge_grades(tables.students, batch, tables.classes, sheet_col=SHEET)
-            report = grade_import_report(tables.students, tables.classes, batch, sheet_col=SHEET)
-            report = report.select("account", F.col(f"{SHEET}.file_path").alias("file"), "status", "updated")
-            new = Tables(tables.accounts, tables.classes, merged.drop("matched"))
+            merged, seen = observe_updates(merged, f"grade_merge_{epoch}")
+            new = Tables(tables.accounts, tables.classes, merged)
         else:
-            students, rejects = import_roster(tables.students, tables.classes, batch, sheet_col=SHEET)
-            report = rejects.select("account", F.col(f"{SHEET}.file_path").alias("file"),
-                                    F.lit("refused").alias("status"), "missing")
+            students, report = import_roster(tables.students, tables.classes, batch, sheet_col=SHEET)
+            seen = None
+            report = report.select("account", F.col(f"{SHEET}.file_path").alias("file"),
+                                   F.lit("refused").alias("status"), "missing")
             new = Tables(tables.accounts, tables.classes, students)
         number = prev[0] + 1 if prev else 0
         path = f"{root}/v{number:012d}"
         # The folder is only read once the epoch is logged, so a replay after
         # a failure mid-write may overwrite what it left behind.
         save(new, path, previous=tables, mode="overwrite")
+        if seen is not None:
+            # The students were merged once, for the snapshot; it also holds which
+            # sheets named each student, so the report is counted from two of its columns.
+            report = _grade_report(spark, tables, batch, path)
         # One folder per epoch, overwritten on replay: reports are never doubled.
         report.write.mode("overwrite").parquet(f"{root}/_reports/{kind}/epoch={number}")
-        spark.createDataFrame([(number, stream, epoch, path)], LOG_SCHEMA).write.mode("append").parquet(f"{root}/_log")
+        updated = seen.get["updated"] if seen is not None else None
+        spark.createDataFrame([(number, stream, epoch, path, updated)], LOG_SCHEMA).write.mode("append").parquet(f"{root}/_log")
     return apply
 
 
