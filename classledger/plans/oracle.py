@@ -77,6 +77,10 @@ def roster_key(name: str) -> str:
 
 STUDENT_COLS = "account, student_id, full_name, birth_date, gender, class_name, midterm, exam, final_grade, ord"
 
+def sheet_account(k: str) -> str:
+    return f"CASE WHEN {k} % 97 = 0 THEN 'GUEST' WHEN {k} % 89 = 0 THEN 'DESK' ELSE c.account END"
+
+
 BASE = f"""
 acct_region AS (
   SELECT r_regionkey, r_name, CASE WHEN r_regionkey = 0 THEN 'admin' ELSE r_name END AS account,
@@ -86,7 +90,8 @@ nations AS (
   FROM nation n JOIN acct_region a ON n.n_regionkey = a.r_regionkey),
 accounts_v AS (SELECT account, is_admin, CAST(r_regionkey AS BIGINT) AS ord FROM acct_region),
 classes_v AS (SELECT account, n_name AS class_name, CAST(n_nationkey AS BIGINT) AS ord FROM nations
-  UNION ALL SELECT account, 'CLASS_EMPTY', CAST(r_regionkey + 1000 AS BIGINT) FROM acct_region),
+  UNION ALL SELECT account, 'CLASS_EMPTY', CAST(r_regionkey + 1000 AS BIGINT) FROM acct_region
+  UNION ALL SELECT 'DESK', 'CLASS_DESK', CAST(2000 AS BIGINT) FROM acct_region WHERE r_regionkey = 0),
 cust AS (
   SELECT c.*, n.n_name, n.n_nationkey, n.account FROM customer c JOIN nations n ON c.c_nationkey = n.n_nationkey),
 students_raw AS (
@@ -106,9 +111,9 @@ rosters AS (
          p.p_brand AS class_name, CAST(p.p_partkey AS BIGINT) AS ord
   FROM part p JOIN acct_region a ON a.r_regionkey = p.p_partkey % 5)"""
 
-GRADE_SHEET = """
+GRADE_SHEET = f"""
 gs_base AS (
-  SELECT o.o_orderkey AS k, o.o_custkey, o.o_totalprice, c.account, o.o_orderstatus AS status,
+  SELECT o.o_orderkey AS k, o.o_custkey, o.o_totalprice, {sheet_account('o.o_orderkey')} AS account, o.o_orderstatus AS status,
          CASE WHEN o.o_orderstatus = 'P' THEN 'NATION_X' ELSE c.n_name END AS cls
   FROM orders o JOIN cust c ON o.o_custkey = c.c_custkey),
 grade_sheet AS (
@@ -417,14 +422,22 @@ akeys AS (SELECT account FROM acct_region WHERE r_name LIKE 'A%' AND account <>
     out["delete_accounts_students"] = with_(BASE, akeys) + \
         f"SELECT {STUDENT_COLS} FROM students_v WHERE account NOT IN (SELECT account FROM akeys)"
 
-    edit_cols = []
-    for c in ("student_id", "full_name", "birth_date", "gender", "class_name", "midterm", "exam"):
-        edit_cols.append(f"CASE WHEN g.account IS NOT NULL THEN g.{c} ELSE s.{c} END AS {c}")
-    out["edit_students"] = with_(BASE, """
+    out["delete_accounts_classes"] = with_(BASE, SUPP, ADDED_CLASSES, akeys) + \
+        "SELECT * FROM classes_grown WHERE account NOT IN (SELECT account FROM akeys)"
+
+    def replaced(side: str) -> str:
+        cols = ", ".join(f"CASE WHEN g.account IS NOT NULL THEN g.{c} ELSE s.{c} END AS {c}" for c in (
+            "student_id", "full_name", "birth_date", "gender", "class_name", "midterm", "exam"))
+        return f"""
+SELECT s.account, {cols},
+  CASE WHEN g.account IS NOT NULL THEN {final_of('g.midterm', 'g.exam')} ELSE s.final_grade END AS final_grade,
+  s.ord
+FROM students_v s LEFT JOIN {side} g ON s.account = g.account AND s.student_id = g.original_id"""
+
+    def edits(new_id: str) -> str:
+        return f"""
 ed AS (
-  SELECT account, CAST(c_custkey AS VARCHAR) AS original_id,
-    CASE WHEN c_custkey % 5 = 0 THEN 'E' || CAST(c_custkey AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) END
-      AS student_id,
+  SELECT account, CAST(c_custkey AS VARCHAR) AS original_id, {new_id} AS student_id,
     upper(c_name) AS full_name, '1999-09-09' AS birth_date, 'Nữ' AS gender, n_name AS class_name,
     c_acctbal / 500.0 AS midterm, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 9.5 END AS exam
   FROM cust),
@@ -436,15 +449,43 @@ onto AS (
 bad AS (SELECT account, original_id FROM dup UNION SELECT account, original_id FROM onto
         UNION SELECT account, student_id FROM onto),
 good AS (SELECT * FROM ed e WHERE NOT EXISTS (
-  SELECT 1 FROM bad b WHERE b.account = e.account AND b.original_id = e.original_id))""") + f"""
-SELECT s.account, {', '.join(edit_cols)},
-  CASE WHEN g.account IS NOT NULL THEN {final_of('g.midterm', 'g.exam')} ELSE s.final_grade END AS final_grade,
-  s.ord
-FROM students_v s LEFT JOIN good g ON s.account = g.account AND s.student_id = g.original_id"""
+  SELECT 1 FROM bad b WHERE b.account = e.account AND b.original_id = e.original_id))"""
+
+    key = "CAST(c_custkey AS VARCHAR)"
+    renamed = f"CASE WHEN c_custkey % 5 = 0 THEN 'E' || {key} ELSE {key} END"
+    out["edit_students"] = with_(BASE, edits(renamed)) + replaced("good")
+    out["edit_students_rejects"] = with_(
+        BASE, edits(f"CASE WHEN c_custkey % 11 = 0 THEN CAST(c_custkey + 5 AS VARCHAR) ELSE {renamed} END")) + """
+SELECT account, original_id, student_id, 'conflicting_edit' AS reason FROM ed e WHERE EXISTS (
+  SELECT 1 FROM bad b WHERE b.account = e.account AND b.original_id = e.original_id)"""
+
+    # An edit's next edit is the first later one of the id it gives; the chain is followed one edit at a time.
+    out["edit_students_in_order"] = with_(BASE, """
+oe AS (
+  SELECT CAST(o.o_orderkey AS BIGINT) AS row_no, c.account,
+    CASE WHEN o.o_orderkey % 5 = 0 THEN 'E' || CAST(o.o_custkey AS VARCHAR) ELSE CAST(o.o_custkey AS VARCHAR) END AS original_id,
+    CASE WHEN o.o_orderkey % 4 = 0 THEN 'E' || CAST(o.o_custkey AS VARCHAR)
+         WHEN o.o_orderkey % 4 = 1 THEN CAST(o.o_custkey + 25 AS VARCHAR)
+         ELSE CAST(o.o_custkey AS VARCHAR) END AS student_id,
+    'Edit ' || CAST(o.o_orderkey AS VARCHAR) AS full_name, '1999-09-09' AS birth_date, 'Nam' AS gender,
+    c.n_name AS class_name, o.o_totalprice / 60000.0 AS midterm,
+    CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE CAST(o.o_orderkey % 10 AS DOUBLE) END AS exam
+  FROM orders o JOIN cust c ON o.o_custkey = c.c_custkey),
+nxt AS (
+  SELECT e.account, e.row_no, min(o.row_no) AS next_row FROM oe e JOIN oe o
+    ON e.account = o.account AND e.student_id = o.original_id AND e.row_no < o.row_no GROUP BY 1, 2),
+chain AS (
+  SELECT account, original_id, min(row_no) AS row_no FROM oe GROUP BY 1, 2
+  UNION ALL
+  SELECT c.account, c.original_id, n.next_row FROM chain c JOIN nxt n ON c.account = n.account AND c.row_no = n.row_no),
+last AS (SELECT account, original_id, max(row_no) AS row_no FROM chain GROUP BY 1, 2),
+fin AS (
+  SELECT l.account, l.original_id, e.student_id, e.full_name, e.birth_date, e.gender, e.class_name, e.midterm, e.exam
+  FROM last l JOIN oe e ON l.account = e.account AND l.row_no = e.row_no)""").replace("WITH", "WITH RECURSIVE", 1) + replaced("fin")
 
     entries = with_(BASE, f"""
 ent AS (
-  SELECT CAST(o.o_orderkey AS BIGINT) AS row_no, c.account,
+  SELECT CAST(o.o_orderkey AS BIGINT) AS row_no, {sheet_account('o.o_orderkey')} AS account,
     CASE WHEN o.o_orderstatus = 'P' THEN 'CLASS_EMPTY' ELSE c.n_name END AS class_name,
     CASE WHEN o.o_orderkey % 10 = 0 THEN '' ELSE CAST(o.o_custkey AS VARCHAR) END AS student_id,
     o.o_totalprice / 60000.0 AS midterm, CAST(o.o_orderkey % 10 AS DOUBLE) AS exam
@@ -502,6 +543,45 @@ SELECT CAST(row_number() OVER (ORDER BY r.ord) AS BIGINT) AS no, r.account,
   CASE WHEN r.is_admin THEN 'Quản trị viên' ELSE 'Giảng viên' END AS role,
   CAST(coalesce(n.n, 0) AS BIGINT) AS n_classes
 FROM reg r LEFT JOIN ncls n ON r.account = n.account"""
+    out["grade_merge_bucketed"] = out["grade_merge"]
+    out["set_grades_bucketed"] = out["set_grades"]
+    out["sheet_read_back"] = with_(BASE, GRADE_SHEET) + """
+SELECT row_no, account, "MSSV" AS id, "Lớp Học Phần" AS class_name, "Điểm quá trình" AS midterm, "Điểm kết thúc" AS exam
+FROM grade_sheet"""
+    out["snapshot_students"] = with_(BASE) + f"SELECT {STUDENT_COLS} FROM students_v WHERE account <> 'admin'"
+    out["snapshot_update"] = merged_sql() + f"""
+SELECT {STUDENT_COLS} FROM students_v WHERE account NOT IN ('admin', 'AMERICA', 'ASIA')
+UNION ALL SELECT {STUDENT_COLS} FROM merged WHERE account = 'ASIA'"""
+    out["seed_listing"] = with_(BASE, SCREENED.replace("SELECT DISTINCT account FROM accounts_v", "SELECT 'admin' AS account"), """
+reg AS (
+  SELECT 'admin' AS account, true AS is_admin, CAST(0 AS BIGINT) AS ord
+  UNION ALL
+  SELECT account, false, CAST(1 + row_no - (SELECT min(row_no) FROM screened WHERE verdict = 'accepted') AS BIGINT)
+  FROM screened WHERE verdict = 'accepted')""") + """
+SELECT CAST(row_number() OVER (ORDER BY ord) AS BIGINT) AS no, account,
+  CASE WHEN is_admin THEN 'Quản trị viên' ELSE 'Giảng viên' END AS role, CAST(0 AS BIGINT) AS n_classes FROM reg"""
+    placed = "CAST(row_number() OVER (PARTITION BY account ORDER BY ord) - 1 AS BIGINT) AS ord"
+    out["nested_students"] = with_(BASE) + f"SELECT {STUDENT_COLS.replace('ord', placed)} FROM students_v"
+    listed = "FROM classes_grown WHERE account IN (SELECT account FROM accounts_v)"
+    out["nested_classes"] = with_(BASE, SUPP, ADDED_CLASSES) + f"SELECT account, class_name, {placed} {listed}"
+    out["nested_class_sizes"] = with_(BASE, SUPP, ADDED_CLASSES) + \
+        f"SELECT account, CAST(count(*) AS BIGINT) AS n_classes {listed} GROUP BY account"
+
+    t = js_trim("birth_date")
+    iso = f"TRY_CAST(NULLIF(regexp_extract({t}, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})(?:[T ].*)?$', 1), '') AS DATE)"
+    dmy = f"CAST(TRY_STRPTIME(NULLIF(regexp_extract({t}, '^([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}})$', 1), ''), '%d/%m/%Y') AS DATE)"
+    num = f"TRY_CAST(NULLIF(regexp_extract({t}, '^([0-9]{{1,7}})(?:[.][0-9]*)?$', 1), '') AS INTEGER)"
+    out["birth_days"] = with_(BASE, f"""
+texts AS (
+  SELECT account, student_id, ord AS k, DATE '1899-12-30' + CAST(ord % 40000 AS INTEGER) AS d FROM students_v),
+spelt AS (
+  SELECT account, student_id, CASE k % 8 WHEN 0 THEN CAST(d AS VARCHAR) WHEN 1 THEN strftime(d, '%-d/%-m/%Y')
+    WHEN 2 THEN CAST(k % 40000 AS VARCHAR) WHEN 3 THEN CAST(k % 40000 AS VARCHAR) || '.5 '
+    WHEN 4 THEN CAST(d AS VARCHAR) || 'T10:00:00' WHEN 5 THEN '30/2/2004' WHEN 6 THEN '' END AS birth_date FROM texts),
+nums AS (SELECT *, {num} AS n FROM spelt)""") + f"""
+SELECT account, student_id, birth_date, coalesce({iso}, {dmy},
+  CASE WHEN n BETWEEN 1 AND 59 THEN DATE '1899-12-30' + (n + 1) WHEN n BETWEEN 61 AND 2958465 THEN DATE '1899-12-30' + n END)
+  AS birth_day FROM nums"""
     return out
 
 
