@@ -77,7 +77,19 @@ QUERIES = {f.__name__: f for f in (
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bare base32 of a SHA-1 in hex: each five hex digits are four characters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, {5 * (k // 4) + 1}, 5))::INTEGER >> {15 - 5 * (k % 4)}) & 31) + 1, 1)"
+    for k in range(32))
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS s,
+        min(page_id) OVER (PARTITION BY h) AS first_page FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_page THEN first_page END AS refers_to FROM d""",
     "op12_lines": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (
