@@ -7,10 +7,16 @@ and kept; new ones are merged together as ragged numpy arrays: one flat array
 of symbols, one of sequence starts. Every round finds the lowest-rank pair of
 each sequence and merges it in all sequences at once; sequences without a pair
 leave. A symbol outside the vocabulary counts as many tokens as it has bytes.
+
+A round looks at the whole of a sequence, so a pre-token of more than ``LONG``
+characters (text without spaces) is cut first where two neighbouring characters
+stand together in no piece, which no merge can cross, and what is still longer
+takes its merges from a heap by (rank, place), the same order, in n log n steps.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -24,6 +30,7 @@ from .words import pieces
 SPACE = "▁"
 LIMIT = 4096
 CACHED = 500_000
+LONG = 256
 NO_RANK = np.iinfo(np.int64).max
 _PRE_TOKEN = re.compile(rb" *[^ \n]+| +")
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -56,6 +63,10 @@ class PieceMerges:
                     ranks.append(order[score])
                     made.append(symbol[p])
         by = np.argsort(np.asarray(keys, np.int64))
+        self.table = dict(zip(keys, zip(ranks, made)))
+        # Neighbouring characters of pieces; two that are in none of them never come into one token.
+        beside = {symbol[a] * self.width + symbol[b] for p in names for a, b in zip(p, p[1:])}
+        self.beside = np.append(np.asarray(sorted(beside), np.int64), NO_RANK)
         self.keys = np.append(np.asarray(keys, np.int64)[by], NO_RANK)
         self.ranks = np.append(np.asarray(ranks, np.int64)[by], NO_RANK)
         self.made = np.append(np.asarray(made, np.int64)[by], 0)
@@ -73,7 +84,63 @@ class PieceMerges:
                 self.char[ord(s)] = k
 
     def count(self, tokens: list[str]) -> np.ndarray:
-        """Surviving symbols of each pre-token."""
+        """Tokens of each pre-token, of any length."""
+        total = np.zeros(len(tokens), np.int64)
+        parts, owner = [], []
+        for at, token in enumerate(tokens):
+            if len(token) <= LONG:
+                parts.append(token)
+                owner.append(at)
+                continue
+            symbols = self.char[np.frombuffer(token.encode("utf-32-le"), np.uint32)]
+            pair = symbols[:-1] * self.width + symbols[1:]
+            cuts = np.flatnonzero(self.beside[np.searchsorted(self.beside, pair)] != pair) + 1
+            for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(token)).tolist()):
+                if b - a <= LONG:
+                    parts.append(token[a:b])
+                    owner.append(at)
+                else:
+                    total[at] += self._count_long(token[a:b], symbols[a:b].tolist())
+        np.add.at(total, np.asarray(owner, np.int64), self._count_together(parts))
+        return total
+
+    def _count_long(self, token: str, symbols: list[int]) -> int:
+        """Tokens of one sequence: the lowest rank, then the leftmost place, is merged first."""
+        n, width, table = len(symbols), self.width, self.table
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for i in range(n - 1):
+            found = table.get(symbols[i] * width + symbols[i + 1])
+            if found:
+                heap.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right, merged = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != left or j >= n or symbols[j] != right:
+                continue  # one of the two was merged away meanwhile
+            symbols[i], symbols[j] = merged, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                found = table.get(merged * width + symbols[k])
+                if found:
+                    heapq.heappush(heap, (found[0], i, merged, symbols[k], found[1]))
+            h = before[i]
+            if h >= 0:
+                found = table.get(symbols[h] * width + merged)
+                if found:
+                    heapq.heappush(heap, (found[0], h, symbols[h], merged, found[1]))
+        # What is left outside the vocabulary is single characters, of as many tokens as bytes.
+        count, at = 0, 0
+        while at < n:
+            end = after[at]
+            count += 1 if self.in_vocabulary[symbols[at]] else len(token[at:end].encode())
+            at = end
+        return count
+
+    def _count_together(self, tokens: list[str]) -> np.ndarray:
+        """Surviving symbols of each short pre-token, all merged round by round."""
         if not tokens:
             return np.zeros(0, np.int64)
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
