@@ -203,7 +203,7 @@ def test_pages(spark, tmp_path):
     warc.write_archive(pages, f"{tmp_path}/a")
     back = {r.page_id: r for r in warc.read_archive(spark, f"{tmp_path}/a").collect()}
     assert (back[1].record_type, back[3].record_type, back[3].refers_to, back[2].payload_bytes) == ("response", "revisit", 1, 0)
-    assert {r.page_id: bytes(r.payload).decode() for r in warc.original_records(spark, f"{tmp_path}/a").collect()}[3] == html
+    assert {r.page_id: bytes(r.record) for r in warc.original_records(spark, f"{tmp_path}/a").collect()}[1].endswith(html.encode() + b"\r\n\r\n")
 
 
 def test_a_page_id_of_many_rows_is_learnt_from_once(spark, monkeypatch):
@@ -241,3 +241,45 @@ def test_empty_tables(spark):
     for df in (substrings.remove_repeats(none), jaccard.similar_documents(none), token_counts.token_counts(none),
                packing.pack_documents(none), scoring.score_documents(none), decontamination.find_items(none, items)):
         assert df.count() == 0
+
+
+PROSE = "A paragraph of some length, with commas, and a full stop at its end. Then another sentence follows it."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<article><section id="social-history"><p>{PROSE}</p></section></article>', PROSE),
+    (f'<article><h2 id="search-methods">Methods</h2><p>{PROSE}</p></article>', "Methods\n" + PROSE),
+    (f'<article><p>One.</p><p class="promo-code-history">{PROSE}</p></article>', "One.\n" + PROSE),
+    (f"<article><p class=it's>{PROSE}</p><p>it's</p></article>", PROSE + "\nit's"),
+    (f'<article><p>{PROSE}</p><div class="reader-comments"><p>{PROSE} No.</p></div><div class="share-buttons">Share</div></article>', PROSE),
+    (f'<body><div class="cookie-notice">We use cookies.</div><main><p>{PROSE}</p></main><div id="related-posts"><p>{PROSE} x</p></div>', PROSE),
+    (f'<article><p title="a > b">{PROSE}</p><p data-x=\'">\'>Two.</p></article>', PROSE + "\nTwo."),
+    (f'<article><p title="never closed>{PROSE}</p><p>Two.</p></article>', PROSE + "\nTwo."),
+])
+def test_names_and_broken_attributes(page, want):
+    assert extraction.main_text(page, extraction.PRIOR) == want
+
+
+def test_the_cut_outweighs_a_blocks_own_cost():
+    """A short paragraph between long ones, in containers that say nothing: alone it would go."""
+    page = f"<div><p>{PROSE}</p><p>So it is</p><p>{PROSE} Again.</p></div>"
+    blocks = extraction.blocks_of(page)
+    own = extraction.signals(extraction.figures(blocks), extraction.PRIOR)
+    assert own[0] > 0 and own[2] > 0
+    short = extraction.blocks_of(f"<div><div>{PROSE}</div><div>x y</div><div>{PROSE} Again.</div></div>")
+    own = extraction.signals(extraction.figures(short), extraction.PRIOR)
+    assert own[0] > 0 > own[1] and own[2] > 0 and all(b.hint == 0 for b in short)
+    costs = [(max(s, 0.0), max(-s, 0.0)) for s in own.tolist()]
+    assert extraction.cut(costs, []) == [True, False, True]
+    assert extraction.cut(costs, extraction.ties(short)) == [True, True, True]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a x=\"", "<!", "</script ", "<svg ", "<svg>", "<b hidden>", "<a x='>", "<p class=\"'>", "<!-- ", "<div", "&", "<table><tr><td>"])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    page = unit * (200_000 // len(unit)) + ">"
+    started = time.process_time()
+    extraction.main_text(page[:-1], extraction.PRIOR)
+    extraction.main_text(page, extraction.PRIOR)
+    assert time.process_time() - started < 6
