@@ -147,45 +147,6 @@ def test_fill_is_the_best_subset():
     assert packing.fill([9, 6], [1, 1], 8) == (6, [(1, 1)])
 
 
-def test_base_scores(docs):
-    rows = scoring.score_documents(docs).collect()
-    assert len(rows) == len(TEXTS) + 1 and all(r.score < 0 for r in rows)
-    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(WORD.findall(t or "")) + 1 for i, t in enumerate(TEXTS)}
-
-
-def test_every_id_is_scored_with_nine_ids_before_it():
-    rng = np.random.default_rng(1)
-    alphabet = scoring.Alphabet(np.append(np.arange(200, 0, -1), 5).astype(float))
-    weights = scoring.first_weights(alphabet.bias)
-    flat = rng.integers(0, 60, 150)
-    first = np.asarray([0, len(flat)])
-    plain = scoring.log_probabilities(weights, alphabet, flat, first)
-    for p in range(9, len(flat)):
-        other = flat.copy()
-        other[p - 9] = (flat[p - 9] + 1) % 60
-        assert scoring.log_probabilities(weights, alphabet, other, first)[p] != plain[p], p
-
-
-def test_attention_model_learns_from_every_training_row(spark, monkeypatch):
-    """Few documents, whatever their ids: each learnt row counts, and moves the weights."""
-    rows = [(i, f"{BASE} w{i}") for i in range(40)]
-    kept = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    assert 0 < len(kept) < len(rows)
-    encode, counts = piece_ids("piece_bpe_32k.model"), 0
-    for _, _, data, offsets in pieces(pa.array(kept)):
-        counts = counts + np.bincount(encode(split_words(data, offsets, lower=True), lower=True)[0], minlength=encode.end + 1)
-    trained, train = [], scoring.train
-    monkeypatch.setattr(scoring, "train", lambda *a: trained.append(train(*a)) or trained[-1])
-    scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"))
-    alone = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1)
-    scoring.score_documents(spark.createDataFrame(rows[alone:alone + 1], "doc_id long, text string"))
-    (weights, alphabet), (one, few) = trained
-    want = scoring.Alphabet(counts)
-    assert np.array_equal(alphabet.out, want.out) and np.array_equal(alphabet.tail, want.tail)
-    for w, bias in ((weights, want.bias), (one, few.bias)):
-        assert np.abs(w["embed"] - scoring.first_weights(bias)["embed"]).max() > 1e-3
-
-
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.judge(docs, none).collect()}
