@@ -313,6 +313,9 @@ def one_of_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
     best = rows.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("best")) \
         .select(F.col("best.doc_id").alias("_id"), F.col("best.text_key").alias("_key"))
     without_words = F.coalesce(F.btrim("text", F.lit(SEPARATORS_TEXT)) == "", F.lit(True))
-    keyed = docs.where(~without_words).withColumn("_text_key", F.xxhash64("text"))
-    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_text_key"] == best["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").unionByName(docs.where(without_words))
+    mark = "_text_key"
+    while mark in docs.columns:
+        mark += "_"
+    keyed = docs.where(~without_words).withColumn(mark, F.xxhash64("text"))
+    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed[mark] == best["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).drop(mark).unionByName(docs.where(without_words))
