@@ -54,7 +54,7 @@ def _student_keys(students: DataFrame) -> DataFrame:
 
 
 def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | None = None,
-                 sheet_col: str | None = None) -> DataFrame:
+                 sheet_col: str | None = None, keep_sheets: bool = False) -> DataFrame:
     """Merge a grade sheet into the students table; adds ``matched``.
 
     Each student takes the *first* sheet row (by ``row_no``) of its account
@@ -67,7 +67,8 @@ def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | Non
     column's order exactly as one import after another: matching does not
     depend on the order, and each value rule overwrites only when its cell is
     there, so the latest sheet with a present midterm (or a truthy exam cell)
-    wins. ``matched_sheets`` then lists the sheets that name the student.
+    wins. With ``keep_sheets`` too, ``matched_sheets`` lists the sheets that
+    name the student.
 
     Accounts with no class (when ``classes`` is given) take no sheet rows: the
     import is refused there. An account with no student has nothing to match.
@@ -76,7 +77,7 @@ def merge_grades(students: DataFrame, sheet: DataFrame, classes: DataFrame | Non
     # once, and its lineage ends there); when provably small, the students
     # table is streamed past a broadcast of them and never shuffled.
     first = broadcast_if_small(materialise(merge_cells(sheet, classes, sheet_col), "sheet-first"))
-    return _merged(_student_keys(students), first, students.columns, SHEETS if sheet_col else None)
+    return _merged(_student_keys(students), first, students.columns, SHEETS if sheet_col and keep_sheets else None)
 
 
 #: Column of a merge of several sheets: the sheets that hold the student's key.
@@ -123,11 +124,10 @@ def merge_grades_by_bucket(students: BucketedStudents, sheet: DataFrame, path: s
 
     cells = merge_cells(sheet, classes, sheet_col)
     first = write_buckets(cells, path, students.buckets, SORT_KEY)
-    sheets, columns = SHEETS if sheet_col else None, list(S.STUDENT_COLUMNS)
+    columns = list(S.STUDENT_COLUMNS)
     # Rows of hot ids meet the same files read without their buckets, which a skewed join may split.
     plain = sheet.sparkSession.read.parquet(path)
-    return _merged(students.bucketed, first.hint("merge"), columns, sheets).unionByName(
-        _merged(students.hot, plain, columns, sheets))
+    return _merged(students.bucketed, first.hint("merge"), columns).unionByName(_merged(students.hot, plain, columns))
 
 
 def observe_updates(merged: DataFrame, name: str = "grade_merge"):
@@ -240,13 +240,13 @@ def grade_import_report(students: DataFrame, classes: DataFrame, sheet: DataFram
     ``refused`` when the account has no class or no student (nothing is
     read); ``no_match`` when no student matched (state unchanged, a warning);
     else ``updated`` with the number of students changed. Pass the result of
-    :func:`merge_grades` as ``merged`` to count from it instead of merging
-    again; with ``sheet_col`` each sheet of the batch gets its own line.
+    :func:`merge_grades` as ``merged`` (with ``keep_sheets`` for several sheets)
+    to count from it instead of merging again; with ``sheet_col`` each sheet of the batch gets its own line.
     """
     by = ["account"] + ([sheet_col] if sheet_col else [])
     allowed = grade_import_allowed(classes, students).withColumn("_ok", F.lit(True))
-    if merged is None:
-        merged = merge_grades(students, sheet, classes, sheet_col)
+    if merged is None or sheet_col and SHEETS not in merged.columns:
+        merged = merge_grades(students, sheet, classes, sheet_col, keep_sheets=True)
     counts = merge_counts_by_sheet(merged, sheet_col) if sheet_col else merge_counts(merged)
     named = sheet.select(*by).distinct()
     j = named.join(allowed, "account", "left").join(counts, by, "left")

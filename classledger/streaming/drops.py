@@ -77,7 +77,7 @@ def _grade_report(spark: SparkSession, tables: Tables, batch: DataFrame, path: s
     admins = broadcast_if_small(materialise(admins.select("account"), "batch-admins"))
     if not admins.isEmpty():
         own = lambda df: df.join(admins, "account", "left_semi")
-        merged = merged.unionByName(merge_grades(own(tables.students), own(batch), tables.classes, sheet_col=SHEET).select(*columns))
+        merged = merged.unionByName(merge_grades(own(tables.students), own(batch), tables.classes, SHEET, True).select(*columns))
     report = grade_import_report(tables.students, tables.classes, batch, merged, sheet_col=SHEET)
     return report.select("account", F.col(f"{SHEET}.file_path").alias("file"), "status", "updated")
 
@@ -97,7 +97,7 @@ def _apply(kind: str, root: str, initial: Tables | None, stream: str):
         if tables is None:
             raise ValueError("no snapshot yet: pass initial tables")
         if kind == "grades":
-            merged = merge_grades(tables.students, batch, tables.classes, sheet_col=SHEET)
+            merged = merge_grades(tables.students, batch, tables.classes, sheet_col=SHEET, keep_sheets=True)
             merged, seen = observe_updates(merged, f"grade_merge_{epoch}")
             new = Tables(tables.accounts, tables.classes, merged)
         else:

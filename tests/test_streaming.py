@@ -99,3 +99,28 @@ def test_many_files_in_one_batch_equal_one_by_one(spark):
     assert results[1] == results[10] == [("S1", 9.0, 3.0, 6.0), ("S2", 5.0, 2.0, 3.5)]
     rep = spark.read.parquet(f"{d}/snap10/_reports/grades").collect()
     assert sorted((r.file[-5:], r.updated) for r in rep) == [("0.csv", 1), ("1.csv", 2), ("2.csv", 1)]
+
+
+def test_a_grade_epoch_merges_its_students_once(spark, monkeypatch):
+    import os
+
+    from classledger.streaming import drops
+    calls, merge = [], drops.merge_grades
+    monkeypatch.setattr(drops, "merge_grades", lambda *a, **k: calls.append(1) or merge(*a, **k))
+    accounts = spark.createDataFrame([("admin", True, 0), ("thay", False, 1)], S.ACCOUNTS)
+    classes = spark.createDataFrame([("thay", "CT01", 0), ("admin", "CT01", 0)], S.CLASSES)
+    students = spark.createDataFrame([(a, f"S{i}", "Lê An", "", "Nam", "CT01", 1.0, 1.0, 1.0, i)
+                                      for a in ("thay", "admin") for i in range(3)], S.STUDENTS)
+    header = ["row_no", "account", "MSSV", "Lớp", "Điểm quá trình", "Điểm kết thúc"]
+    for named, merges in ((["thay", "nobody"], 1), (["thay", "admin"], 2)):   # an admin's sheet is merged for its report alone
+        d = tempfile.mkdtemp(prefix="classledger-stream-", dir="/tmp")
+        os.makedirs(f"{d}/drop")
+        write_csv(f"{d}/drop/1.csv", header, [(i, a, f"S{i}", "CT01", 9, 7) for a in named for i in range(2)])
+        calls.clear()
+        start_sheet_imports(spark, f"{d}/drop", f"{d}/snap", f"{d}/ckpt", kind="grades", headers=header[2:],
+                            initial=Tables(accounts, classes, students), available_now=True).awaitTermination(120)
+        log = spark.read.parquet(f"{d}/snap/_log").collect()
+        assert len(calls) == merges and [r.updated for r in log] == [2 if merges == 1 else 4]
+        report = {r.account: (r.status, r.updated) for r in spark.read.parquet(f"{d}/snap/_reports/grades").collect()}
+        assert report == {"thay": ("updated", 2), named[1]: ("refused", 0) if merges == 1 else ("updated", 2)}
+        assert load(spark, log[0].path).students.columns == list(S.STUDENT_COLUMNS)
