@@ -29,6 +29,22 @@ def missing_columns(columns: list[str]) -> list[str]:
     return [canon for canon, options in S.REQUIRED_ROSTER if not any(o in present for o in options)]
 
 
+def missing_column_report(sheets: DataFrame, sheet_col: str | None = None) -> DataFrame:
+    """One line per account (and sheet) of a batch whose rows lack a required column, with the names joined.
+
+    In a batch of several sheets, read as one table, a sheet has a header if
+    some row of it has a cell there. ``(account, sheet, missing)``; sheets with all
+    columns, and a batch without rows, give no line. One partial aggregation
+    with a flag for each required column, however many rows a sheet has.
+    """
+    by = ["account"] + ([sheet_col] if sheet_col else [])
+    has = {canon: F.bool_or(F.coalesce(*[_cell(sheets, o) for o in options], F.lit(None).cast("string")).isNotNull())
+           for canon, options in S.REQUIRED_ROSTER}
+    flags = sheets.groupBy(*by).agg(*[c.alias(f"_{k}") for k, c in enumerate(has.values())])
+    absent = F.array_compact(F.array(*[F.when(~F.col(f"_{k}"), F.lit(canon)) for k, canon in enumerate(has)]))
+    return flags.select(*by, F.array_join(absent, ", ").alias("missing")).where(F.col("missing") != "")
+
+
 def _cell(sheet: DataFrame, name: str):
     return F.col(f"`{name}`") if name in sheet.columns else F.lit(None).cast("string")
 

@@ -126,6 +126,10 @@ def q_missing_class_report(spark, d):
     return ingest.missing_class_report(q_missing_classes(spark, d))
 
 
+def q_missing_columns(spark, d):
+    return ingest.missing_column_report(D.header_sheets(spark, d), "sheet_no")
+
+
 def q_roster_import(spark, d):
     out, _ = ingest.import_roster(D.students(spark, d), D.classes(spark, d), D.roster_sheet(spark, d))
     return out
@@ -311,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_list": q_class_list,
     "missing_classes": q_missing_classes,
     "missing_class_report": q_missing_class_report,
+    "missing_columns": q_missing_columns,
     "roster_import": q_roster_import,
     "roster_import_sheets": q_roster_import_sheets,
     "parse_grades": q_parse_grades,

@@ -543,6 +543,16 @@ SELECT CAST(row_number() OVER (ORDER BY r.ord) AS BIGINT) AS no, r.account,
   CASE WHEN r.is_admin THEN 'Quản trị viên' ELSE 'Giảng viên' END AS role,
   CAST(coalesce(n.n, 0) AS BIGINT) AS n_classes
 FROM reg r LEFT JOIN ncls n ON r.account = n.account"""
+    required = {"MSSV": (["MSSV"], "3, 8"), "Họ và tên": (["Họ và tên", "Họ Tên"], "4, 8"),
+                "Ngày sinh": (["Ngày tháng năm sinh", "Ngày sinh"], "5, 8"), "Giới tính": (["Giới tính"], "6, 8")}
+    parts = [f"""CASE WHEN count(coalesce({', '.join(f'"{c}"' for c in cols)}))
+      FILTER (WHERE no NOT IN ({nos})) = 0 THEN '{canon}' END""" for canon, (cols, nos) in required.items()]
+    parts.append("""CASE WHEN count("Lớp") FILTER (WHERE no NOT IN (7, 8)) + count("Lớp Học Phần") FILTER (WHERE no NOT IN (7)) = 0
+      THEN 'Lớp' END""")
+    out["missing_columns"] = with_(BASE, ROSTER_SHEET, f"""
+cut AS (SELECT *, CAST(row_no % 11 AS INTEGER) AS no FROM roster_sheet),
+found AS (SELECT account, no AS sheet_no, concat_ws(', ', {', '.join(parts)}) AS missing FROM cut GROUP BY account, no)""") + """
+SELECT * FROM found WHERE missing <> ''"""
     out["grade_merge_bucketed"] = out["grade_merge"]
     out["set_grades_bucketed"] = out["set_grades"]
     out["sheet_read_back"] = with_(BASE, GRADE_SHEET) + """

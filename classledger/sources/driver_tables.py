@@ -204,6 +204,14 @@ def roster_sheet(spark, sf_dir) -> DataFrame:
         _mod(k, 3).cast("int").alias("sheet_no"))
 
 
+def header_sheets(spark, sf_dir) -> DataFrame:
+    """The roster sheet cut into eleven sheets, some of which lack required columns under all their names."""
+    gone = {S.H_ID: (3, 8), S.H_NAME[0]: (4, 8), S.H_NAME[1]: (4, 8), S.H_BIRTH[0]: (5, 8), S.H_BIRTH[1]: (5, 8),
+            S.H_GENDER: (6, 8), S.H_CLASS[0]: (7, 8), S.H_CLASS[1]: (7,)}
+    sheet = roster_sheet(spark, sf_dir).withColumn("sheet_no", _mod("row_no", 11).cast("int"))
+    return sheet.withColumns({h: F.when(~F.col("sheet_no").isin(*nos), F.col(f"`{h}`")) for h, nos in gone.items()})
+
+
 def new_students(spark, sf_dir) -> DataFrame:
     j = _suppliers(spark, sf_dir)
     k = "s_suppkey"

@@ -95,3 +95,22 @@ def test_several_sheets_equal_one_after_another(spark):
     key = lambda df: [r.student_id for r in roster_order(df).orderBy("roster_pos").collect()]
     assert key(together) == key(step)
     assert sorted(map(repr, together.drop("ord").collect())) == sorted(map(repr, step.drop("ord").collect()))
+
+
+def test_missing_columns_of_several_sheets(spark):
+    from classledger.operators.ingest import missing_column_report
+    sh = sheet(spark, ROSTER_HEADERS, ROSTER_ROWS)
+    full = sh.selectExpr("*", "1 as sheet_no")
+    bare = sh.selectExpr("row_no", "account", "`MSSV`", "`Giới tính`", "2 as sheet_no")
+    got = missing_column_report(full.unionByName(bare, allowMissingColumns=True), "sheet_no").collect()
+    assert [tuple(r) for r in got] == [("t1", 2, "Họ và tên, Ngày sinh, Lớp")]
+    assert missing_column_report(full.limit(0), "sheet_no").count() == 0
+    assert [r.missing for r in missing_column_report(bare.drop("MSSV")).collect()] == ["MSSV, Họ và tên, Ngày sinh, Lớp"]
+
+
+def test_a_report_line_is_joined_in_slices(spark):
+    from classledger.operators.ingest import missing_class_report
+    names = spark.createDataFrame([("t1", f"C{i}", 1000 - i) for i in range(95)] + [("t2", "X", 1)],
+                                  "account string, class_name string, first_row int")
+    got = {r.account: (r.missing, r.first_row) for r in missing_class_report(names, slice_rows=10).collect()}
+    assert got == {"t1": (", ".join(f"C{i}" for i in reversed(range(95))), 906), "t2": ("X", 1)}
