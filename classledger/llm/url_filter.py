@@ -13,35 +13,51 @@ from .tables import ship_package
 
 BUCKETS = 1 << 15
 SIZES = (3, 4, 5)
+#: A url is blocked on clear odds only: a wrong block loses a page, a wrong pass meets the later filters.
+THRESHOLD = 0.6
 
-# Labelled URLs that the model is trained on: block, then allow.
+# Labelled URLs that the model is trained on: block, then allow. None is a page of the given tables.
 BLOCKED = """
-www.cheap-pills.example.com/en/1 cheap-meds.example.net/buy/viagra pills-online.example.org/order
-casino-win.example.org/en/14 www.casino-royal.example.com/slots bestcasino.example.net/bonus
-win-big.example.com/jackpot online-poker.example.org/play free-slots.example.net/spin
-spam-farm.example.org/en/728 link-farm.example.com/links/9 seo-spam.example.net/backlinks
-adult-cams.example.com/live xxx-videos.example.net/watch hot-dating.example.org/singles
-porn-tube.example.com/video/12 sexy-chat.example.net/room nude-pics.example.org/gallery
-payday-loans.example.com/apply fast-cash.example.net/loan get-rich.example.org/quick
-crypto-double.example.com/invest free-bitcoin.example.net/claim forex-profit.example.org/signal
-replica-watches.example.com/rolex fake-bags.example.net/outlet cheap-shoes.example.org/sale
+www.cheap-meds.example.com/en/1 discount-pharmacy.example.net/es/261 pills-online.example.org/order
+cheap-viagra.example.net/fr/44 diet-pills.example.com/en/903 generic-pills.example.org/de/18
+casino-jackpot.example.org/en/14 www.casino-royal.example.com/slots bestcasino.example.net/es/72
+win-big.example.com/jackpot online-poker.example.org/de/5 free-slots.example.net/spin
+lucky-casino.example.com/en/410 casino-bonus.example.net/fr/33 you-win.example.org/en/612
+spam-hub.example.org/links link-farm.example.com/en/9 seo-spam.example.net/backlinks
+farm-links.example.org/es/128 spam-mail.example.com/en/350 content-farm.example.net/fr/81
+adult-cams.example.com/live xxx-videos.example.net/en/650 hot-dating.example.org/singles
+adult-only.example.org/de/31 xxx-adult.example.com/en/77 free-adult.example.net/gallery
+porn-tube.example.com/video/12 sexy-chat.example.net/fr/208 nude-pics.example.org/gallery
+payday-loans.example.com/apply fast-cash.example.net/en/54 get-rich.example.org/quick
+crypto-double.example.com/invest free-bitcoin.example.net/claim forex-profit.example.org/es/90
+replica-watches.example.com/rolex fake-bags.example.net/outlet cheap-shoes.example.org/en/732
 miracle-diet.example.com/weight-loss lose-weight.example.net/fast keto-pills.example.org/trial
 warez-zone.example.com/crack keygen-world.example.net/serial torrent-free.example.org/download
 click-here.example.com/prize you-won.example.net/gift-card free-iphone.example.org/survey
+ads-server.example.com/en/20 track-click.example.net/pixel ad-tracker.example.org/en/5 my-ads.example.net/banner
+sports-bets.example.com/odds bet-tips.example.net/es/16 free-betting.example.org/en/31 bets-online.example.com/bonus
 """.split()
 ALLOWED = """
-www.thewh.example.org/en/12 blog.tionsh.example.net/es/533 m.therou.example.com/en/474.html
+www.merando.example.org/en/12 blog.soltane.example.net/es/533 m.herbour.example.com/en/474.html
 news.example.com/fr/2024/politics daily-times.example.net/article/311 science.example.org/physics
 university.example.org/courses/math library.example.net/catalog museum.example.com/de/visit
 recipes.example.com/en/bread gardening.example.net/roses travel-notes.example.org/es/madrid
 docs.example.com/guide/install forum.example.net/thread/88 wiki.example.org/en/history
 cityhall.example.net/services hospital.example.com/contact weather.example.org/today
 football.example.com/results chess-club.example.net/games marathon.example.org/route
-blog.ththan.example.net/fr/408 therin.example.net/en/770 theres.example.com/en/495
+blog.landrie.example.net/fr/408 thorvin.example.net/en/770 anders.example.com/en/495
 books.example.com/fr/roman poetry.example.net/de/gedicht music.example.org/en/concert
 open-data.example.com/tables maps.example.net/region/7 history.example.org/es/siglo
-blog.theren.example.net/en/455 www.ththen.example.com/en/148.html thther.example.org/fr/414
+blog.northen.example.net/en/455 www.methern.example.com/en/148.html hester.example.org/fr/414
 kitchen.example.com/soup parents.example.net/school teachers.example.org/lesson
+addresses.example.org/en/3 better-gardens.example.com/en/60 cheapside.example.net/history
+freedom.example.com/essay winter.example.org/de/9 adultery-law.example.net/court/2
+nations.example.net/en/61 m.stationery.example.org/fr/330 www.theses.example.com/es/12 blog.mathshop.example.net/en/9
+editions.example.com/en/845 thistle.example.org/de/77 blog.fashion.example.com/fr/1204 north-shore.example.net/en/31
+m.ration-book.example.org/es/450 themes.example.net/fr/66 www.together.example.com/en/5071 hearth.example.org/en/238
+traditions.example.com/de/19 auctions.example.net/es/27 blog.athens.example.org/en/90 seventh-day.example.com/en/412
+stone-age.example.org/fr/8 www.threads.example.net/de/640 anthem.example.com/es/333 erosion.example.net/en/118
+thatcher.example.net/en/402 www.something.example.org/de/71 m.everything.example.com/es/5 growthstock.example.net/en/63
 """.split()
 
 # (host, path, verdict): the rules of the registered query.
@@ -106,7 +122,7 @@ def labelled() -> tuple[list[tuple[str, str]], list[int]]:
     return [cut(s) for s in BLOCKED + ALLOWED], [1] * len(BLOCKED) + [0] * len(ALLOWED)
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5,
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD,
                table: tuple[list[tuple[str, str]], list[int]] | None = None,
                id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block) of each row.

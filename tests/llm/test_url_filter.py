@@ -1,6 +1,7 @@
 """Operator 4: hosts, paths and rules against SQL, the model on urls that its table does not hold."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from classledger.llm import catalog, url_filter
@@ -25,7 +26,7 @@ def compare(got, want):
     assert len(got) == len(want)
     for page_id, host, path, rule, verdict in want:
         r = got[page_id]
-        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.p_block >= 0.5 else "allow")), r
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.p_block >= url_filter.THRESHOLD else "allow")), r
 
 
 def test_the_query_equals_sql_but_for_the_model(spark):
@@ -50,4 +51,4 @@ def test_awkward_urls_equal_sql(spark):
 def test_urls_outside_the_table(host, path, blocked):
     weights, bias = url_filter.train(*url_filter.labelled())
     rows, buckets = url_filter.grams([host], [path])
-    assert (url_filter._signal(weights, bias, rows, buckets, 1)[0] > 0) == blocked
+    assert (url_filter._signal(weights, bias, rows, buckets, 1)[0] > np.log(url_filter.THRESHOLD / (1 - url_filter.THRESHOLD))) == blocked
