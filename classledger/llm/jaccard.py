@@ -272,7 +272,8 @@ def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
     empty set and is linked with nothing: its component is its own doc_id.
     component_id is the smallest doc_id reachable by links, its own included; a
     null doc_id is never the smallest. Repeated rows are equal sets and so one
-    component. An empty table gives no rows; other columns are not read.
+    component. A very long text is a set of as many tokens, built and verified
+    whole by a task. An empty table gives no rows; other columns are not read.
     """
     rows = _rows_with_root(docs, size, percent, id_column, text_column)
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

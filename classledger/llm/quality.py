@@ -230,7 +230,8 @@ def verdict(rules: Sequence[Rule]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, the ``BASE`` figures, base_failed, kept, rejected_by) of each document row.
 
-    A null or empty text has no words and fails the base rules. Repeated rows
+    A null or empty text has no words and fails the base rules; a very long one
+    is judged whole, by expressions over its array of words. Repeated rows
     are judged each, alike. Other columns of either table are not read. An
     empty table gives no rows; without usable labels only the base rules
     reject.

@@ -251,8 +251,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, heavy: i
     with one doc_id and different texts, that with the smaller text hash counts
     as earlier; rows equal in both are one place and lose the same words. A
     null doc_id counts as smaller than any other. Texts shorter than ``size``
-    words lose nothing. An empty table gives no rows; other columns are not
-    read.
+    words lose nothing. A very long text is worked on whole: its windows are
+    rows like any others, and one task cuts it. An empty table gives no rows;
+    other columns are not read.
     """
     return _without_repeats(docs, F.lit(0), size, seed, heavy, id_column, text_column).drop("extra")
 

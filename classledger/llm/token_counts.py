@@ -214,7 +214,8 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
                  id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """UTF-8 bytes and tokens of each document row: ``COUNTS``.
 
-    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted
+    A null text counts as empty: 0 bytes, 0 tokens. A very long text is counted
+    whole by one task, also one without any space. Repeated rows are counted
     each; an empty table gives no rows; other columns are not read.
     """
 

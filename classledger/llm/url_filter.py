@@ -131,8 +131,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     path; the longest rule wins (a block before an allow of equal length).
     Where none fits, the model decides: block from ``threshold`` on. A null
     url, or one without ``://``, has an empty host and path, fits no rule and
-    is judged by the model like any other. Repeated rows are judged each; other
-    columns are not read. The model has a fixed size (``BUCKETS`` weights), so
+    is judged by the model like any other. A very long url is read whole.
+    Repeated rows are judged each; an empty table gives no rows; other columns
+    are not read. The model has a fixed size (``BUCKETS`` weights), so
     it travels with the task. Rules are part of the plan and so meant to be few.
     """
     ship_package(pages.sparkSession)
