@@ -160,7 +160,7 @@ def grade_import_allowed(classes: DataFrame, students: DataFrame) -> DataFrame:
 
 
 def checked_entries(students: DataFrame, classes: DataFrame, entries: DataFrame):
-    """The latest valid entry of each id, and the rejected entries with their reason; see :func:`set_grades`."""
+    """The latest valid entry of each id, the rejected entries with their reason, and the checked batch; see :func:`set_grades`."""
     if "row_no" not in entries.columns:
         raise ValueError("point grades need a row_no column: of several entries for one id the last wins")
     # The (account, class) pairs that the entries name, written once; each side
@@ -187,7 +187,7 @@ def checked_entries(students: DataFrame, classes: DataFrame, entries: DataFrame)
     latest = first_by_row(valid, ["account", "student_id"], "row_no", ["midterm", "exam"], last=True)
     latest = latest.select("account", "student_id", F.col("midterm").alias("_mid"),
                            F.col("exam").alias("_exam"), F.lit(True).alias("_hit"))
-    return latest, rejects
+    return latest, rejects, checked
 
 
 def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
@@ -199,8 +199,9 @@ def set_grades(students: DataFrame, classes: DataFrame, entries: DataFrame):
     of several entries for one id the last (by ``row_no``) wins.
     Returns ``(students, rejects)``.
     """
-    latest, rejects = checked_entries(students, classes, entries)
-    latest = broadcast_if_small(materialise(latest, "latest-entries"))
+    latest, rejects, checked = checked_entries(students, classes, entries)
+    # A batch that fits bounds its latest entries; of a larger one they are written and checked themselves.
+    latest = F.broadcast(latest) if fits_broadcast(checked) else broadcast_if_small(materialise(latest, "latest-entries"))
     return _with_entries(students, latest, ["account", "student_id"], students.columns), rejects
 
 
@@ -208,7 +209,7 @@ def set_grades_by_bucket(students: BucketedStudents, classes: DataFrame, entries
     """:func:`set_grades` for bucketed students and more entries than a broadcast holds; see :func:`merge_grades_by_bucket`."""
     from ..sources.bucketed import BUCKET_KEY, write_buckets
 
-    latest, rejects = checked_entries(students.all(), classes, entries)
+    latest, rejects, _ = checked_entries(students.all(), classes, entries)
     latest = latest.withColumn("_id_key", js_string_key("student_id"))
     side = write_buckets(latest, path, students.buckets, BUCKET_KEY)
     on, columns = [*BUCKET_KEY, "student_id"], list(S.STUDENT_COLUMNS)

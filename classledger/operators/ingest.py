@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import final_grade_of, grade_or, js_or, parse_grade, truthy
 from ..session import materialise
-from .joins import broadcast_if_small, broadcast_when, fits_broadcast
-from .ranking import positions_within
+from .joins import broadcast_when, fits_broadcast
 
 
 class MissingColumns(ValueError):
@@ -68,40 +67,41 @@ def sheet_summary(sheet: DataFrame, sheet_col: str | None = None) -> DataFrame:
 
 
 def missing_classes(classes: DataFrame, sheet: DataFrame, sheet_col: str | None = None,
-                    summary: DataFrame | None = None) -> DataFrame:
+                    summary: DataFrame | None = None, small: bool | None = None) -> DataFrame:
     """Distinct classes named in the sheet but unknown to the account, with their first row.
 
     Blank classes are skipped; names are compared exactly (no trim). One row
     per ``(account, class_name)`` (per sheet too, with ``sheet_col``); order
     them by ``first_row`` for the report. ``summary`` is the sheet's
-    :func:`sheet_summary`, when the caller has it.
+    :func:`sheet_summary`, when the caller has it, and ``small`` whether it fits a broadcast.
     """
     summary = sheet_summary(sheet, sheet_col) if summary is None else summary
     named = summary.where(truthy("class_name")).drop("last_row")
     # Only the classes the sheet names are looked up: a semi-join of the named
     # pairs cuts the classes table down before the anti-join.
-    pairs = broadcast_if_small(named.select("account", "class_name").distinct(), bound_by=named)
+    if small is None:
+        small = fits_broadcast(named)
+    pairs = broadcast_when(small, named.select("account", "class_name").distinct())
     known = classes.select("account", "class_name").join(pairs, ["account", "class_name"], "left_semi")
     return named.join(known, ["account", "class_name"], "left_anti")
 
 
-#: Names that one task sorts and joins for a report line.
+#: Sheet rows whose names one task sorts and joins for a report line.
 REPORT_SLICE = 10_000
 
 
 def missing_class_report(missing: DataFrame, sheet_col: str | None = None, slice_rows: int = REPORT_SLICE) -> DataFrame:
     """One line per refused account (and sheet): its missing classes joined in first-seen order.
 
-    The names are numbered (a hot account in slices over many tasks), then
-    joined in two levels: ``slice_rows`` names to a string, then an account's
-    strings to its line. No task sorts the whole list of one account.
+    The names are joined in two levels: those first seen in one range of
+    ``slice_rows`` rows to a string, then an account's strings to its line. A row
+    names one class, so no task sorts more than a range's names of one account.
     """
     by = ["account"] + ([sheet_col] if sheet_col else [])
-    place = positions_within(missing.select(*by, "class_name", "first_row"), by, ["first_row", "class_name"], out="_pos")
     ordered = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))),
                                                         lambda x: x[text]), ", ")
-    parts = (place.withColumn("_part", F.floor((F.col("_pos") - 1) / slice_rows))
-                  .groupBy(*by, "_part").agg(ordered("_pos", "class_name").alias("_text"), F.min("first_row").alias("first_row")))
+    parts = (missing.withColumn("_part", F.floor(F.col("first_row") / slice_rows))
+                    .groupBy(*by, "_part").agg(ordered("first_row", "class_name").alias("_text"), F.min("first_row").alias("first_row")))
     return parts.groupBy(*by).agg(ordered("_part", "_text").alias("missing"), F.min("first_row").alias("first_row"))
 
 
@@ -159,7 +159,7 @@ def import_roster(students: DataFrame, classes: DataFrame, sheet: DataFrame,
     # most a row for each row of the written summary, whose size is checked.
     summary = sheet_summary(sheet, sheet_col)
     small = fits_broadcast(summary)
-    unknown = missing_classes(classes, sheet, sheet_col, summary)
+    unknown = missing_classes(classes, sheet, sheet_col, summary, small)
     rejects = missing_class_report(unknown, sheet_col)
     refused = broadcast_when(small, unknown.select(*by).distinct())
     spans = summary.join(refused, by, "left_anti").groupBy(*by).agg(
