@@ -15,11 +15,10 @@ block learns or scores does not depend on how the table is laid out.
 
 Training has two rounds. In the first, ``WARM_STEPS`` gradient steps over the
 windows of one block, or ``WARM_PASSES`` passes over them if these are fewer, find
-the common start, at every size of the table. In the second every block takes its own steps from there, over one window in ``EVERY``
-of each of its training texts (one at least), and the weights are averaged in
-Spark. So each training document moves the weights, and what is learnt from
-grows with the table; id counts and word counts cover all texts whole. A step
-over a window costs several times what scoring it does, hence ``EVERY``.
+the common start, at every size of the table. In the second every block takes its own steps from there, over all windows
+of all its training texts (``EVERY`` is 1; a caller may ask for one window in
+more), and the weights are averaged in Spark. So each position of each training
+text moves the weights; id counts and word counts cover all texts whole too.
 
 Word counts are looked up block by block: a block's distinct words are joined to
 the counts and come back to the block. Nothing that grows with the corpus is
@@ -47,7 +46,7 @@ GROUPS, GROUP, BUCKETS = 32, 64, 256
 WIDTH, HIDDEN = 24, 48
 BATCH = 64
 WARM_STEPS, WARM_PASSES, WARM_RATE = 1500, 4, 0.02
-EVERY, RATE = 8, 0.004
+EVERY, RATE = 1, 0.004
 CHUNK, FAN_IN = 4096, 256
 END_WORD = int(mix(np.asarray([0x656E64], np.uint64)).view(np.int64)[0])
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -288,7 +287,7 @@ class Lessons:
     def __init__(self, texts: pa.Table, alphabet: Alphabet, tokenizer: str, every: int):
         encode, end = piece_ids(tokenizer), alphabet.size - 1
         texts = texts.sort_by([("key", "ascending"), ("doc_id", "ascending")])
-        x, y, counts = [np.zeros((0, WINDOW), np.int32)], [np.zeros((0, WINDOW), np.int32)], [np.zeros((0, WINDOW), np.float32)]
+        x, y, counts = [np.zeros((0, WINDOW), np.uint16)], [np.zeros((0, WINDOW), np.uint16)], [np.zeros((0, WINDOW), np.float32)]
         column = texts.column("text").combine_chunks()
         copies, keys = texts.column("copies").to_numpy(), texts.column("key").to_numpy()
         for at, to, data, offsets in pieces(column):
@@ -306,8 +305,8 @@ class Lessons:
             begin = np.where(begin < of_text, begin, 0)
             chosen = (number - begin[owner]) % every == 0
             spots = np.minimum(place[chosen], len(flat) - 1)
-            x.append(alphabet.into[before[spots]].astype(np.int32))
-            y.append(alphabet.out[flat[spots]].astype(np.int32))
+            x.append(alphabet.into[before[spots]].astype(np.uint16))  # some 2,300 classes
+            y.append(alphabet.out[flat[spots]].astype(np.uint16))
             counts.append((fresh[chosen] * copies[at:to][owner[chosen]][:, None]).astype(np.float32))
         self.x, self.y, self.counts = map(np.concatenate, (x, y, counts))
 

@@ -136,6 +136,18 @@ def test_every_training_text_moves_the_weights(spark):
     assert scoring.Lessons(table.slice(19, 1), alphabet, "piece_bpe_32k.model", 8).counts.max() == 5
 
 
+def test_every_position_of_every_training_text_is_learnt_from():
+    import pyarrow as pa
+    alphabet = scoring.Alphabet(np.append(np.ones(32000), 5.0))
+    texts = ["a short text", "", "many words of a long text " * 300, "ab " * 25]
+    table = pa.table({"block": [1] * 4, "key": [5, 977, 3, 12345], "doc_id": [1, 2, 3, 4], "text": texts, "copies": [1, 1, 1, 3]})
+    model = scoring.piece_ids("piece_bpe_32k.model").model
+    ids = [sum(map(len, model.encode(x.split()))) + 1 for x in texts]      # and the end mark
+    lessons = scoring.Lessons(table, alphabet, "piece_bpe_32k.model", scoring.train.__defaults__[0])
+    assert lessons.counts.sum() == ids[0] + ids[1] + ids[2] + 3 * ids[3]
+    assert lessons.once() * scoring.BATCH >= len(lessons.x)      # the second round's steps take every window
+
+
 def test_tables_without_rows_or_training_rows(spark, few_steps):
     assert scoring.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(100) if is_held_out(i))
