@@ -20,13 +20,16 @@ of all its training texts (``EVERY`` is 1; a caller may ask for one window in
 more), and the weights are averaged in Spark. So each position of each training
 text moves the weights; id counts and word counts cover all texts whole too.
 
-Word counts are looked up block by block: a block's distinct words are joined to
-the counts and come back to the block. Nothing that grows with the corpus is
-broadcast or held by one task, and a frequent word has a row for each block.
+The texts travel to their blocks once, into a table bucketed by block: learning,
+the blocks' words and scoring read a block where it lies. Word counts are looked
+up block by block: a block's distinct words are joined to the counts and come
+back to the block. Nothing that grows with the corpus is broadcast or held by
+one task, and a frequent word has a row for each block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_small
+from ..session import ensure_checkpoint_dir
 from .subwords import piece_ids
 from .tables import map_arrow, materialise, ship_package
 from .words import Words, mix, pieces, split_words
@@ -47,6 +51,7 @@ WIDTH, HIDDEN = 24, 48
 BATCH = 64
 WARM_STEPS, WARM_PASSES, WARM_RATE = 1500, 4, 0.02
 EVERY, RATE = 1, 0.004
+BUCKETS_A_BLOCK, MOST_BUCKETS = 4, 50_000
 CHUNK, FAN_IN = 4096, 256
 END_WORD = int(mix(np.asarray([0x656E64], np.uint64)).view(np.int64)[0])
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -425,27 +430,33 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
-    """(block, word): the distinct words of each block's texts, and the end mark."""
+    """(block, word): the distinct words of each block's texts, and the end mark; a block's words are made distinct where it lies."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {}
-        held: dict[int, int] = {}
-        for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            for at, to, data, offsets in pieces(batch.column(1)):
-                words = split_words(data, offsets, lower=True)
-                owner = np.repeat(numbers[at:to], words.counts())
-                for block in np.unique(numbers[at:to]).tolist():
-                    part = parts.setdefault(block, [np.asarray([END_WORD])])
-                    part.append(pd.unique(words.hash[owner == block].view(np.int64)))
-                    held[block] = held.get(block, 0) + len(part[-1])
-                    if held[block] > max(500_000, len(part[0])):  # fold only when it has doubled
-                        parts[block], held[block] = [pd.unique(np.concatenate(part))], 0
-        for block, part in parts.items():
-            words = pd.unique(np.concatenate(part))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words)], ["block", "word"])
-
-    return map_arrow(blocks.select("block", "text"), rows, "block long, word long").distinct()
+    def rows(table: pa.Table) -> pa.Table:
+        part, held = [np.asarray([END_WORD])], 0
+        for _, _, data, offsets in pieces(table.column("text")):
+            part.append(pd.unique(split_words(data, offsets, lower=True).hash.view(np.int64)))
+            held += len(part[-1])
+            if held > max(500_000, len(part[0])):  # fold only when it has doubled
+                part, held = [pd.unique(np.concatenate(part))], 0
+        words = pd.unique(np.concatenate(part))
+        return pa.table([pa.array(np.full(len(words), table.column("block")[0].as_py())), pa.array(words)], ["block", "word"])
+
+    ship_package(blocks.sparkSession)
+    return blocks.select("block", "text").groupBy("block").applyInArrow(rows, "block long, word long")
+
+
+def deal(texts: DataFrame, blocks: int) -> DataFrame:
+    """``texts`` written once, bucketed by block, so that what groups them by block reads a block where it lies.
+
+    A block is in one bucket; there are more buckets than blocks, so that few share one.
+    """
+    buckets = min(BUCKETS_A_BLOCK * blocks, MOST_BUCKETS)
+    name = f"scoring_texts_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(texts.sparkSession).rstrip('/')}/classledger/{name}"
+    (texts.repartition(buckets, "block").write.format("parquet").options(path=path, compression="zstd")
+     .bucketBy(buckets, "block").saveAsTable(name))
+    return texts.sparkSession.table(name)
 
 
 def score_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model",
@@ -476,7 +487,7 @@ def score_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model",
     repeated = (keyed.join(several, equal, "left_semi").groupBy("doc_id", "held_out", "key", "bytes")
                 .agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies")))
     distinct = single.unionByName(repeated).withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.lit(number)))
-    blocks = materialise(distinct.select("block", "key", "doc_id", "held_out", "text", "copies"), "scoring-texts")
+    blocks = deal(distinct.select("block", "key", "doc_id", "held_out", "text", "copies"), number)
     learnt = blocks.where(~F.col("held_out"))
     counts = materialise(word_counts(learnt), "scoring-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

@@ -148,6 +148,15 @@ def test_every_position_of_every_training_text_is_learnt_from():
     assert lessons.once() * scoring.BATCH >= len(lessons.x)      # the second round's steps take every window
 
 
+def test_the_texts_travel_to_their_blocks_once(spark, few_steps):
+    rows = [(i, f"text {i} " * 20) for i in range(40)]
+    got = scoring.score_documents(frame(spark, rows))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning(block" in x]
+    assert len(moved) == 1, plan      # the words' counts; the texts lie in buckets
+    assert "Bucketed: true" in plan
+
+
 def test_tables_without_rows_or_training_rows(spark, few_steps):
     assert scoring.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(100) if is_held_out(i))
