@@ -5,32 +5,49 @@ new id included, so a later edit of the batch may meet the new id: chains such
 as A to B, then B to C, repeated edits of one id, and two ids made one. Which
 edit a row ends with is found by pointer doubling, not by applying edits in turn.
 
-Every edit is two events in the life of an id: at its original id it takes the
-rows over, and at its new id it puts them there. The events of an id are numbered
-in batch order (a hot id is numbered in slices). From where rows are put they go
-to the next event of that id: either an edit that takes them, or another edit
-that puts more rows under the id, which they pass. Each round doubles how far an
-event points, so a chain of n events takes log2(n) joins, each on unique keys.
+An edit that keeps its id changes no path: rows under an id stay there until the
+id's next edit that leaves it, or end with the id's last edit. So only leaving
+edits are linked, each to the next leaving edit of the id that it gives, found
+by one ordered pass over the takes of an id and the rows put there (for a hot id
+by numbers, which are given in slices). Each round then doubles how far the open
+links point, so a chain of n leaving edits takes log2(n) joins on unique keys,
+and an edit whose end is known is only looked up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .joins import broadcast_if_small
-from .ranking import MIN_HOT_ROWS, positions_within
+from .ranking import MIN_HOT_ROWS, _width, positions_within
 
-TAKES, PUTS = 0, 1
+LIFE = ["account", "id"]
 
 
-def _events(edits: DataFrame, min_hot_rows: int) -> DataFrame:
-    """(account, id, row_no, kind, pos): pos is the event's place in the id's life."""
-    takes = edits.select("account", F.col("original_id").alias("id"), "row_no", F.lit(TAKES).alias("kind"))
-    puts = edits.select("account", F.col("student_id").alias("id"), "row_no", F.lit(PUTS).alias("kind"))
-    events = takes.unionByName(puts.where(F.col("id").isNotNull()))
-    return positions_within(events, ["account", "id"], ["row_no", "kind"], out="pos", min_hot_rows=min_hot_rows)
+def _next_by_pass(events: DataFrame) -> DataFrame:
+    """(account, row_no, to_row, last) of each put: the next take that leaves the id, and the id's last take, both later than the put."""
+    # From the last event back, so that the frame only grows; at an equal row_no a put does not see the take.
+    later = Window.partitionBy(*LIFE).orderBy(F.desc("row_no"), F.desc("puts")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = events.select("account", "row_no", "puts", F.min(F.when(F.col("leaves"), F.col("row_no"))).over(later).alias("to_row"),
+                         F.max(F.when(~F.col("puts"), F.col("row_no"))).over(later).alias("last"))
+    return seen.where("puts").drop("puts")
+
+
+def _next_by_number(events: DataFrame, lives: DataFrame, min_hot_rows: int) -> DataFrame:
+    """As :func:`_next_by_pass`, for ids with very many events: the next take is found by its number among the id's takes.
+
+    A put's place among leaving takes and puts, less its number among the puts, is how many leaving takes came before it.
+    """
+    number = lambda df, out: positions_within(df, LIFE, ["row_no", "puts", "seq"], out=out, min_hot_rows=min_hot_rows)
+    both = materialise(events.where("puts OR leaves").withColumn("seq", F.monotonically_increasing_id()), "edit-hot-events")
+    placed = materialise(number(both, "place"), "edit-hot-places")
+    puts = number(placed.where("puts"), "nth").select(*LIFE, "row_no", (F.col("place") - F.col("nth") + 1).alias("k"))
+    takes = number(placed.where(~F.col("puts")), "k").select(*LIFE, "k", F.col("row_no").alias("to_row"))
+    last = F.broadcast(lives.select(*LIFE, "last_take"))  # fewer hot ids than the shuffle width
+    return (puts.join(takes, [*LIFE, "k"], "left").join(last, LIFE, "left")
+            .select("account", "row_no", "to_row", F.when(F.col("last_take") > F.col("row_no"), F.col("last_take")).alias("last")))
 
 
 def last_edits(edits: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
@@ -39,26 +56,42 @@ def last_edits(edits: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     ``edits`` has account, original_id, student_id and row_no, which is unique
     within an account. Rows of ids without an edit are not listed.
     """
-    usable = edits.where(F.col("original_id").isNotNull() & F.col("row_no").isNotNull())
-    events = materialise(_events(usable.select("account", "original_id", "student_id", "row_no"), min_hot_rows), "edit-events")
-    following = events.select("account", "id", (F.col("pos") - 1).alias("pos"),
-                              F.col("row_no").alias("to_row"), F.col("kind").alias("to_kind"))
-    put = (events.where(F.col("kind") == PUTS).join(following, ["account", "id", "pos"], "left")
-           .select("account", "row_no", "kind", "to_row", "to_kind", F.lit(None).cast("long").alias("last")))
-    placed = events.where(F.col("kind") == PUTS).select("account", "row_no", F.col("row_no").alias("to_row"))
-    take = (events.where(F.col("kind") == TAKES).join(placed, ["account", "row_no"], "left")
-            .select("account", "row_no", "kind", "to_row", F.when(F.col("to_row").isNotNull(), PUTS).alias("to_kind"),
-                    F.col("row_no").alias("last")))
-    state = materialise(put.unionByName(take), "edit-chains")
-    while not state.where(F.col("to_row").isNotNull()).isEmpty():
-        ahead = state.select("account", F.col("row_no").alias("to_row"), F.col("kind").alias("to_kind"),
-                             F.col("to_row").alias("far_row"), F.col("to_kind").alias("far_kind"), F.col("last").alias("far_last"))
-        state = materialise(state.join(ahead, ["account", "to_row", "to_kind"], "left").select(
-            "account", "row_no", "kind", F.col("far_row").alias("to_row"), F.col("far_kind").alias("to_kind"),
-            F.coalesce("far_last", "last").alias("last")), "edit-chains")
-    starts = (usable.groupBy("account", "original_id").agg(F.min("row_no").alias("row_no")))
-    ends = state.where(F.col("kind") == TAKES).select("account", "row_no", "last")
-    return starts.join(ends, ["account", "row_no"]).select("account", "original_id", F.col("last").alias("row_no"))
+    usable = (edits.where(F.col("account").isNotNull() & F.col("original_id").isNotNull() & F.col("row_no").isNotNull())
+              .withColumn("leaves", ~F.col("original_id").eqNullSafe(F.col("student_id"))))
+    takes = usable.select("account", F.col("original_id").alias("id"), "row_no", F.lit(False).alias("puts"), "leaves")
+    puts = usable.where("leaves").select("account", F.col("student_id").alias("id"), "row_no", F.lit(True).alias("puts"),
+                                         F.lit(False).alias("leaves"))
+    events = takes.unionByName(puts.where(F.col("id").isNotNull()))
+    lives = materialise(events.groupBy(*LIFE).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("leaves"), F.col("row_no"))).alias("first_leave"),
+        F.max(F.when(~F.col("puts"), F.col("row_no"))).alias("last_take")), "edit-lives")
+    width = _width(events, None)
+    total = lives.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = lives.where((F.col("n") * F.lit(width) > total) & (F.col("n") > min_hot_rows))
+    if hot.isEmpty():
+        found = _next_by_pass(events)
+    else:
+        keys = F.broadcast(hot.select(*LIFE))  # fewer than the shuffle width
+        found = _next_by_pass(events.join(keys, LIFE, "left_anti")).unionByName(
+            _next_by_number(events.join(keys, LIFE, "left_semi"), hot, min_hot_rows))
+    # Edits to a NULL id have no put: their rows end with them. A row_no that comes again is one edit.
+    nowhere = usable.where(F.col("student_id").isNull()).select("account", "row_no", F.lit(None).cast("long").alias("to_row"),
+                                                                F.lit(None).cast("long").alias("last"))
+    links = found.unionByName(nowhere).groupBy("account", "row_no").agg(F.min("to_row").alias("to_row"), F.max("last").alias("last"))
+    links = links.withColumn("last", F.coalesce("last", "row_no"))
+    state = materialise(links, "edit-chains")
+    ended, open_ = state.where(F.col("to_row").isNull()), state.where(F.col("to_row").isNotNull())
+    while not open_.isEmpty():
+        ahead = ended.unionByName(open_).select("account", F.col("row_no").alias("to_row"), F.col("to_row").alias("far_row"),
+                                                F.col("last").alias("far_last"))
+        state = materialise(open_.drop("last").join(ahead, ["account", "to_row"]).select(
+            "account", "row_no", F.col("far_row").alias("to_row"), F.col("far_last").alias("last")), "edit-chains")
+        ended = ended.unionByName(state.where(F.col("to_row").isNull()))
+        open_ = state.where(F.col("to_row").isNotNull())
+    starts = lives.where(F.col("last_take").isNotNull())
+    ends = ended.select("account", F.col("row_no").alias("first_leave"), "last")
+    return starts.join(ends, ["account", "first_leave"], "left").select(
+        "account", F.col("id").alias("original_id"), F.coalesce("last", "last_take").alias("row_no"))
 
 
 def edit_students_in_order(students: DataFrame, edits: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:

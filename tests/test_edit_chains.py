@@ -66,3 +66,27 @@ def test_rounds_grow_with_the_logarithm_of_the_chain(spark, monkeypatch):
     edits = spark.createDataFrame([edit("t1", i, f"s{i}", f"s{i + 1}") for i in range(500)], EDITS)
     assert {r.original_id: r.row_no for r in last_edits(edits).collect()}["s0"] == 499
     assert rounds.count("edit-chains") <= 12        # 1,000 events
+
+
+def test_edits_that_keep_their_id_take_no_rounds(spark, monkeypatch):
+    from classledger.operators import edit_chains
+    rounds, write = [], edit_chains.materialise
+    monkeypatch.setattr(edit_chains, "materialise", lambda df, label: rounds.append(label) or write(df, label))
+    rows = [edit("t1", i, f"s{i % 3}", f"s{i % 3}") for i in range(300)] + [edit("t1", 300, "s0", "s9"), edit("t1", 301, "s9", "s9")]
+    assert {r.original_id: r.row_no for r in last_edits(spark.createDataFrame(rows, EDITS)).collect()} == {
+        "s0": 301, "s1": 298, "s2": 299, "s9": 301}
+    assert rounds.count("edit-chains") == 1     # the links; none is open
+
+
+def test_hot_ids_that_edits_leave_and_reach(spark):
+    rng = random.Random(5)
+    students = [student("t1", f"s{i}", i) for i in range(6)]
+    rows = [edit("t1", i, rng.choice(["s0", "s0", "s1", "s2", "s3"]), rng.choice(["s0", "s0", "s1", "s4", None]), float(i % 9)) for i in range(150)]
+    check(spark, students, rows, min_hot_rows=10)
+    check(spark, students, rows)
+
+
+def test_edits_that_come_twice_end(spark):
+    rows = [edit("t1", 1, "A", "B"), edit("t1", 2, "B", "C"), edit("t1", 3, "C", "C"), edit(None, 4, "A", "Q")]
+    got = {tuple(r) for r in last_edits(spark.createDataFrame(rows * 2, EDITS)).collect()}
+    assert got == {("t1", "A", 3), ("t1", "B", 3), ("t1", "C", 3)}
