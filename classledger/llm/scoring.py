@@ -53,6 +53,7 @@ WARM_STEPS, WARM_PASSES, WARM_RATE = 1500, 4, 0.02
 EVERY, RATE = 1, 0.004
 BUCKETS_A_BLOCK, MOST_BUCKETS = 4, 50_000
 CHUNK, FAN_IN = 4096, 256
+STEP_CHUNK, SCORED_AT_ONCE = 1 << 14, 128
 END_WORD = int(mix(np.asarray([0x656E64], np.uint64)).view(np.int64)[0])
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
@@ -103,111 +104,180 @@ def unflatten(flat: np.ndarray, like: Weights) -> Weights:
 
 
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-_ONES = np.ones((WINDOW, 1), np.float32)
+_ONES = np.ones(max(WINDOW, GROUPS, GROUP), np.float32)
+_SCALE = np.float32(WIDTH ** -0.5)
 
 
-def forward(w: Weights, x: np.ndarray, last: int = WINDOW) -> dict[str, np.ndarray]:
-    """Layers' values for the last places of windows of input classes x (B, WINDOW).
+def attention(w: Weights, x: np.ndarray, last: int = WINDOW) -> dict[str, np.ndarray]:
+    """The attention layer's values for the last places of windows of input classes x (B, WINDOW).
 
-    A place sees itself and those before it. ``a`` holds the attention before it is divided by its row sums ``s``.
+    A place sees itself and those before it. Queries and keys meet in one product, and so do values and ``back``:
+    ``mixed`` holds both products, ``t`` and ``v`` the places under them. A last column of ones in ``v`` brings the
+    row sums: ``z`` holds what the attention ``a`` adds to a place and the sum that it is yet to be divided by.
     """
     b = len(x)
     h0 = w["embed"].take(x.ravel(), 0).reshape(b, WINDOW, WIDTH)
     h0 += w["place"]
-    qkv = h0.reshape(-1, WIDTH) @ w["qkv"]
-    qkv[:, :WIDTH] *= np.float32(WIDTH ** -0.5)
-    q, k, v = (qkv[:, i * WIDTH:(i + 1) * WIDTH].reshape(b, WINDOW, WIDTH) for i in range(3))
-    q = q[:, WINDOW - last:]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(a, 60, out=a)
+    query, key, value = (w["qkv"][:, i * WIDTH:(i + 1) * WIDTH] for i in range(3))
+    mixed = np.zeros((WIDTH, 2 * WIDTH + 1), h0.dtype)
+    mixed[:, :WIDTH], mixed[:, WIDTH:-1] = query @ key.T * _SCALE, value @ w["back"]
+    tv = (h0.reshape(-1, WIDTH) @ mixed).reshape(b, WINDOW, 2 * WIDTH + 1)
+    tv[:, :, -1] = 1
+    t, v = tv[:, WINDOW - last:, :WIDTH], tv[:, :, WIDTH:]
+    a = np.matmul(t, h0.transpose(0, 2, 1).copy())
+    if a.max(initial=0) > 60:
+        np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     a *= _MASK[WINDOW - last:]
-    s = a.reshape(-1, WINDOW) @ _ONES
-    z = np.matmul(a, v).reshape(-1, WIDTH)
-    z /= s
-    h1 = z @ w["back"]
-    h1.reshape(b, last, WIDTH)[...] += h0[:, WINDOW - last:]
+    return {"h0": h0, "mixed": mixed, "t": t, "v": v, "a": a, "z": np.matmul(a, v).reshape(-1, WIDTH + 1)}
+
+
+def feed_forward(w: Weights, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, h2): the hidden layer of rows, and the rows with what it adds and a last column of ones for the biases."""
     u = h1 @ w["up"]
-    np.maximum(u, 0, out=u)
-    h2 = u @ w["down"]
-    h2 += h1
-    return {"h0": h0, "q": q, "k": k, "v": v, "a": a, "s": s, "z": z, "h1": h1, "u": u, "h2": h2}
+    np.maximum(u, np.zeros_like(u), out=u)
+    h2 = np.ones((len(h1), WIDTH + 1), h1.dtype)
+    np.add(u @ w["down"], h1, out=h2[:, :WIDTH])
+    return u, h2
+
+
+def attended(w: Weights, x: np.ndarray, last: int = WINDOW) -> np.ndarray:
+    """The rows that the attention ends in, for the last places of windows."""
+    f = attention(w, x, last)
+    h1 = f["z"][:, :WIDTH] / f["z"][:, WIDTH:]
+    h1 += f["h0"][:, WINDOW - last:].reshape(-1, WIDTH)
+    return h1
+
+
+def forward(w: Weights, x: np.ndarray, last: int = WINDOW) -> dict[str, np.ndarray]:
+    """The model's last rows ``h2`` for the last places of windows."""
+    return {"h2": feed_forward(w, attended(w, x, last))[1][:, :WIDTH]}
+
+
+def outputs(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """The output's two steps with their biases as a last row."""
+    return np.concatenate([w["group_out"], w["group_bias"][None]]), np.concatenate([w["out"], w["bias"][:, None]], 1)
 
 
 def by_group(groups: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order that brings equal groups together, and (group, from, to) of each in that order."""
+    groups = groups.astype(np.uint8)
     order = np.argsort(groups, kind="stable")
-    sorted_groups = groups[order]
-    starts = np.flatnonzero(np.append(True, sorted_groups[1:] != sorted_groups[:-1]))
-    return order, list(zip(sorted_groups[starts].tolist(), starts.tolist(), np.append(starts[1:], len(groups)).tolist()))
+    ends = np.searchsorted(groups.take(order), np.arange(GROUPS + 1, dtype=np.uint8)).tolist()
+    return order, [(c, i, j) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+
+
+def _member_logits(h: np.ndarray, out: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits of the members of each row's group; rows lie by group."""
+    logits = np.empty((len(h), GROUP), h.dtype)
+    for c, i, j in parts:
+        np.matmul(h[i:j], out[c], out=logits[i:j])
+    return logits
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
+def _error(logits: np.ndarray, at: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The loss's slope at the logits of rows that weigh ``share``: softmax less one at the right place."""
+    if logits.max(initial=0) > 60 or logits.min(initial=0) < -60:  # else exp neither overflows nor vanishes
+        logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+    logits *= (share / (logits @ _ONES[:logits.shape[1]]))[:, None]
+    logits.ravel()[np.arange(len(at)) * logits.shape[1] + at] -= share
     return logits
 
 
 def gradients(w: Weights, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> Weights:
-    """Of the mean loss over all places, weighted by ``counts``; y: output classes (B, WINDOW)."""
-    f = forward(w, x)
-    b = len(x)
-    h = f["h2"]
-    share = (counts.ravel() / max(counts.sum(), 1)).astype(np.float32)[:, None]
-    group, member = np.divmod(y.ravel(), GROUP)
-    p = _softmax(h @ w["group_out"] + w["group_bias"])
-    p[np.arange(len(p)), group] -= 1
-    p *= share
-    g = {"group_out": h.T @ p, "group_bias": p.sum(0), "out": np.zeros_like(w["out"]), "bias": np.zeros_like(w["bias"])}
+    """Of the mean loss over all places, weighted by ``counts``; y: output classes (B, WINDOW).
+
+    Above the attention only the places that count are taken, by the group of what they predict: the others' slopes are 0.
+    """
+    f = attention(w, x)
+    b, h0, v, a = len(x), f["h0"], f["v"], f["a"]
+    flat_h0, weight, target = h0.reshape(-1, WIDTH), counts.ravel(), y.ravel()
+    live = np.flatnonzero(weight)
+    order, parts = by_group(target.take(live) // GROUP)
+    live = live.take(order)
+    group, member = np.divmod(target.take(live), GROUP)
+    share = (weight.take(live) / max(counts.sum(), 1)).astype(np.float32)
+    z = f["z"].take(live, 0)
+    per_sum = 1 / z[:, WIDTH:]
+    z = z[:, :WIDTH] * per_sum
+    h1 = flat_h0.take(live, 0)
+    h1 += z
+    u, h2 = feed_forward(w, h1)
+    group_out, out = outputs(w)
+    p = _error(h2 @ group_out, group, share)
+    slope = h2.T @ p
+    g = {"group_out": slope[:WIDTH], "group_bias": slope[WIDTH]}
     dh2 = p @ w["group_out"].T
-    order, parts = by_group(group)
-    sorted_h, sorted_member, sorted_share, inner = h[order], member[order], share[order], np.empty_like(h)
+    p = _error(_member_logits(h2, out, parts), member, share)
+    slope, inner = np.zeros_like(out), np.empty_like(dh2)
+    across, back = h2.T, w["out"].transpose(0, 2, 1)
     for c, i, j in parts:
-        p = _softmax(sorted_h[i:j] @ w["out"][c] + w["bias"][c])
-        p[np.arange(j - i), sorted_member[i:j]] -= 1
-        p *= sorted_share[i:j]
-        g["out"][c], g["bias"][c] = sorted_h[i:j].T @ p, p.sum(0)
-        inner[i:j] = p @ w["out"][c].T
-    dh2[order] += inner
-    g["down"] = f["u"].T @ dh2
-    du = (dh2 @ w["down"].T) * (f["u"] > 0)
-    g["up"] = f["h1"].T @ du
-    dh1 = dh2 + du @ w["up"].T
-    g["back"] = f["z"].T @ dh1
-    a = f["a"] / f["s"].reshape(b, WINDOW, 1)
-    dz = (dh1 @ w["back"].T).reshape(b, WINDOW, WIDTH)
-    da = np.matmul(dz, f["v"].transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dz)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk = np.matmul(ds, f["k"]) * np.float32(WIDTH ** -0.5), np.matmul(ds.transpose(0, 2, 1), f["q"])
-    dqkv = np.concatenate([dq, dk, dv], 2).reshape(-1, 3 * WIDTH)
-    h0 = f["h0"].reshape(-1, WIDTH)
-    g["qkv"] = h0.T @ dqkv
-    dh0 = dh1 + dqkv @ w["qkv"].T
-    g["place"] = dh0.reshape(b, WINDOW, WIDTH).sum(0)
+        np.matmul(across[:, i:j], p[i:j], out=slope[c])
+        np.matmul(p[i:j], back[c], out=inner[i:j])
+    g["out"], g["bias"] = slope[:, :WIDTH], slope[:, WIDTH]
+    dh2 += inner
+    g["down"] = u.T @ dh2
+    du = dh2 @ w["down"].T
+    du *= u > 0
+    g["up"] = h1.T @ du
+    dh2 += du @ w["up"].T
+    dh0, dz = np.zeros_like(flat_h0), np.zeros((b * WINDOW, WIDTH + 1), flat_h0.dtype)
+    dh0[live] = dh2
+    dh2 *= per_sum
+    dz[live] = np.concatenate([dh2, -np.einsum("nd,nd->n", dh2, z)[:, None]], 1)
+    dz = dz.reshape(b, WINDOW, WIDTH + 1)
+    da = np.matmul(dz, v.transpose(0, 2, 1).copy())
+    da *= a
+    dtv = np.empty((b, WINDOW, 2 * WIDTH), flat_h0.dtype)
+    np.matmul(da, h0, out=dtv[:, :, :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dz[:, :, :WIDTH], out=dtv[:, :, WIDTH:])
+    dtv = dtv.reshape(-1, 2 * WIDTH)
+    slope = flat_h0.T @ dtv
+    d_match, d_value = slope[:, :WIDTH] * _SCALE, slope[:, WIDTH:]
+    query, key, value = (w["qkv"][:, i * WIDTH:(i + 1) * WIDTH] for i in range(3))
+    g["qkv"] = np.concatenate([d_match @ key, d_match.T @ query, d_value @ w["back"].T], 1)
+    g["back"] = value.T @ d_value
+    dh0 += np.matmul(da.transpose(0, 2, 1), f["t"]).reshape(-1, WIDTH)
+    dh0 += dtv @ f["mixed"][:, :-1].T
+    g["place"] = (np.ones(b, dh0.dtype) @ dh0.reshape(b, -1)).reshape(WINDOW, WIDTH)
     order = np.argsort(x.ravel(), kind="stable")
     ids = x.ravel()[order]
     heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     g["embed"] = np.zeros_like(w["embed"])
-    g["embed"][ids[heads]] = np.add.reduceat(dh0[order], heads, 0)
+    g["embed"][ids[heads]] = np.add.reduceat(dh0.take(order, 0), heads, 0)
     return g
 
 
 class Adam:
     def __init__(self, weights: Weights):
-        self.w, self.t = {k: v.copy() for k, v in weights.items()}, 0
-        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.flat, self.w, self.t, at = flatten(weights), {}, 0, 0
+        for k in sorted(weights):  # views, so that a step moves all weights at once
+            self.w[k] = self.flat[at:at + weights[k].size].reshape(weights[k].shape)
+            at += weights[k].size
+        self.m, self.v, self.g = (np.zeros_like(self.flat) for _ in range(3))
+        self.room = np.empty(STEP_CHUNK, self.flat.dtype)
 
     def step(self, g: Weights, rate: float) -> None:
         self.t += 1
         fair_m, fair_v = np.float32(1 / (1 - 0.9 ** self.t)), np.float32(1 / (1 - 0.99 ** self.t))
-        for k in self.w:
-            m, v = self.m[k], self.v[k]
-            m += np.float32(0.1) * (g[k] - m)
-            v += np.float32(0.01) * (g[k] * g[k] - v)
-            self.w[k] -= np.float32(rate) * (m * fair_m) / (np.sqrt(v * fair_v) + np.float32(1e-8))
+        np.concatenate([g[k].ravel() for k in sorted(g)], out=self.g)
+        for i in range(0, len(self.flat), STEP_CHUNK):  # parts that stay in the cache
+            m, v, part = self.m[i:i + STEP_CHUNK], self.v[i:i + STEP_CHUNK], self.g[i:i + STEP_CHUNK]
+            room = self.room[:len(m)]
+            np.subtract(part, m, out=room)
+            room *= np.float32(0.1)
+            m += room
+            np.multiply(part, part, out=room)
+            room -= v
+            room *= np.float32(0.01)
+            v += room
+            np.multiply(v, fair_v, out=room)
+            np.sqrt(room, out=room)
+            room += np.float32(1e-8)
+            np.divide(m, room, out=room)
+            room *= np.float32(rate) * fair_m
+            self.flat[i:i + STEP_CHUNK] -= room
 
 
 def window_places(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,31 +307,32 @@ def log_probabilities(w: Weights, alphabet: Alphabet, flat: np.ndarray, first: n
     into, target = alphabet.into[before], alphabet.out[flat]
     place, known, fresh = window_places(first)
     begins = fresh[:, 0]  # a text's first window scores all its places
+    group_out, members = outputs(w)
     for which, last in ((np.flatnonzero(begins), WINDOW), (np.flatnonzero(~begins), STRIDE)):
-        for i in range(0, len(which), 256):
-            part = which[i:i + 256]
+        for i in range(0, len(which), SCORED_AT_ONCE):
+            part = which[i:i + SCORED_AT_ONCE]
             at = np.minimum(place[part], len(flat) - 1)
-            h = forward(w, into[at], last)["h2"]
+            h1 = attended(w, into[at], last)
             spot, new = at[:, WINDOW - last:].ravel(), known[part, WINDOW - last:].ravel()
             if not new.all():
-                spot, h = spot[new], h[new]
+                spot, h1 = spot[new], h1[new]
+            order, parts = by_group(target[spot] // GROUP)
+            spot = spot[order]
             group, member = np.divmod(target[spot], GROUP)
-            found = _log_share(h @ w["group_out"] + w["group_bias"], group)
-            order, parts = by_group(group)
-            sorted_h, sorted_member, inner = h[order], member[order], np.empty(len(h))
-            for c, a, b in parts:
-                inner[a:b] = _log_share(sorted_h[a:b] @ w["out"][c] + w["bias"][c], sorted_member[a:b])
-            found[order] += inner
+            h2 = feed_forward(w, h1.take(order, 0))[1]
+            found = _log_share(h2 @ group_out, group)
+            found += _log_share(_member_logits(h2, members, parts), member)
             out[spot] = found
     return out + alphabet.tail[flat]
 
 
 def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row at one place."""
-    np.minimum(logits, 80, out=logits)
-    hit = logits[np.arange(len(logits)), at].astype(float)
+    if logits.max(initial=0) > 80:
+        np.minimum(logits, 80, out=logits)
+    hit = logits.ravel()[np.arange(len(logits)) * logits.shape[1] + at].astype(float)
     np.exp(logits, out=logits)
-    return hit - np.log(logits.sum(1))
+    return hit - np.log(logits @ _ONES[:logits.shape[1]])
 
 
 def id_counts(texts: DataFrame, tokenizer: str) -> np.ndarray:

@@ -122,6 +122,50 @@ def test_gradients_equal_differences():
         assert abs(slope - g[name][biggest]) < 2e-3 * max(1, abs(slope)), name
 
 
+def small_lesson(seed=5):
+    rng = np.random.default_rng(seed)
+    alphabet = scoring.Alphabet(np.append(np.arange(3000, 0, -1), 5).astype(float))
+    x, y = rng.integers(0, 2100, (6, scoring.WINDOW)), rng.integers(0, 2048, (6, scoring.WINDOW))
+    counts = np.ones(x.shape, np.float32)
+    counts[1:, :scoring.WINDOW - scoring.STRIDE] = 0      # places that the window before has scored
+    return scoring.first_weights(alphabet), x, y, counts
+
+
+def test_only_places_that_count_go_above_the_attention(monkeypatch):
+    w, x, y, counts = small_lesson()
+    rows, plain = [], scoring.feed_forward
+    monkeypatch.setattr(scoring, "feed_forward", lambda w, h: rows.append(len(h)) or plain(w, h))
+    got = scoring.gradients(w, x, y, counts)
+    assert rows == [np.count_nonzero(counts)] and rows[0] < counts.size
+    idle = counts == 0
+    other = np.where(idle, (y + 777) % 2048, y)      # what an idle place predicts is of no weight
+    again = scoring.gradients(w, x, other, counts)
+    assert all(np.array_equal(got[k], again[k]) for k in w)
+
+
+def test_gradients_stay_finite_where_logits_are_large():
+    w, x, y, counts = small_lesson()
+    for k in ("out", "group_out"):
+        w[k] = w[k] * np.float32(1000)
+    g = scoring.gradients(w, x, y, counts)
+    assert all(np.isfinite(v).all() for v in g.values())
+    assert abs(g["group_bias"].sum()) < 1e-4 and abs(g["bias"].sum()) < 1e-4      # shares less one each
+
+
+def test_a_step_moves_each_weight_by_its_own_moments():
+    w, x, y, counts = small_lesson()
+    model, plain = scoring.Adam(w), {k: v.astype(float) for k, v in w.items()}
+    m, v = ({k: np.zeros(a.shape) for k, a in w.items()} for _ in range(2))
+    for t in (1, 2, 3):
+        g = scoring.gradients(model.w, x, y, counts)
+        model.step(g, 0.01)
+        for k in w:
+            m[k] += 0.1 * (g[k] - m[k])
+            v[k] += 0.01 * (g[k].astype(float) ** 2 - v[k])
+            plain[k] -= 0.01 * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(v[k] / (1 - 0.99 ** t)) + 1e-8)
+    assert all(np.abs(model.w[k] - plain[k]).max() < 1e-4 and model.w[k].shape == w[k].shape for k in w)
+
+
 def test_every_training_text_moves_the_weights(spark):
     rows = [(1, k, i, f"alpha beta gamma delta w{i} " * (1 + 40 * (i == 3)), 1) for k, i in enumerate(range(20))]
     import pyarrow as pa
