@@ -20,10 +20,10 @@ of all its training texts (``EVERY`` is 1; a caller may ask for one window in
 more), and the weights are averaged in Spark. So each position of each training
 text moves the weights; id counts and word counts cover all texts whole too.
 
-The texts travel to their blocks once, into a table bucketed by block: learning,
-the blocks' words and scoring read a block where it lies. Word counts are looked
-up block by block: a block's distinct words are joined to the counts and come
-back to the block. Nothing that grows with the corpus is broadcast or held by
+The texts travel to their blocks once, into a table bucketed by block, and are
+encoded there, once: counting ids, learning, the blocks' words and scoring read a
+block's ids or texts where they lie. Word counts are looked up block by block: a
+block's distinct words are joined to the counts and come back to the block. Nothing that grows with the corpus is broadcast or held by
 one task, and a frequent word has a row for each block.
 """
 
@@ -53,6 +53,7 @@ WARM_STEPS, WARM_PASSES, WARM_RATE = 1500, 4, 0.02
 EVERY, RATE = 1, 0.004
 BUCKETS_A_BLOCK, MOST_BUCKETS = 4, 50_000
 CHUNK, FAN_IN = 4096, 256
+ENCODED_AT_ONCE, IDS_AT_ONCE = 2 << 20, 1 << 19
 STEP_CHUNK, SCORED_AT_ONCE = 1 << 14, 128
 END_WORD = int(mix(np.asarray([0x656E64], np.uint64)).view(np.int64)[0])
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -335,23 +336,56 @@ def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hit - np.log(logits @ _ONES[:logits.shape[1]])
 
 
+def encode_texts(texts: pa.RecordBatch | pa.Table, tokenizer: str) -> Iterator[pa.RecordBatch]:
+    """The rows with ``ids``, the bytes of each text's ids and end mark: 16 bits an id if the vocabulary lets them."""
+    encode = piece_ids(tokenizer)
+    kind = id_type(encode.end)
+    for at, to, data, offsets in pieces(texts.column("text"), ENCODED_AT_ONCE):
+        flat, first, _, _ = encode(split_words(data, offsets, lower=True), lower=True)
+        ends = (first * kind.itemsize).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends), pa.py_buffer(flat.astype(kind))])
+        part = texts.slice(at, to - at)
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns]
+        yield pa.RecordBatch.from_arrays([*columns, ids], [*part.schema.names, "ids"])
+
+
+def id_type(end: int) -> np.dtype:
+    return np.dtype("<u2" if end < 1 << 16 else "<u4")
+
+
+def id_pieces(column: pa.Array | pa.ChunkedArray, kind: np.dtype, limit: int = IDS_AT_ONCE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, ids, where each text's begin) of runs of whole texts of about ``limit`` ids."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    first, flat = (offsets - offsets[0]) // kind.itemsize, np.zeros(0, kind)
+    if offsets[-1] > offsets[0]:
+        flat = np.frombuffer(data, kind, first[-1], offsets[0])
+    at, rows = 0, len(column)
+    while at < rows:
+        to = int(np.searchsorted(first, first[at] + limit, "right")) - 1
+        to = min(max(to, at + 1), rows)
+        yield at, to, flat[first[at]:first[to]], first[at:to + 1] - first[at]
+        at = to
+
+
 def id_counts(texts: DataFrame, tokenizer: str) -> np.ndarray:
-    """How often each id (the end mark last) occurs in (text, copies); as many numbers as the vocabulary has."""
+    """How often each id (the end mark last) occurs in (ids, copies); as many numbers as the vocabulary has."""
+    end = piece_ids(tokenizer).end
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = piece_ids(tokenizer)
-        end = encode.end
         total = np.zeros(end + 1)
         for batch in batches:
             copies = batch.column(1).to_numpy()
-            for at, to, data, offsets in pieces(batch.column(0)):
-                flat, first, _, _ = encode(split_words(data, offsets, lower=True), lower=True)
-                total += np.bincount(flat, np.repeat(copies[at:to], np.diff(first)), end + 1)
+            for at, to, flat, first in id_pieces(batch.column(0), id_type(end)):
+                times = copies[at:to]
+                total += np.bincount(flat, np.repeat(times, np.diff(first)) if (times != 1).any() else None, end + 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], ["id", "n"])
 
-    found = map_arrow(texts.select("text", "copies"), rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(piece_ids(tokenizer).end + 1)
+    found = map_arrow(texts.select("ids", "copies"), rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(end + 1)
     for r in found:
         out[r.id] = r.n
     return out
@@ -361,17 +395,16 @@ class Lessons:
     """The windows of a block's texts that are learnt from, and gradient steps over them."""
 
     def __init__(self, texts: pa.Table, alphabet: Alphabet, tokenizer: str, every: int):
-        encode, end = piece_ids(tokenizer), alphabet.size - 1
+        if "ids" not in texts.column_names:
+            texts = pa.Table.from_batches([*encode_texts(texts, tokenizer)], texts.schema.append(pa.field("ids", pa.binary())))
+        end = alphabet.size - 1
         texts = texts.sort_by([("key", "ascending"), ("doc_id", "ascending")])
         x, y, counts = [np.zeros((0, WINDOW), np.uint16)], [np.zeros((0, WINDOW), np.uint16)], [np.zeros((0, WINDOW), np.float32)]
-        column = texts.column("text").combine_chunks()
         copies, keys = texts.column("copies").to_numpy(), texts.column("key").to_numpy()
-        for at, to, data, offsets in pieces(column):
-            flat, first, _, _ = encode(split_words(data, offsets, lower=True), lower=True)
-            if not len(flat):
-                continue
-            before = np.append(end, flat[:-1])
-            before[first[:-1][np.diff(first) > 0]] = end
+        for at, to, flat, first in id_pieces(texts.column("ids"), id_type(end)):
+            before = np.empty_like(flat)
+            before[1:] = flat[:-1]
+            before[first[:-1]] = end  # each text has its end mark at least
             place, known, fresh = window_places(first)
             owner = np.searchsorted(first, place[:, 0], "right") - 1
             number = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -434,8 +467,9 @@ def _average(learnt: DataFrame, blocks: int, like: Weights) -> Weights:
 
 
 def train(texts: DataFrame, tokenizer: str, blocks: int, every: int = EVERY, warm_steps: int = WARM_STEPS) -> tuple[Weights, Alphabet]:
-    """Weights and alphabet from (block, key, doc_id, text, copies), dealt into so many blocks."""
+    """Weights and alphabet from (block, key, doc_id, copies, ids), dealt into so many blocks."""
     alphabet = Alphabet(id_counts(texts, tokenizer))
+    texts = texts.select("block", "key", "doc_id", "copies", "ids")
     weights = first_weights(alphabet)
     ship_package(texts.sparkSession)
 
@@ -517,16 +551,24 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "text").groupBy("block").applyInArrow(rows, "block long, word long")
 
 
-def deal(texts: DataFrame, blocks: int) -> DataFrame:
-    """``texts`` written once, bucketed by block, so that what groups them by block reads a block where it lies.
+DEALT = "block long, key long, doc_id long, held_out boolean, text string, copies long, ids binary"
+
+
+def deal(texts: DataFrame, blocks: int, tokenizer: str) -> DataFrame:
+    """``texts`` with their ids written once, bucketed by block, so that what groups them by block reads a block where it lies.
 
     A block is in one bucket; there are more buckets than blocks, so that few share one.
     """
     buckets = min(BUCKETS_A_BLOCK * blocks, MOST_BUCKETS)
     name = f"scoring_texts_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(texts.sparkSession).rstrip('/')}/classledger/{name}"
-    (texts.repartition(buckets, "block").write.format("parquet").options(path=path, compression="zstd")
-     .bucketBy(buckets, "block").saveAsTable(name))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from encode_texts(batch, tokenizer)
+
+    (map_arrow(texts.repartition(buckets, "block"), rows, DEALT).write.format("parquet")
+     .options(path=path, compression="zstd").bucketBy(buckets, "block").saveAsTable(name))
     return texts.sparkSession.table(name)
 
 
@@ -558,7 +600,7 @@ def score_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model",
     repeated = (keyed.join(several, equal, "left_semi").groupBy("doc_id", "held_out", "key", "bytes")
                 .agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies")))
     distinct = single.unionByName(repeated).withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.lit(number)))
-    blocks = deal(distinct.select("block", "key", "doc_id", "held_out", "text", "copies"), number)
+    blocks = deal(distinct.select("block", "key", "doc_id", "held_out", "text", "copies"), number, tokenizer)
     learnt = blocks.where(~F.col("held_out"))
     counts = materialise(word_counts(learnt), "scoring-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -569,7 +611,6 @@ def score_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model",
     fields = [c.split()[0] for c in f"{SCORES}, copies long".split(", ")]
 
     def scored(texts: pa.Table, looked_up: pa.Table) -> pa.Table:
-        encode = piece_ids(tokenizer)
         words = looked_up.column("word").to_numpy()
         order = np.argsort(words)
         words = np.append(words[order], np.iinfo(np.int64).max)
@@ -581,20 +622,22 @@ def score_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model",
 
         at_end = int(count_of(np.asarray([END_WORD]))[0])
         texts = texts.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        log_p = [np.zeros(0)]
+        for _, _, flat, first in id_pieces(texts.column("ids"), id_type(alphabet.size - 1)):
+            log_p.append(np.add.reduceat(log_probabilities(weights, alphabet, flat, first), first[:-1]))
+        scores = np.concatenate(log_p) / np.log(10)
         out = []
         for at, to, data, offsets in pieces(texts.column("text")):
             found = split_words(data, offsets, lower=True)
-            flat, first, distinct, back = encode(found, lower=True)
-            c = count_of(distinct.view(np.int64))[back]
+            back, distinct = pd.factorize(found.hash.view(np.int64))
+            c = count_of(distinct)[back]
             owner = np.repeat(np.arange(to - at), found.counts())
             tokens = found.counts() + 1
             base = np.bincount(owner, np.log10(c + 0.5), to - at) + np.log10(at_end + 0.5) - tokens * smooth
             hits = np.bincount(owner, c > 0, to - at).astype(np.int64) + (at_end > 0)
-            log_p = np.append(0.0, np.cumsum(log_probabilities(weights, alphabet, flat, first)))
-            score = (log_p[first[1:]] - log_p[first[:-1]]) / np.log(10)
             out.append(pa.table([texts.column("doc_id").slice(at, to - at), texts.column("held_out").slice(at, to - at),
                                  pa.array(tokens), pa.array(hits), pa.array(np.full(to - at, n)), pa.array(base),
-                                 pa.array(score), texts.column("copies").slice(at, to - at)], fields))
+                                 pa.array(scores[at:to]), texts.column("copies").slice(at, to - at)], fields))
         if not out:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(),
                                                        pa.float64(), pa.float64(), pa.int64())], fields)

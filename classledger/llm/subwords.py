@@ -17,7 +17,7 @@ import pandas as pd
 from .tables import tokenizer_path
 from .words import SEPARATORS, Words, hash_runs, split_words
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 _SEPARATOR, _LETTER, _DIGIT, _PUNCTUATION, _OTHER = range(5)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[list(SEPARATORS)] = _SEPARATOR
@@ -39,16 +39,20 @@ class Subwords:
         raise NotImplementedError
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}  # of a word's hash; slot 0 is the end mark
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # words' hashes in order, and their slots
         self.flat = np.asarray([self.end], np.uint32)
-        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)  # of a slot's ids; slot 0 is the end mark
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, place: np.ndarray, keys: np.ndarray, words: list[str]) -> np.ndarray:
+        """The slots of new words, whose hashes belong at these places of ``self.keys``."""
         ids, length = self.encode_words(words)
-        start = len(self.flat) + np.cumsum(length) - length
-        self.slot.update(zip(keys, range(len(self.start), len(self.start) + len(keys))))
-        self.flat = np.concatenate([self.flat, ids])
-        self.start, self.length = np.append(self.start, start), np.append(self.length, length)
+        slots = np.arange(len(self.start), len(self.start) + len(keys))
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(length) - length)
+        self.length, self.flat = np.append(self.length, length), np.concatenate([self.flat, ids])
+        order = np.argsort(keys)
+        self.keys = np.insert(self.keys, place[order], keys[order])
+        self.slot = np.insert(self.slot, place[order], slots[order])
+        return slots
 
     def __call__(self, words: Words, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, where each begins, distinct words' hashes, each word's number among them).
@@ -57,18 +61,23 @@ class Subwords:
         """
         back, unique = pd.factorize(words.hash)
         at = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))  # numbered as they first occur
-        keys = unique.tolist()
-        if len(self.slot) + len(keys) > CACHED_WORDS:
+        if len(self.keys) + len(unique) > CACHED_WORDS:
             self._forget()
-        new = [i for i, k in enumerate(keys) if k not in self.slot]
-        if new:
+        place = np.searchsorted(self.keys, unique)
+        inside = place < len(self.keys)
+        known = inside.copy()
+        known[inside] = self.keys[place[inside]] == unique[inside]
+        slot = np.empty(len(unique), np.int64)
+        slot[known] = self.slot[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
             raw = words.data.tobytes()
             raw = raw.lower() if lower else raw  # bytes.lower(): A-Z only
             spans = zip(words.start[at[new]].tolist(), words.end[at[new]].tolist())
-            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in spans])
+            slot[new] = self._learn(place[new], unique[new], [raw[a:b].decode() for a, b in spans])
         slots = np.zeros(len(words.hash) + words.texts, np.int64)
         owner = np.repeat(np.arange(words.texts), words.counts())
-        slots[np.arange(len(owner)) + owner] = np.asarray([self.slot[k] for k in keys], np.int64)[back]
+        slots[np.arange(len(owner)) + owner] = slot[back]
         length = self.length[slots]
         ends = np.cumsum(length)
         flat = self.flat[np.repeat(self.start[slots] - (ends - length), length) + np.arange(ends[-1])]
