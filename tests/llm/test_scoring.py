@@ -201,6 +201,53 @@ def test_the_texts_travel_to_their_blocks_once(spark, few_steps):
     assert "Bucketed: true" in plan
 
 
+def library_ids(text):
+    encode = scoring.piece_ids("piece_bpe_32k.model")
+    words = WORD.findall((text or "").translate(UPPER))
+    return [i for w in words for i in encode.model.encode(w)] + [encode.end]
+
+
+def test_texts_are_encoded_where_they_are_dealt_and_not_again(spark, few_steps):
+    texts = [*TEXTS, "", "UPPER and lower", "été 日本 \U0001f600", "many words of a long text " * 400]
+    rows = [(i % 3, 977 * i, i, i % 4 == 1, t or "", 1 + 2 * (i % 5 == 0)) for i, t in enumerate(texts)]
+    dealt = scoring.deal(spark.createDataFrame(rows, "block long, key long, doc_id long, held_out boolean, text string, copies long"), 3, "piece_bpe_32k.model")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in dealt.collect()}
+    assert got == {i: library_ids(t) for _, _, i, _, t, _ in rows}
+    blind = dealt.drop("text")      # what counts and learns has no need of the texts
+    counts = collections.Counter()
+    for *_, i, _, t, copies in rows:
+        counts.update({k: n * copies for k, n in collections.Counter(got[i]).items()})
+    assert dict(enumerate(scoring.id_counts(blind, "piece_bpe_32k.model"))) == {k: counts[k] for k in range(scoring.piece_ids("piece_bpe_32k.model").end + 1)}
+    weights, alphabet = scoring.train(blind, "piece_bpe_32k.model", 3)
+    start = scoring.first_weights(alphabet)
+    assert all(np.isfinite(v).all() for v in weights.values()) and (weights["embed"] != start["embed"]).any()
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_runs_of_ids_cover_all_texts(kind):
+    import pyarrow as pa
+    ids = [list(range(k, k + n)) for k, n in enumerate([3, 1, 40, 1, 7, 2, 2])]
+    column = pa.array([np.asarray(x, kind).tobytes() for x in [[9], *ids]], pa.binary()).slice(1)
+    for limit in (1, 8, 1000):
+        found = [flat[a:b].tolist() for _, _, flat, first in scoring.id_pieces(column, np.dtype(kind), limit) for a, b in zip(first, first[1:])]
+        assert found == ids
+    assert [*scoring.id_pieces(column[:0], np.dtype(kind))] == []
+
+
+def test_ids_do_not_depend_on_what_the_word_cache_holds(monkeypatch):
+    from classledger.llm import subwords
+    from classledger.llm.tables import tokenizer_path
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab cd ef gh ij".split()) + str(rng.randrange(40)) for _ in range(60)) for _ in range(12)]
+    monkeypatch.setattr(subwords, "CACHED_WORDS", 70)
+    encode = subwords.PieceIds(tokenizer_path("piece_bpe_32k.model"))
+    for text in texts + texts[:3]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        flat, _, _, _ = encode(scoring.split_words(raw, np.asarray([0, len(raw)]), lower=True), lower=True)
+        assert flat.tolist() == library_ids(text)
+        assert len(encode.keys) <= 70 and (encode.keys[1:] > encode.keys[:-1]).all()
+
+
 def test_tables_without_rows_or_training_rows(spark, few_steps):
     assert scoring.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(100) if is_held_out(i))
