@@ -42,7 +42,7 @@ from ..operators.joins import broadcast_if_small
 from ..session import ensure_checkpoint_dir
 from .subwords import piece_ids
 from .tables import map_arrow, materialise, ship_package
-from .words import Words, mix, pieces, split_words
+from .words import CHUNK_BYTES, Words, mix, pieces, runs, split_words
 
 BLOCK_BYTES = 16 << 20
 WINDOW, STRIDE = 32, 24
@@ -53,7 +53,7 @@ WARM_STEPS, WARM_PASSES, WARM_RATE = 1500, 4, 0.02
 EVERY, RATE = 1, 0.004
 BUCKETS_A_BLOCK, MOST_BUCKETS = 4, 50_000
 CHUNK, FAN_IN = 4096, 256
-ENCODED_AT_ONCE, IDS_AT_ONCE = 2 << 20, 1 << 19
+ENCODED_AT_ONCE = 2 << 20
 STEP_CHUNK, SCORED_AT_ONCE = 1 << 14, 128
 END_WORD = int(mix(np.asarray([0x656E64], np.uint64)).view(np.int64)[0])
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -337,7 +337,7 @@ def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def encode_texts(texts: pa.RecordBatch | pa.Table, tokenizer: str) -> Iterator[pa.RecordBatch]:
-    """The rows with ``ids``, the bytes of each text's ids and end mark: 16 bits an id if the vocabulary lets them."""
+    """The rows with ``bytes``, a text's length, and ``ids``, its ids and end mark: 16 bits an id if the vocabulary lets them."""
     encode = piece_ids(tokenizer)
     kind = id_type(encode.end)
     for at, to, data, offsets in pieces(texts.column("text"), ENCODED_AT_ONCE):
@@ -346,45 +346,43 @@ def encode_texts(texts: pa.RecordBatch | pa.Table, tokenizer: str) -> Iterator[p
         ids = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends), pa.py_buffer(flat.astype(kind))])
         part = texts.slice(at, to - at)
         columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns]
-        yield pa.RecordBatch.from_arrays([*columns, ids], [*part.schema.names, "ids"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(offsets)), ids], [*part.schema.names, "bytes", "ids"])
 
 
 def id_type(end: int) -> np.dtype:
     return np.dtype("<u2" if end < 1 << 16 else "<u4")
 
 
-def id_pieces(column: pa.Array | pa.ChunkedArray, kind: np.dtype, limit: int = IDS_AT_ONCE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, ids, where each text's begin) of runs of whole texts of about ``limit`` ids."""
+def id_pieces(column: pa.Array | pa.ChunkedArray, size: np.ndarray, kind: np.dtype,
+              limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, ids, where each text's begin) of the runs that ``pieces`` makes of texts of these sizes."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
-    first, flat = (offsets - offsets[0]) // kind.itemsize, np.zeros(0, kind)
-    if offsets[-1] > offsets[0]:
-        flat = np.frombuffer(data, kind, first[-1], offsets[0])
-    at, rows = 0, len(column)
-    while at < rows:
-        to = int(np.searchsorted(first, first[at] + limit, "right")) - 1
-        to = min(max(to, at + 1), rows)
+    offsets = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset)
+    first = (offsets - offsets[0]) // kind.itemsize
+    flat = np.frombuffer(data, kind, first[-1], offsets[0])
+    for at, to in runs(np.append(0, np.cumsum(size)), limit):
         yield at, to, flat[first[at]:first[to]], first[at:to + 1] - first[at]
-        at = to
 
 
 def id_counts(texts: DataFrame, tokenizer: str) -> np.ndarray:
-    """How often each id (the end mark last) occurs in (ids, copies); as many numbers as the vocabulary has."""
+    """How often each id (the end mark last) occurs in (ids, bytes, copies); as many numbers as the vocabulary has."""
     end = piece_ids(tokenizer).end
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(end + 1)
         for batch in batches:
-            copies = batch.column(1).to_numpy()
-            for at, to, flat, first in id_pieces(batch.column(0), id_type(end)):
+            copies = batch.column(2).to_numpy()
+            for at, to, flat, first in id_pieces(batch.column(0), batch.column(1).to_numpy(), id_type(end)):
                 times = copies[at:to]
                 total += np.bincount(flat, np.repeat(times, np.diff(first)) if (times != 1).any() else None, end + 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], ["id", "n"])
 
-    found = map_arrow(texts.select("ids", "copies"), rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = map_arrow(texts.select("ids", "bytes", "copies"), rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(end + 1)
     for r in found:
         out[r.id] = r.n
@@ -396,12 +394,13 @@ class Lessons:
 
     def __init__(self, texts: pa.Table, alphabet: Alphabet, tokenizer: str, every: int):
         if "ids" not in texts.column_names:
-            texts = pa.Table.from_batches([*encode_texts(texts, tokenizer)], texts.schema.append(pa.field("ids", pa.binary())))
+            added = [pa.field("bytes", pa.int64()), pa.field("ids", pa.binary())]
+            texts = pa.Table.from_batches([*encode_texts(texts, tokenizer)], pa.schema([*texts.schema, *added]))
         end = alphabet.size - 1
         texts = texts.sort_by([("key", "ascending"), ("doc_id", "ascending")])
         x, y, counts = [np.zeros((0, WINDOW), np.uint16)], [np.zeros((0, WINDOW), np.uint16)], [np.zeros((0, WINDOW), np.float32)]
         copies, keys = texts.column("copies").to_numpy(), texts.column("key").to_numpy()
-        for at, to, flat, first in id_pieces(texts.column("ids"), id_type(end)):
+        for at, to, flat, first in id_pieces(texts.column("ids"), texts.column("bytes").to_numpy(), id_type(end)):
             before = np.empty_like(flat)
             before[1:] = flat[:-1]
             before[first[:-1]] = end  # each text has its end mark at least
@@ -467,9 +466,9 @@ def _average(learnt: DataFrame, blocks: int, like: Weights) -> Weights:
 
 
 def train(texts: DataFrame, tokenizer: str, blocks: int, every: int = EVERY, warm_steps: int = WARM_STEPS) -> tuple[Weights, Alphabet]:
-    """Weights and alphabet from (block, key, doc_id, copies, ids), dealt into so many blocks."""
+    """Weights and alphabet from (block, key, doc_id, copies, bytes, ids), dealt into so many blocks."""
     alphabet = Alphabet(id_counts(texts, tokenizer))
-    texts = texts.select("block", "key", "doc_id", "copies", "ids")
+    texts = texts.select("block", "key", "doc_id", "copies", "bytes", "ids")
     weights = first_weights(alphabet)
     ship_package(texts.sparkSession)
 
@@ -551,7 +550,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "text").groupBy("block").applyInArrow(rows, "block long, word long")
 
 
-DEALT = "block long, key long, doc_id long, held_out boolean, text string, copies long, ids binary"
+DEALT = "block long, key long, doc_id long, held_out boolean, text string, copies long, bytes long, ids binary"
 
 
 def deal(texts: DataFrame, blocks: int, tokenizer: str) -> DataFrame:
@@ -623,7 +622,7 @@ def score_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model",
         at_end = int(count_of(np.asarray([END_WORD]))[0])
         texts = texts.sort_by([("key", "ascending"), ("doc_id", "ascending")])
         log_p = [np.zeros(0)]
-        for _, _, flat, first in id_pieces(texts.column("ids"), id_type(alphabet.size - 1)):
+        for _, _, flat, first in id_pieces(texts.column("ids"), texts.column("bytes").to_numpy(), id_type(alphabet.size - 1)):
             log_p.append(np.add.reduceat(log_probabilities(weights, alphabet, flat, first), first[:-1]))
         scores = np.concatenate(log_p) / np.log(10)
         out = []

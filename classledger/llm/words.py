@@ -88,11 +88,17 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, bytes, offsets) of runs of whole texts of about ``limit`` bytes."""
     data, offsets = texts_of(column)
+    for at, to in runs(offsets, limit):
+        yield at, to, data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
+
+
+def runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(from row, to row) of runs of about ``limit``, a row at least."""
     at, rows = 0, len(offsets) - 1
     while at < rows:
         to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
         to = min(max(to, at + 1), rows)
-        yield at, to, data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
+        yield at, to
         at = to
 
 

@@ -228,10 +228,12 @@ def test_runs_of_ids_cover_all_texts(kind):
     import pyarrow as pa
     ids = [list(range(k, k + n)) for k, n in enumerate([3, 1, 40, 1, 7, 2, 2])]
     column = pa.array([np.asarray(x, kind).tobytes() for x in [[9], *ids]], pa.binary()).slice(1)
-    for limit in (1, 8, 1000):
-        found = [flat[a:b].tolist() for _, _, flat, first in scoring.id_pieces(column, np.dtype(kind), limit) for a, b in zip(first, first[1:])]
-        assert found == ids
-    assert [*scoring.id_pieces(column[:0], np.dtype(kind))] == []
+    size = np.asarray([9, 0, 90, 0, 12, 3, 3])      # of the texts
+    for limit in (1, 12, 1000):
+        runs = [*scoring.id_pieces(column, size, np.dtype(kind), limit)]
+        assert [flat[a:b].tolist() for _, _, flat, first in runs for a, b in zip(first, first[1:])] == ids
+        assert all(size[at:to].sum() <= limit or to == at + 1 for at, to, _, _ in runs)
+    assert [*scoring.id_pieces(column[:0], size[:0], np.dtype(kind))] == []
 
 
 def test_ids_do_not_depend_on_what_the_word_cache_holds(monkeypatch):
